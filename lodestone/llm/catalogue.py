@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import queries_frames as frames
+from lodestone.llm import queries_images as images
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": frames.p4_found}
+    return {
+        "p1_found": images.p1_found,
+        "p1_report": images.p1_report,
+        "p4_found": frames.p4_found,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": frames.P4_SQL}
+    return {"p1_found": images.P1_SQL, "p4_found": frames.P4_SQL}
