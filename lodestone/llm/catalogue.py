@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": images.p1_found,
         "p1_report": images.p1_report,
         "p4_found": frames.p4_found,
+        "p5_found": images.p5_found,
     }
 
 

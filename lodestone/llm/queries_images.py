@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.hashes import hash_long
 from lodestone.functions.text import hex_digest, same_path, same_text
+from lodestone.llm.components import connected_components, star_links
+from lodestone.llm.nearhash import near_pairs
 from lodestone.llm.overlap import HELD_OUT, TRAIN, coverage, cross_split_overlaps
 from lodestone.operators.rows import current_rows
+from lodestone.scratch import Scratch
 
 
 def current_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +57,32 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def image_links(images: DataFrame, scratch: Scratch, max_distance: int = 4) -> DataFrame:
+    """``a, b``: links of images by original path, digest, parent suggestion and hash that connect all that are linked.
+
+    Of the images that share a value each is linked to the least; near hashes are linked through the least image of
+    each hash.
+    """
+    hashed = images.where("hash is not null")
+    first = hashed.groupBy(F.col("hash").alias("h")).agg(F.min("image_id").alias("first"))
+    near = near_pairs(first.select("h", F.lit(3).alias("side")), max_distance, scratch=scratch)
+    near = near.join(first.select(F.col("h").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("h").alias("b"), F.col("first").alias("fb")), "b")
+    links = near.select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    for key in (["hash"], ["digest"], ["path_key"], ["source_id", "parent_key"]):
+        links = links.unionByName(star_links(images, key, "image_id", scratch))
+    return links
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "groups")
+    images = current_images(spark, sf_dir).select(
+        "image_id", "digest", "hash", same_path("original_path").alias("path_key"), same_text("source_id").alias("source_id"), same_text("parent_key").alias("parent_key")
+    )
+    images = scratch.write(images, "images")
+    found = connected_components(image_links(images, scratch), scratch=scratch)
+    return found.select(F.col("node").alias("image_id"), F.col("component").alias("group_id"))
+
+
 #: Unicode normalisation of SQL doesn't reach NFKC, so splits are matched by trimming and case; the tables spell them
 #: no other way.
 SPLIT_SQL = "case lower(trim(split)) when 'val' then 'valid' when 'validation' then 'valid' else lower(trim(split)) end"
