@@ -14,10 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": images.p1_found,
         "p1_report": images.p1_report,
+        "p3_found": images.p3_found,
+        "p3_split": images.p3_split,
         "p4_found": frames.p4_found,
         "p5_found": images.p5_found,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": images.P1_SQL, "p4_found": frames.P4_SQL}
+    return {"p1_found": images.P1_SQL, "p3_found": images.P3_SQL, "p4_found": frames.P4_SQL}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.hashes import hash_long
 from lodestone.functions.text import hex_digest, same_path, same_text
 from lodestone.llm.components import connected_components, star_links
+from lodestone.llm.groupsplit import grouped_split
 from lodestone.llm.nearhash import near_pairs
 from lodestone.llm.overlap import HELD_OUT, TRAIN, coverage, cross_split_overlaps
 from lodestone.operators.rows import current_rows
@@ -83,13 +84,45 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("node").alias("image_id"), F.col("component").alias("group_id"))
 
 
+#: Shares of the images.
+SHARES = {"train": 0.7, "valid": 0.15, "test": 0.15}
+
+
+def image_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/manifest.parquet")
+    split = same_text("split")
+    seen = F.coalesce("objects.classid", F.array().cast("array<int>"))
+    bits = F.array(*(F.lit(1 << c if c < 63 else -(1 << 63)) for c in range(64)))
+    classes = F.aggregate(
+        F.filter(seen, lambda c: c.between(0, 63)), F.lit(0).cast("bigint"), lambda a, c: a.bitwiseOR(F.get(bits, c))
+    )
+    rows = t.select(
+        F.col("image_id").alias("id"), same_text("groupid").alias("group"),
+        F.when(split.isin("val", "validation"), "valid").otherwise(split).alias("stored"), classes.alias("classes"),
+    )
+    return grouped_split(rows, SHARES)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of groups that the stored split tears apart."""
+    torn = image_split(spark, sf_dir).where("torn and stored is not null and component like 'group:%'")
+    return torn.select(F.col("id").alias("image_id")).distinct()
+
+
+def p3_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new split of every image."""
+    return image_split(spark, sf_dir).select(F.col("id").alias("image_id"), "component", "split")
+
+
 #: Unicode normalisation of SQL doesn't reach NFKC, so splits are matched by trimming and case; the tables spell them
 #: no other way.
-SPLIT_SQL = "case lower(trim(split)) when 'val' then 'valid' when 'validation' then 'valid' else lower(trim(split)) end"
-_IMAGES_SQL = """
+_BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)"
+_SPLIT = f"lower(trim(split, {_BLANKS}))"
+SPLIT_SQL = f"case {_SPLIT} when 'val' then 'valid' when 'validation' then 'valid' else {_SPLIT} end"
+_IMAGES_SQL = f"""
 image as (
-  select image_id, case when regexp_full_match(lower(trim(pixelsha256)), '[0-9a-f]{64}') then lower(trim(pixelsha256)) end as digest,
-    case when regexp_full_match(lower(trim(dhash)), '[0-9a-f]{16}') then ('0x' || lower(trim(dhash)))::ubigint end as hash, source
+  select image_id, case when regexp_full_match(lower(trim(pixelsha256, {_BLANKS})), '[0-9a-f]{{64}}') then lower(trim(pixelsha256, {_BLANKS})) end as digest,
+    case when regexp_full_match(lower(trim(dhash, {_BLANKS})), '[0-9a-f]{{16}}') then ('0x' || lower(trim(dhash, {_BLANKS})))::ubigint end as hash, source
   from normalized_inventory qualify row_number() over (partition by image_id order by auditedat desc) = 1)"""
 P1_SQL = f"""
 with {_IMAGES_SQL},
@@ -99,3 +132,12 @@ select distinct least(a.image_id, b.image_id) as image_id_a, greatest(a.image_id
 from record a join record b on a.split = 'train' and b.split <> 'train' and a.image_id <> b.image_id
   and (a.digest = b.digest or bit_count(xor(a.hash, b.hash)) <= 4)
 """
+_WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)).replace("＇", "")
+_NARROW = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "")
+#: SQL has NFC only; of what NFKC does beyond it, groups need the full-width forms, and of case folding no more than lower.
+P3_SQL = f"""
+with record as (select distinct image_id, {SPLIT_SQL} as split,
+    lower(trim(translate(nfc_normalize(groupid), '{_WIDE}', '{_NARROW}'), {_BLANKS})) as grp from manifest),
+torn as (select grp from record where grp <> '' group by grp having count(distinct split) > 1)
+select distinct image_id from record where split is not null and grp in (select grp from torn)
+"""
