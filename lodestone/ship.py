@@ -1,4 +1,4 @@
-"""The package on the executors: clusters whose workers don't share the driver's Python path get it as a zip."""
+"""The package on the workers, which need not share the driver's Python path: they get it as a zip."""
 
 from __future__ import annotations
 
@@ -12,9 +12,9 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors once for each application; a local session shares the driver's path."""
+    """Sends the package to the workers once for each application."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     here = Path(__file__).resolve().parent
     at = Path(tempfile.mkdtemp()) / "lodestone.zip"
