@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import queries_frames as frames
 from lodestone.llm import queries_images as images
+from lodestone.llm import queries_texts as texts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_split": images.p3_split,
         "p4_found": frames.p4_found,
         "p5_found": images.p5_found,
+        "p7_found": texts.p7_found,
+        "p7_items": texts.p7_items,
     }
 
 
