@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_split": images.p3_split,
         "p4_found": frames.p4_found,
         "p5_found": images.p5_found,
+        "p6_pack": texts.p6_pack,
         "p7_found": texts.p7_found,
         "p7_items": texts.p7_items,
     }

@@ -6,12 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.leaks import leaked_passages
+from lodestone.llm.packing import pack
+from lodestone.llm.tokens import token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Tokens of a container.
+CAPACITY = 2048
+
+
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every text, or those of its pieces."""
+    sizes = token_counts(_documents(spark, sf_dir)).select(F.col("doc_id").alias("id"), F.col("tokens").alias("units"))
+    packed = pack(sizes, CAPACITY)
+    return packed.select(F.col("id").alias("doc_id"), "piece", F.col("first_unit").alias("first_token"), F.col("units").alias("tokens"), "container", "tier", "step")
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_passages(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/eval_item.parquet"), window=12)
 
