@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_pack": texts.p6_pack,
         "p7_found": texts.p7_found,
         "p7_items": texts.p7_items,
+        "p8_found": texts.p8_found,
+        "p8_sources": texts.p8_sources,
     }
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.leaks import leaked_passages
 from lodestone.llm.packing import pack
+from lodestone.llm.stuffing import keyword_pages
 from lodestone.llm.tokens import token_counts
 
 
@@ -36,3 +37,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items that leak: in how many documents, and the most places of the item that one document holds."""
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("windows").alias("most_windows"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword_pages(_documents(spark, sf_dir)).select("doc_id").distinct()
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword pages per source, beside all its pages, with the mean share of repeated strings in them."""
+    texts = _documents(spark, sf_dir)
+    pages = keyword_pages(texts).join(texts.select("doc_id", "source"), "doc_id")
+    spam = pages.groupBy("source").agg(F.count(F.lit(1)).alias("keyword_pages"), F.round(F.avg("repeated_share"), 6).alias("mean_repeated"))
+    return texts.groupBy("source").agg(F.count(F.lit(1)).alias("pages")).join(spam, "source")
