@@ -28,4 +28,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": images.P1_SQL, "p3_found": images.P3_SQL, "p4_found": frames.P4_SQL}
+    return {
+        "p1_found": images.P1_SQL,
+        "p3_found": images.P3_SQL,
+        "p4_found": frames.P4_SQL,
+        "p5_found": images.P5_SQL,
+        "p7_found": texts.P7_SQL,
+    }

@@ -141,3 +141,22 @@ with record as (select distinct image_id, {SPLIT_SQL} as split,
 torn as (select grp from record where grp <> '' group by grp having count(distinct split) > 1)
 select distinct image_id from record where split is not null and grp in (select grp from torn)
 """
+
+
+def _same(column: str) -> str:
+    return f"nullif(lower(trim(translate(nfc_normalize({column}), '{_WIDE}', '{_NARROW}'), {_BLANKS})), '')"
+
+
+P5_SQL = f"""
+with recursive {_IMAGES_SQL},
+keyed as (select image_id, digest, hash, replace({_same('source.originalpath')}, '\\', '/') as path_key,
+    {_same('source.id')} || '|' || {_same('source.parentsuggestion.key')} as parent_key from image),
+star as (
+  select image_id as a, min(image_id) over (partition by digest) as b from keyed where digest is not null
+  union select image_id, min(image_id) over (partition by path_key) from keyed where path_key is not null
+  union select image_id, min(image_id) over (partition by parent_key) from keyed where parent_key is not null
+  union select x.image_id, y.image_id from keyed x join keyed y on x.image_id > y.image_id and bit_count(xor(x.hash, y.hash)) <= 4),
+edge as (select a, b from star where a <> b union select b, a from star where a <> b),
+reach(node, root) as (select a, a from edge union select e.b, r.root from reach r join edge e on e.a = r.node)
+select node as image_id, min(root) as group_id from reach group by node
+"""

@@ -46,6 +46,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword pages per source, beside all its pages, with the mean share of repeated strings in them."""
     texts = _documents(spark, sf_dir)
-    pages = keyword_pages(texts).join(texts.select("doc_id", "source"), "doc_id")
-    spam = pages.groupBy("source").agg(F.count(F.lit(1)).alias("keyword_pages"), F.round(F.avg("repeated_share"), 6).alias("mean_repeated"))
-    return texts.groupBy("source").agg(F.count(F.lit(1)).alias("pages")).join(spam, "source")
+    rows = texts.select("doc_id", "source").join(keyword_pages(texts), "doc_id", "left")
+    return rows.groupBy("source").agg(
+        F.count(F.lit(1)).alias("pages"), F.count("list_share").alias("keyword_pages"), F.round(F.avg("repeated_share"), 6).alias("mean_repeated")
+    )
+
+
+_WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)).replace("＇", "")
+_NARROW = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "")
+#: SQL has NFC only; of what NFKC does beyond it, the texts here need the full-width forms and the blanks.
+_WORDS = f"""list_filter(string_split_regex(lower(translate(nfc_normalize(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'),
+    '[\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{2060}}\\x{{FEFF}}\\x{{00AD}}]', '', 'g')), '{_WIDE}', '{_NARROW}')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"""
+P7_SQL = f"""
+with item as (select item_id, {_WORDS} as w from eval_item where text is not null),
+item_window as (select distinct item_id, list_slice(w, k, k + 11) as win from (select item_id, w, unnest(range(1, len(w) - 10)) as k from item)),
+doc as (select doc_id, {_WORDS} as w from documents where text is not null),
+doc_window as (select doc_id, list_slice(w, k, k + 11) as win from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from doc))
+select distinct doc_id, item_id from doc_window join item_window using (win)
+"""
