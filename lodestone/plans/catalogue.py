@@ -16,4 +16,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": copies.P2_SQL}

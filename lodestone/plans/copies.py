@@ -44,3 +44,31 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         missing_in_right="missing_in_mapping",
         names=FIELDS,
     )
+
+
+_WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)).replace("＇", "")
+_NARROW = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "")
+_BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)"
+
+
+def _same(column: str) -> str:
+    """SQL has NFC only; of what NFKC does beyond it, the tables here need the full-width forms and the blanks."""
+    return f"nullif(lower(trim(translate(nfc_normalize({column}), '{_WIDE}', '{_NARROW}'), {_BLANKS})), '')"
+
+
+def _side_sql(path: str, order: str, table: str) -> str:
+    return f"""select replace({_same(path)}, '\\', '/') as filekey, driveid, {_same("source.id")} as source_id,
+    replace({_same("source.originalpath")}, '\\', '/') as originalpath, {_same("source.licensestatus")} as licensestatus,
+    {_same("source.parentsuggestion.key")} as parent_key
+  from {table} qualify row_number() over (partition by filekey order by {order} desc) = 1"""
+
+
+P2_SQL = f"""
+with drive as ({_side_sql("path", "listedat", "(select * from drive_inventory where kind = 'image')")}),
+mapping as ({_side_sql("newpath", "line_no", "rename_mapping")}),
+paired as (select d.filekey as dk, m.filekey as mk, d, m from drive d full join mapping m on d.filekey = m.filekey)
+select coalesce(dk, mk) as filekey, case when mk is null then 'missing_in_mapping' else 'missing_in_drive' end as difference
+from paired where dk is null or mk is null
+""" + "".join(
+    f"union all select dk, '{name}' from paired where dk is not null and mk is not null and d.{field} is distinct from m.{field}\n" for field, name in FIELDS.items()
+)
