@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import copies
+from lodestone.plans import copies, frames
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": copies.p2_found}
+    return {"p2_found": copies.p2_found} | frames.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": copies.P2_SQL}
+    return {"p2_found": copies.P2_SQL} | frames.SQL
