@@ -29,8 +29,11 @@ def bgr_to_rgb(data: Column) -> Column:
 
 def normalized_tensor(rgb: Column, mean: tuple[float, float, float], deviation: tuple[float, float, float]) -> Column:
     """Rows of ``[r, g, b]`` in 0..255 as three planes of ``(value / 255 - mean) / deviation`` in single precision."""
-    planes = [F.transform(rgb, lambda p, c=c, m=m, d=d: ((F.get(p, F.lit(c)) / 255.0 - m) / d).cast("float")) for c, (m, d) in enumerate(zip(mean, deviation, strict=True))]
-    return F.array(*planes)
+
+    def plane(c: int) -> Column:
+        return F.transform(rgb, lambda p: ((F.get(p, F.lit(c)) / 255.0 - mean[c]) / deviation[c]).cast("float"))
+
+    return F.array(*(plane(c) for c in range(3)))
 
 
 def largest_error(a: Column, b: Column) -> Column:
