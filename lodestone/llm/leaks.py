@@ -24,7 +24,7 @@ from lodestone.scratch import Scratch
 
 #: Words of a shingle, and of item text in one block (its tables take about 100 bytes a word).
 SHINGLE = 5
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
 #: Words looked up at once.
 CHUNK = 200_000
 
