@@ -50,8 +50,11 @@ def match(dets: Column, truth: Column, least: float = MATCH_IOU) -> Column:
 
 
 def reachable(dets: Column, scores: Sequence[float], overlaps: Sequence[float]) -> Column:
-    """Anchors among the first objects that survive under any of the thresholds: all that need to be classified."""
-    kept = [F.transform(F.slice(suppress(dets, F.lit(s), F.lit(o)), 1, OBJECTS), lambda d: d["anchor"]) for s in scores for o in overlaps]
+    """Anchors among the first objects that survive under any of the thresholds: all that need to be classified.
+
+    Under a higher score the objects are those of the lowest without the weaker ones, so the lowest alone decides.
+    """
+    kept = [F.transform(suppress(dets, F.lit(float(min(scores))), F.lit(float(o)), OBJECTS), lambda d: d["anchor"]) for o in overlaps]
     return F.array_sort(F.array_distinct(F.flatten(F.array(*kept))))
 
 

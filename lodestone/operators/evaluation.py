@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.detections import CANDIDATES, OBJECTS, match, suppress
+from lodestone.functions.let import let
 from lodestone.functions.logits import CLASSES, accepted, top_two
 from lodestone.operators.rows import current_rows
 
@@ -192,28 +193,35 @@ def threshold_grid(spark: SparkSession, grid: dict[str, tuple] = GRID) -> DataFr
 def grid_scores(frames: DataFrame, grid: dict[str, tuple] = GRID) -> DataFrame:
     """``grid_idx``, the thresholds, ``macro_f1, coverage, negative_accepts`` of every combination.
 
-    Suppression and matching depend on two of the four thresholds, so they run once for each pair of these; each
-    object then gives its best class, confidence and margin once, and equal ones are counted together before the other
-    two thresholds are applied to the counts.
+    Suppression and matching go from the best box down, so what they decide about a box doesn't depend on weaker ones:
+    under a higher detector threshold the same boxes stay, without those below it. So both run once for each overlap
+    with the lowest detector threshold, and for the objects only. Each object gives its best class, confidence and
+    margin once, and equal outcomes are counted together before the other two thresholds are applied to the counts.
     """
     spark = frames.sparkSession
-    pairs = F.array(*(F.struct(F.lit(float(d)).alias("detector"), F.lit(float(o)).alias("overlap")) for d, o in product(grid["detector"], grid["overlap"])))
-    f = frames.select("path", "truth", "detections", F.explode(pairs).alias("p")).select("path", "truth", "detections", "p.*")
-    f = judged(f, F.col("detector"), F.col("overlap"))
+    overlaps = F.array(*(F.lit(float(o)) for o in grid["overlap"]))
+    f = frames.select("path", "truth", "detections", F.explode(overlaps).alias("overlap"))
+    f = _settled(f, objects=suppress(F.col("detections"), float(min(grid["detector"])), F.col("overlap"), OBJECTS))
+    f = _settled(f, matched=match(F.col("objects"), F.col("truth")))
+    inner = [(float(c), float(m)) for c, m in product(grid["classifier"], grid["margin"])]
+    keys = ["detector", "overlap", "classifier", "margin"]
+    # Bit i of ``yes``: the object is accepted under the i-th pair of classifier and margin.
+    yes = lambda b: sum((F.when(accepted(b, c, m), 1 << i).otherwise(0) for i, (c, m) in enumerate(inner[1:], 1)), F.when(accepted(b, *inner[0]), 1).otherwise(0))
 
     def case(d: Column, i: Column) -> Column:
         t = F.get("matched", i)
-        return F.struct(F.when(t >= 0, F.get("truth", t)["class_id"]).otherwise(BACKGROUND).alias("row"), top_two(d["logits"]).alias("best"))
-
-    f = _settled(f, seen=F.transform("objects", case)).select(
-        "detector", "overlap", (F.size("truth") == 0).alias("negative"), "seen",
-        F.filter(F.transform("truth", lambda t, i: F.struct(t["class_id"].alias("row"), i.alias("i"))), lambda m: ~F.array_contains("matched", m["i"])).alias("missed"),
+        row = F.when(t >= 0, F.get("truth", t)["class_id"]).otherwise(BACKGROUND)
+        best = top_two(d["logits"])
+        return let(best, lambda b: F.struct(row.alias("row"), b["class_id"].alias("cls"), yes(b).alias("yes"), d["score"].alias("score"), t.alias("t")))
+
+    f = _settled(f, all_seen=F.transform("objects", case)).select("overlap", "truth", "all_seen", F.explode(F.array(*(F.lit(float(d)) for d in grid["detector"]))).alias("detector"))
+    f = _settled(f, seen=F.filter("all_seen", lambda s: s["score"] >= F.col("detector")))
+    hits = F.transform("seen", lambda s: s["t"])
+    f = f.select(
+        "detector", "overlap", "seen", (F.size("truth") == 0).alias("negative"),
+        F.filter(F.transform("truth", lambda t, i: F.struct(t["class_id"].alias("row"), i.alias("i"))), lambda m: ~F.array_contains(hits, m["i"])).alias("missed"),
     )
-    inner = [(float(c), float(m)) for c, m in product(grid["classifier"], grid["margin"])]
-    keys = ["detector", "overlap", "classifier", "margin"]
-    # Bit i of ``yes``: the object is accepted under the i-th pair of the other two thresholds.
-    yes = lambda b: sum((F.when(accepted(b, c, m), 1 << i).otherwise(0) for i, (c, m) in enumerate(inner[1:], 1)), F.when(accepted(b, *inner[0]), 1).otherwise(0))
-    f = _settled(f, cells=F.transform("seen", lambda s: F.struct(s["row"].alias("row"), s["best"]["class_id"].alias("cls"), yes(s["best"]).alias("yes"))))
+    f = f.withColumn("cells", F.transform("seen", lambda s: F.struct(s["row"].alias("row"), s["cls"].alias("cls"), s["yes"].alias("yes"))))
     none = F.array().cast("array<struct<row:int,cls:int,yes:int>>")
     cell = lambda row, cls, bits: F.struct(F.lit(row).cast("int").alias("row"), F.lit(cls).cast("int").alias("cls"), bits.cast("int").alias("yes"))
     any_yes = F.aggregate("cells", F.lit(0), lambda a, c: a.bitwiseOR(c["yes"]))
