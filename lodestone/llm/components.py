@@ -27,16 +27,16 @@ def star_links(members: DataFrame, key: list[str], node: str, scratch: Scratch)
     return lookup_join(rows, least, "key", rows=rows.count()).where("a <> b").select("a", "b")
 
 
-def connected_components(links: DataFrame, *, scratch: Scratch | None = None) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """``node bigint, component bigint``: every node of a link, with the least node it is linked to in any number of steps.
 
     ``links``: ``a bigint, b bigint``, in any direction and number; those with a null end or from a node to itself
     are ignored, so a node that occurs only there isn't in the result. An empty table gives an empty one. Nodes with
     any number of links are fine: their minima combine before the shuffle, and labels are looked up by
-    :func:`lodestone.operators.rows.lookup_join`.
+    :func:`lodestone.operators.rows.lookup_join`. ``links`` is read once, before the function returns.
     """
     spark = links.sparkSession
-    scratch = scratch or Scratch(spark, "components")
+    scratch = Scratch(spark, "components")
     rows = links.where("a is not null and b is not null and a <> b")
     edges = scratch.write(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges0")
     labels, level = None, 0

@@ -167,5 +167,6 @@ def grouped_split(records: DataFrame, shares: dict[str, float], *, bins: int = B
     if placed:
         where = where.unionByName(spark.createDataFrame(list(placed.items()), "component string, split string"))
     where = scratch.write(where.join(parts.select("component", "torn"), "component"), "placed")
+    scratch.drop("dealt", "components")
     return lookup_join(rows, where, "component", rows=rows.count()).select("id", "component", "split", "stored", "torn")
 

@@ -80,7 +80,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         "image_id", "digest", "hash", same_path("original_path").alias("path_key"), same_text("source_id").alias("source_id"), same_text("parent_key").alias("parent_key")
     )
     images = scratch.write(images, "images")
-    found = connected_components(image_links(images, scratch), scratch=scratch)
+    found = connected_components(image_links(images, scratch))
+    scratch.clear()  # the links were read; what the result reads lies elsewhere
     return found.select(F.col("node").alias("image_id"), F.col("component").alias("group_id"))
 
 

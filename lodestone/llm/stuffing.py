@@ -24,23 +24,16 @@ from lodestone.llm.words import words
 #: Common function words of Indonesian and English.
 FUNCTION_WORDS = frozenset(
     """
-    ada adalah agar akan antara apa apabila apakah atas atau bagaimana bagi bahwa barangkali beberapa begitu belum bila
-    bisa boleh bukan dalam dan dapat dari daripada dekat demi dengan di dia dulu guna hampir hanya harus hingga ia ialah
-    ini itu jadi jangan jika juga kadang kalau kami kamu karena kata ke kecuali kemudian kepada ketika kita konon kurang
-    lagi lain lalu lebih lewat maka mana masih masing maupun melainkan memang menjadi menurut mereka meski meskipun
-    misalnya mungkin namun naik oleh pada padahal paling para pernah per pun pula saat saja saling sama sambil sampai
-    sangat saya seandainya sebab sebagai sebanyak sebelum sedang sedangkan sehingga sejak sekarang sekitar selain selama
-    seluruh semakin semua sementara sendiri seolah seorang seperti seharga sering serta sesuai sesudah setelah setiap
-    siapa suatu sudah supaya tadi tampak tanpa tapi telah tentang tentu ternyata terhadap terlihat tetap tetapi tiap
-    tidak untuk walau walaupun yaitu yakni yang
-    a about above after again against all almost already also although always am among an and another any are around as
-    at be because been before being below beside between both but by can could did do does down during each either else
-    even ever every except few for from had has have he her here him his how however i if in inside instead into is it
-    its just later less lay like many maybe might more most much must near neither never next no nobody none nor not
-    now of off often on once only onto or other our out outside over own perhaps rather said same seemed she should
-    since so some still such than that the their them then there these they this those though through thus to together
-    too toward under unless until up upon very was we were what when where whereas whether which while who whom whose
-    why will with within without would yet you your
+    ada adalah agar akan antara apa apakah atas atau bagaimana bagi bahwa begitu belum bila bisa bukan dalam dan dapat
+    dari daripada dekat dengan di hanya hingga ia ini itu jika juga kadang kalau kami karena kata ke kecuali kemudian
+    kepada ketika kita konon lagi lalu lebih maka mana masih menjadi menurut mereka meski meskipun namun naik oleh pada
+    padahal para per pun saat saja sama sambil sampai saya sebab sebagai sebanyak sebelum sedangkan sehingga sejak
+    sekitar selama semua sementara seperti seharga serta sesudah setelah setiap sudah supaya tampak tanpa tapi telah
+    ternyata terhadap terlihat tetap tetapi tidak untuk yang
+    a about after against all although an and any are as at be because been before below but by can could each for from
+    had has have he how if in into is it like may more most no nobody not of on only or other our over said she should
+    since so some still such than that the their then there these they this those though through to under until upon
+    was we were what when where whereas which while who why will with within without would you
     """.split()
 )
 #: Indonesian verbs by their prefix (meN- and passive di-, but not loanwords such as those in dis- with a consonant),

@@ -162,7 +162,7 @@ LISTS = {
 }
 PAGES = {
     10: HONEST * 3, 11: HONEST, 12: HONEST * 6 + "\nTags: ginger, turmeric, galangal, cheap ginger, ginger powder",
-    13: HONEST.lower().replace(",", "").replace(".", "") * 4, 14: HONEST.upper() * 2, 15: "", 16: "...", 17: None, 18: "Rimpang itu dicuci lalu dijemur sampai kering.",
+    13: HONEST.lower().replace(",", "").replace(".", "") * 4, 14: HONEST.upper() * 2, 15: "", 16: "...", 17: None, 18: "Jahe itu dicuci lalu dijemur sampai kering.",
 }
 
 
