@@ -8,9 +8,10 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.detections import CANDIDATES, OBJECTS, match, suppress
+from lodestone.functions.detections import CANDIDATES, MATCH_IOU, OBJECTS, match, suppress
 from lodestone.functions.let import let
 from lodestone.functions.logits import CLASSES, accepted, top_two
+from lodestone.operators.positions import with_running
 from lodestone.operators.rows import current_rows
 
 #: Columns and rows of the confusion matrix beyond the classes.
@@ -262,3 +263,29 @@ def calibrate(frames: DataFrame, grid: dict[str, tuple] = GRID) -> DataFrame:
     if frames.where("split <> 'valid' or split is null").limit(1).count():
         raise ValueError("thresholds are chosen on valid frames only")
     return best_thresholds(grid_scores(frames, grid))
+
+
+def average_precision(frames: DataFrame, least: float = MATCH_IOU, score: float = 0.001, overlap: float = 0.7) -> DataFrame:
+    """``truths, boxes, hits, ap``: the area under precision over recall of the detector alone, at 101 levels of recall.
+
+    Boxes that survive suppression are matched frame by frame and then ranked by score over all frames. The precision
+    at a level is the best one at that recall or beyond. Only 101 numbers are left before the last step. Null without
+    truths.
+    """
+    f = _settled(frames, survivors=suppress(F.col("detections"), score, overlap, CANDIDATES))
+    f = _settled(f, hits=match(F.col("survivors"), F.col("truth"), least))
+    boxes = f.select("path", F.explode(F.arrays_zip("survivors", "hits")).alias("b"))
+    boxes = boxes.select("path", F.col("b.survivors.score").alias("score"), F.col("b.survivors.anchor").alias("anchor"), (F.col("b.hits") >= 0).cast("int").alias("hit"))
+    ranked = with_running(boxes, [F.desc("score"), "path", "anchor"], {"hits": "hit"})
+    truths = frames.agg(F.coalesce(F.sum(F.size("truth")), F.lit(0)).alias("truths"))
+    points = ranked.crossJoin(F.broadcast(truths))  # one row
+    precision = F.col("hits") / (F.col("position") + 1)
+    # The last level that a point's recall reaches: level i stands for i of 100.
+    level = F.expr("hits * 100 div truths")
+    best = points.where("hit = 1").groupBy(level.alias("level")).agg(F.max(precision).alias("precision"))
+    levels = frames.sparkSession.range(101).select(F.col("id").alias("level"))
+    beyond = Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)  # 101 rows
+    reached = levels.join(best, "level", "left").select(F.max("precision").over(beyond).alias("p"))
+    ap = reached.agg((F.sum(F.coalesce("p", F.lit(0.0))) / 101).alias("ap"))
+    n = boxes.agg(F.count(F.lit(1)).alias("boxes"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"))
+    return truths.crossJoin(n).crossJoin(ap).select("truths", "boxes", "hits", F.when(F.col("truths") > 0, F.col("ap")).alias("ap"))

@@ -89,7 +89,12 @@ def best_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nine(ev.best_thresholds(ev.grid_scores(valid)), "macro_f1", "coverage")
 
 
+def detector_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nine(ev.average_precision(frames(spark, sf_dir)), "ap")
+
+
 QUERIES = {
+    "detector_ap": detector_ap,
     "nms": nms,
     "match_detections": match_detections,
     "softmax_top2": softmax_top2,
@@ -125,9 +130,9 @@ def _iou(a: str, b: str) -> str:
     return f"(case when {union} > 0 then {shared} / {union} else 0.0::double end)"
 
 
-def _survivors(detector: str, overlap: str) -> str:
+def _survivors(detector: str, overlap: str, limit: int = 30) -> str:
     return f"""list_reduce(list_concat([[]], list_transform(list_filter(detections, lambda d: d.score >= {detector}), lambda d: [d])),
-    lambda acc, x: case when len(acc) >= 30 or len(list_filter(acc, lambda k: {_iou('k.box', 'x[1].box')} > {overlap})) > 0 then acc else list_append(acc, x[1]) end)"""
+    lambda acc, x: case when len(acc) >= {limit} or len(list_filter(acc, lambda k: {_iou('k.box', 'x[1].box')} > {overlap})) > 0 then acc else list_append(acc, x[1]) end)"""
 
 
 #: For each survivor the position of its truth from 1, or 0.
@@ -241,3 +246,12 @@ SQL |= {
     "threshold_grid": f"with {_GRID} select {_SHOWN} from grid",
     "best_thresholds": f"with {_GRID} select {_SHOWN} from grid order by macro desc, coalesce(cov, 0) desc, negative_accepts, grid_idx limit 1",
 }
+SQL["detector_ap"] = f"""with {_FRAMES},
+kept as (select path, truth, {_survivors('0.001', '0.7', 300)} as survivors from frame),
+judged as (select *, {_MATCH} as matched from kept),
+box as (select path, survivors[k].score as score, survivors[k].anchor as anchor, (matched[k] > 0)::int as hit from (select *, unnest(range(1, len(survivors) + 1)) as k from judged)),
+ranked as (select hit, sum(hit) over w as hits, row_number() over w as n from box window w as (order by score desc, path, anchor)),
+t as (select sum(len(truth)) as truths from frame),
+point as (select (hits * 100 // truths)::int as level, max(hits::double / n) as precision from ranked, t where hit = 1 group by 1),
+env as (select l.i, coalesce((select max(precision) from point where level >= l.i), 0) as p from range(101) l(i))
+select truths::bigint as truths, (select count(*) from box) as boxes, (select sum(hit) from box)::bigint as hits, round((select sum(p) from env) / 101, 9) as ap from t"""

@@ -13,7 +13,7 @@ from lodestone.operators import quality as Q
 from lodestone.operators import review as R
 from lodestone.operators import seeded as S
 from lodestone.operators.catalog import describe, others, search
-from lodestone.operators.positions import with_positions
+from lodestone.operators.positions import with_positions, with_running
 
 FRAME = (
     "path string, group_id string, split string, truth array<struct<box:struct<x:double,y:double,w:double,h:double>,class_id:int,logits:array<double>>>,"
@@ -124,6 +124,14 @@ def test_threshold_grid(spark):
     assert E.calibrate(spark.createDataFrame(rows, FRAME)).first().grid_idx == best[1]
 
 
+def test_average_precision(spark):
+    # Ranked by score: hit, false alarm, hit, and one truth that is never found.
+    rows = [("a", "g", "test", [(grid_box(0), 1, None), (grid_box(4), 1, None)], [(grid_box(0), 0.9, 1, None), (grid_box(8), 0.8, 2, None), (grid_box(4), 0.7, 3, None)]), ("b", "g", "test", [(grid_box(1), 1, None)], [])]
+    r = E.average_precision(spark.createDataFrame(rows, FRAME)).first()
+    assert (r.truths, r.boxes, r.hits) == (3, 3, 2) and r.ap == pytest.approx((34 * 1.0 + 33 * 2 / 3) / 101)
+    assert E.average_precision(spark.createDataFrame([], FRAME)).first().ap is None
+
+
 def test_thresholds_are_not_tuned_on_test(spark):
     with pytest.raises(ValueError, match="valid"):
         E.calibrate(spark.createDataFrame([("f", "g", "test", [], [])], FRAME))
@@ -194,6 +202,8 @@ def test_positions(spark):
     df = spark.createDataFrame([(r,) for r in rows], "x int").repartition(7)
     assert all(r.position == r.x for r in with_positions(df, ["x"]).collect())
     assert with_positions(df.where("false"), ["x"]).count() == 0
+    sums = {r.x: r.s for r in with_running(df, [F.desc("x")], {"s": "x"}).collect()}
+    assert all(sums[x] == sum(range(x, 500)) for x in (0, 17, 499))
 
 
 def test_seeded_split(spark):
