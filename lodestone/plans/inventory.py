@@ -22,14 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The current row of every image."""
-    t = table(spark, sf_dir, "normalized_inventory").where("image_id is not null").select(
-        "image_id", "auditedat", "path", "sha256", "width", "height", "dhash", "pixelsha256", "originalpath", "originalsha256",
-        F.col("classproposal.classid").alias("classid"), F.col("classproposal.slug").alias("slug"),
-    )
-    now = current_rows(t, ["image_id"], "auditedat", [c for c in t.columns if c not in ("image_id", "auditedat")])
-    return now.withColumn("digest", hex_digest("pixelsha256", 64)).withColumn("hash", hash_long(hex_digest("dhash", 16)))
+def images(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``image_id`` and the columns asked for, of the current row of every image; no others are read."""
+    derived = {
+        "digest": hex_digest("pixelsha256", 64), "hash": hash_long(hex_digest("dhash", 16)),
+        "classid": F.col("classproposal.classid"), "slug": F.col("classproposal.slug"),
+    }
+    t = table(spark, sf_dir, "normalized_inventory").where("image_id is not null")
+    t = t.select("image_id", "auditedat", *(derived.get(c, F.col(c)).alias(c) for c in columns))
+    return current_rows(t, ["image_id"], "auditedat", list(columns)) if columns else t.select("image_id").distinct()
 
 
 def drive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,19 +44,19 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.exact_clusters(images(spark, sf_dir), "digest", "path", "classid")
+    return duplicates.exact_clusters(images(spark, sf_dir, "digest", "path", "classid"), "digest", "path", "classid")
 
 
 def exact_duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.exact_members(images(spark, sf_dir), "digest", "path", "classid")
+    return duplicates.exact_members(images(spark, sf_dir, "digest", "path", "classid"), "digest", "path", "classid")
 
 
 def dedupe_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.representatives(images(spark, sf_dir).select("digest", "path", "image_id"), "digest", "path")
+    return duplicates.representatives(images(spark, sf_dir, "digest", "path").select("digest", "path", "image_id"), "digest", "path")
 
 
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.hamming_pairs(images(spark, sf_dir), "hash", 4)
+    return duplicates.hamming_pairs(images(spark, sf_dir, "hash"), "hash", 4)
 
 
 def near_duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,7 @@ def near_duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reconcile_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected = images(spark, sf_dir).groupBy("slug").agg(F.count(F.lit(1)).alias("n"))
+    expected = images(spark, sf_dir, "slug").groupBy("slug").agg(F.count(F.lit(1)).alias("n"))
     listed = table(spark, sf_dir, "drive_inventory").where("kind = 'image'").select("path", F.col("classproposal.slug").alias("slug")).distinct()
     return quality.counts_against(listed, "slug", expected)
 
@@ -91,7 +92,7 @@ def class_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.remaining(images(spark, sf_dir).select("image_id", "path"), table(spark, sf_dir, "manifest"), "image_id")
+    return quality.remaining(images(spark, sf_dir, "path").select("image_id", "path"), table(spark, sf_dir, "manifest"), "image_id")
 
 
 def subset_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,12 +102,12 @@ def subset_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sym_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.symmetric_difference(table(spark, sf_dir, "manifest").select("path").distinct(), images(spark, sf_dir).select("path").distinct())
+    return quality.symmetric_difference(table(spark, sf_dir, "manifest").select("path").distinct(), images(spark, sf_dir, "path").select("path").distinct())
 
 
 def receipt_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = drive(spark, sf_dir).select("path", "sha256")
-    audited = images(spark, sf_dir).groupBy(F.col("originalpath").alias("path")).agg(F.max("originalsha256").alias("sha256")).where("path is not null")
+    audited = images(spark, sf_dir, "originalpath", "originalsha256").groupBy(F.col("originalpath").alias("path")).agg(F.max("originalsha256").alias("sha256")).where("path is not null")
     return quality.verify_receipts(audited, listed, "path", ["sha256"])
 
 
@@ -145,7 +146,7 @@ def yolo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def letterbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = images(spark, sf_dir).select("width", "height").where("width > 0 and height > 0").distinct()
+    sizes = images(spark, sf_dir, "width", "height").select("width", "height").where("width > 0 and height > 0").distinct()
     g = geometry.letterbox(F.col("width"), F.col("height"))
     ratio = geometry.fit_preview(F.col("width") / F.col("height"), F.lit(4 / 3))
     cols = [F.col(f"g.{c}").alias(a) for c, a in (("width", "w"), ("height", "h"), ("left", "left"), ("top", "top"))]
@@ -154,7 +155,7 @@ def letterbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def padded_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = manifest(spark, sf_dir).select("image_id", F.posexplode("objects").alias("instance", "o")).where("size(o.bbox) = 4")
-    rows = o.join(images(spark, sf_dir).select("image_id", "width", "height"), "image_id")
+    rows = o.join(images(spark, sf_dir, "width", "height").select("image_id", "width", "height"), "image_id")
     b = geometry.box(*(F.col("o.bbox")[i] for i in range(4)))
     return rows.select("image_id", "instance", F.inline_outer(F.array(geometry.padded_crop(b, F.col("width"), F.col("height")))))
 
@@ -203,13 +204,13 @@ def json_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dataset_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of the set of (path, sha256), whatever their order: the sums of four parts of each pair's SHA-256."""
     pair = F.sha2(F.concat_ws("\n", "path", F.coalesce("sha256", F.lit(""))), 256)
-    rows = images(spark, sf_dir).select(pair.alias("p"))
+    rows = images(spark, sf_dir, "path", "sha256").select(pair.alias("p"))
     parts = (F.sum(F.conv(F.substring("p", 1 + 8 * i, 8), 16, 10).cast("bigint")).alias(f"part{i}") for i in range(4))
     return rows.agg(F.count(F.lit(1)).alias("files"), *parts)
 
 
 def normalized_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images(spark, sf_dir).select("image_id", paths.quoted_path(F.col("path")).alias("address"))
+    return images(spark, sf_dir, "path").select("image_id", paths.quoted_path(F.col("path")).alias("address"))
 
 
 QUERIES = {
