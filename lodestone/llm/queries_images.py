@@ -15,17 +15,17 @@ from lodestone.operators.rows import current_rows
 from lodestone.scratch import Scratch
 
 
-def current_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest audit of every image: ``image_id, digest, hash`` and its source fields as they stand."""
-    t = spark.read.parquet(f"{sf_dir}/normalized_inventory.parquet")
-    rows = t.where("image_id is not null").select(
-        "image_id", "auditedat", "pixelsha256", "dhash",
-        F.col("source.id").alias("source_id"), F.col("source.originalpath").alias("original_path"), F.col("source.parentsuggestion.key").alias("parent_key"),
-    )
-    now = current_rows(rows, ["image_id"], "auditedat", ["pixelsha256", "dhash", "source_id", "original_path", "parent_key"])
-    return now.select(
-        "image_id", hex_digest("pixelsha256", 64).alias("digest"), hash_long(hex_digest("dhash", 16)).alias("hash"), "source_id", "original_path", "parent_key"
-    )
+def current_images(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``image_id`` and the columns asked for, of the latest audit of every image; no others are read."""
+    known = {
+        "digest": F.col("pixelsha256"), "hash": F.col("dhash"), "source_id": F.col("source.id"),
+        "original_path": F.col("source.originalpath"), "parent_key": F.col("source.parentsuggestion.key"),
+    }
+    t = spark.read.parquet(f"{sf_dir}/normalized_inventory.parquet").where("image_id is not null")
+    now = current_rows(t.select("image_id", "auditedat", *(known[c].alias(c) for c in columns)), ["image_id"], "auditedat", list(columns))
+    # Hashes are checked after the choice: only current rows need it.
+    checked = {"digest": hex_digest("digest", 64), "hash": hash_long(hex_digest("hash", 16))}
+    return now.withColumns({c: checked[c] for c in columns if c in checked})
 
 
 def manifest_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def manifest_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = manifest_splits(spark, sf_dir).join(current_images(spark, sf_dir), "image_id")
+    rows = manifest_splits(spark, sf_dir).join(current_images(spark, sf_dir, "digest", "hash"), "image_id")
     side = F.when(F.col("split") == "train", TRAIN).otherwise(HELD_OUT)
     return cross_split_overlaps(rows.select(F.col("image_id").alias("id"), side.alias("side"), "digest", "hash"))
 
@@ -51,7 +51,7 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping images per split and source, with the sum of their partners and their mean coverage."""
     records = coverage(_overlaps(spark, sf_dir))
     splits = manifest_splits(spark, sf_dir).withColumn("side", F.when(F.col("split") == "train", "train").otherwise("held_out"))
-    sources = current_images(spark, sf_dir).select("image_id", same_text("source_id").alias("source_id"))
+    sources = current_images(spark, sf_dir, "source_id").select("image_id", same_text("source_id").alias("source_id"))
     rows = records.withColumnRenamed("id", "image_id").join(splits, ["image_id", "side"]).join(sources, "image_id", "left")
     return rows.groupBy("split", "source_id").agg(
         F.count(F.lit(1)).alias("images"), F.sum("partners").alias("partners"), F.round(F.avg("covered"), 6).alias("mean_covered")
@@ -76,7 +76,7 @@ def image_links(images: DataFrame, scratch: Scratch, max_distance: int = 4) -> D
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "groups")
-    images = current_images(spark, sf_dir).select(
+    images = current_images(spark, sf_dir, "digest", "hash", "original_path", "source_id", "parent_key").select(
         "image_id", "digest", "hash", same_path("original_path").alias("path_key"), same_text("source_id").alias("source_id"), same_text("parent_key").alias("parent_key")
     )
     images = scratch.write(images, "images")
