@@ -30,8 +30,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": images.P1_SQL,
+        "p1_report": images.P1_REPORT_SQL,
         "p3_found": images.P3_SQL,
         "p4_found": frames.P4_SQL,
         "p5_found": images.P5_SQL,
         "p7_found": texts.P7_SQL,
+        "p7_items": texts.P7_ITEMS_SQL,
     }

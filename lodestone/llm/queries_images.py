@@ -161,3 +161,17 @@ edge as (select a, b from star where a <> b union select b, a from star where a
 reach(node, root) as (select a, a from edge union select e.b, r.root from reach r join edge e on e.a = r.node)
 select node as image_id, min(root) as group_id from reach group by node
 """
+P1_REPORT_SQL = f"""
+with {_IMAGES_SQL},
+placed as (select distinct image_id, {SPLIT_SQL} as split from manifest),
+record as (select *, {_same('source.id')} as source_id from placed join image using (image_id) where split in ('train', 'valid', 'test')),
+pair as (select distinct a.image_id as t, b.image_id as h, coalesce(a.digest = b.digest, false) as whole,
+    case when bit_count(xor(a.hash, b.hash)) <= 4 then bit_count(xor(a.hash, b.hash)) end as d
+  from record a join record b on a.split = 'train' and b.split <> 'train' and a.image_id <> b.image_id
+  and (a.digest = b.digest or bit_count(xor(a.hash, b.hash)) <= 4)),
+side as (select t as image_id, true as train, whole, d from pair union all select h, false, whole, d from pair),
+covered as (select image_id, train, count(*) as partners, (case when bool_or(whole) then 64 else 0 end + coalesce(64 - min(d), 0)) / 128.0::double as covered
+  from side group by image_id, train)
+select split, source_id, count(*) as images, sum(partners)::bigint as partners, round(avg(covered), 6) as mean_covered
+from covered c join record r on c.image_id = r.image_id and c.train = (r.split = 'train') group by split, source_id
+"""

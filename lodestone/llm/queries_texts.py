@@ -57,10 +57,11 @@ _NARROW = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "")
 #: SQL has NFC only; of what NFKC does beyond it, the texts here need the full-width forms and the blanks.
 _WORDS = f"""list_filter(string_split_regex(lower(translate(nfc_normalize(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'),
     '[\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{2060}}\\x{{FEFF}}\\x{{00AD}}]', '', 'g')), '{_WIDE}', '{_NARROW}')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"""
-P7_SQL = f"""
-with item as (select item_id, {_WORDS} as w from eval_item where text is not null),
+_WINDOWS = f"""
+item as (select item_id, {_WORDS} as w from eval_item where text is not null),
 item_window as (select distinct item_id, list_slice(w, k, k + 11) as win from (select item_id, w, unnest(range(1, len(w) - 10)) as k from item)),
 doc as (select doc_id, {_WORDS} as w from documents where text is not null),
-doc_window as (select doc_id, list_slice(w, k, k + 11) as win from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from doc))
-select distinct doc_id, item_id from doc_window join item_window using (win)
-"""
+doc_window as (select doc_id, list_slice(w, k, k + 11) as win from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from doc))"""
+P7_SQL = f"with {_WINDOWS} select distinct doc_id, item_id from doc_window join item_window using (win)"
+P7_ITEMS_SQL = f"""with {_WINDOWS}, leak as (select doc_id, item_id, count(distinct win) as windows from doc_window join item_window using (win) group by all)
+select item_id, count(*) as documents, max(windows) as most_windows from leak group by item_id"""
