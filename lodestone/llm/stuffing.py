@@ -40,6 +40,9 @@ FUNCTION_WORDS = frozenset(
 #: English ones by -ed. Fixed patterns.
 VERB = re.compile(r"(?:mem|men|meng|meny)[a-z]{3,}|di(?!s[^aiueo])[a-z]{5,}|[a-z]{3,}ed")
 
+#: The address of a link in markup; other markup isn't read.
+ADDRESS = re.compile(r"""<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)[^>]*>""", re.IGNORECASE)
+
 #: What a word says for a list and against a sentence, as a logarithm of odds: one that holds clauses together; any
 #: other; any other within a repeated string. CHANGE is what a change between the states costs, FIRST how much a page
 #: is taken for sentences beforehand.
@@ -48,6 +51,11 @@ CLAUSE, PLAIN, REPEATED, CHANGE, FIRST = -2.4, 0.25, 0.6, 4.0, 1.0
 OCCURRENCES, STRING = 3, 2
 
 
+def page_words(text: str) -> list[str]:
+    """The words of a page, those of its links' addresses included, as they are where links aren't markup."""
+    return words(ADDRESS.sub(r" \1 ", text) if "<" in text else text)
+
+
 def clause_words(ws: list[str]) -> list[bool]:
     """Whether each word holds clauses together: a verb, or a function word other than the two before it.
 
@@ -143,7 +151,7 @@ def list_words(clause: list[bool], repeated: list[bool] | None) -> list[bool]:
 def page_share(text: str, threshold: float) -> tuple[float, float] | None:
     """(share of the words that stand in lists, share of the characters of words in repeated strings), or None if the
     first isn't above the threshold or there are no words."""
-    ws = words(text)
+    ws = page_words(text)
     if not ws:
         return None
     clause = clause_words(ws)
@@ -161,7 +169,7 @@ def keyword_pages(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     keywords, links or tags and not in sentences.
 
     ``documents``: ``doc_id bigint, text string``; other columns are ignored. Words are those of
-    :mod:`lodestone.llm.words`, so markup between angle brackets isn't counted. Null ids, null texts and texts without
+    :mod:`lodestone.llm.words`: markup between angle brackets isn't counted, but for the addresses of links. Null ids, null texts and texts without
     words are no such pages. Every page is judged by itself, wholly and in time in proportion to its length; no
     shuffle is needed. A repeated id gives as many rows.
     """

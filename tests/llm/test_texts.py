@@ -159,9 +159,11 @@ LISTS = {
     4: "\n".join(f"SKU: ginger powder {i}g" for i in range(30)),
     5: "toko jahe di Bandung dan toko jahe di Solo dan toko jahe di Malang dan toko jahe di Tuban dan " * 3,
     6: HONEST + "cheap ginger powder " * 40,
+    8: "".join(f'<a href="https://shop{i}.example/buy-ginger-{i}">galangal</a>\n' for i in range(6)) + HONEST,
 }
 PAGES = {
     10: HONEST * 3, 11: HONEST, 12: HONEST * 6 + "\nTags: ginger, turmeric, galangal, cheap ginger, ginger powder",
+    19: HONEST * 3 + '<a href="https://shop.example/ginger">galangal</a> ' + HONEST,
     13: HONEST.lower().replace(",", "").replace(".", "") * 4, 14: HONEST.upper() * 2, 15: "", 16: "...", 17: None, 18: "Jahe itu dicuci lalu dijemur sampai kering.",
 }
 
