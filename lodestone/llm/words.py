@@ -7,7 +7,7 @@ import unicodedata
 
 MARKUP = re.compile(r"<[^>]*>")
 #: Characters that take no room. U+200B U+200C U+200D U+2060 U+FEFF U+00AD
-INVISIBLE = re.compile("[​‌‍⁠﻿­]")
+INVISIBLE = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
 WORD = re.compile(r"[^\W_]+")
 
 
