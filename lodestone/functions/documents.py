@@ -33,7 +33,7 @@ def strict_value(text: str | None) -> Any:
     def constant(name: str) -> Any:
         raise ValueError(f"{name} is not a number")
 
-    return json.loads((text or "").removeprefix("﻿"), object_pairs_hook=pairs, parse_constant=constant)
+    return json.loads((text or "").removeprefix("\ufeff"), object_pairs_hook=pairs, parse_constant=constant)
 
 
 @F.arrow_udf(T.StringType())
@@ -54,4 +54,4 @@ def fingerprint(json_text: Column | str) -> Column:
 
 def strict_variant(text: Column) -> Column:
     """The text as a variant; null for duplicate keys, NaN and other faults. A byte order mark is skipped."""
-    return F.try_parse_json(F.regexp_replace(text, "^﻿", ""))
+    return F.try_parse_json(F.regexp_replace(text, "^\ufeff", ""))

@@ -41,7 +41,7 @@ def parse_mapping(lines: DataFrame) -> DataFrame:
     ``problem`` (null if none): ``malformed`` without exactly one arrow, ``unsafe path``, ``repeated`` for all lines of
     a destination that occurs again in any case.
     """
-    text = strip(F.regexp_replace("value", "^﻿", ""))
+    text = strip(F.regexp_replace("value", "^\ufeff", ""))
     rows = lines.select("line_no", text.alias("t")).where("t <> '' and not startswith(t, '#')")
     arrows = F.size(F.split("t", "->", -1)) + F.size(F.split("t", "<-", -1)) - 2
     forward = F.col("t").contains("->")

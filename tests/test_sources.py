@@ -37,13 +37,13 @@ def test_json_documents(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)malformed|NaN|parse"):
         D.read_json(spark, str(bad), schema).collect()
     (tmp_path / "twice.json").write_text('{"a": 1, "a": 2}')
-    (tmp_path / "bom.json").write_text('﻿{"a": [1]}')
+    (tmp_path / "bom.json").write_text('\ufeff{"a": [1]}')
     rows = {r.path.rsplit("/", 1)[1]: r.ok for r in D.read_strict(spark, str(tmp_path)).select("path", F.col("value").isNotNull().alias("ok")).collect()}
     assert rows == {"good.json": True, "bad.json": False, "twice.json": False, "bom.json": True}
 
 
 def test_mapping(spark, tmp_path):
-    text = "﻿# names\n\nold/a.jpg -> new/a.jpg\r\nnew/b.jpg <- old\\b.jpg\nno arrow\na -> b -> c\n../x -> new/c.jpg\nq -> NEW/A.jpg\nz <- y -> x\n"
+    text = "\ufeff# names\n\nold/a.jpg -> new/a.jpg\r\nnew/b.jpg <- old\\b.jpg\nno arrow\na -> b -> c\n../x -> new/c.jpg\nq -> NEW/A.jpg\nz <- y -> x\n"
     (tmp_path / "m.txt").write_bytes(text.encode())
     rows = {r.line_no: (r.old_path, r.new_path, r.problem) for r in D.read_mapping(spark, str(tmp_path / "m.txt")).collect()}
     assert rows == {
