@@ -35,6 +35,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self._folder = self._fs(self.root)  # still usable once the session has stopped
         atexit.register(self.clear)
 
     def path(self, name: str) -> str:
@@ -60,7 +61,7 @@ class Scratch:
 
     def clear(self) -> None:
         with suppress(Exception):
-            fs, path = self._fs(self.root)
+            fs, path = self._folder
             fs.delete(path, True)
 
     def _fs(self, at: str):

@@ -21,3 +21,22 @@ def test_lookup_join_splits_hot_keys(spark, monkeypatch):
     inner, left = R.lookup_join(big, table, "k"), R.lookup_join(big, table, "k", "left")
     assert inner.count() == 2500 and inner.where("v <> 2 * k").count() == 0
     assert left.count() == 3001 and left.where("v is null").count() == 501
+
+
+def test_scratch_tables(spark, tmp_path):
+    from lodestone.scratch import Scratch, shared_folder
+
+    old = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/")
+    try:
+        assert shared_folder(spark) == f"file://{tmp_path}"
+        s = Scratch(spark, "t")
+        df = s.write(spark.range(10), "a")
+        assert df.count() == 10 and s.files("a") and s.write(df.where("false"), "b").count() == 0
+        s.drop("b", "never written")
+        assert [p.name for p in next(tmp_path.iterdir()).iterdir()] == ["a"]
+        s.clear()
+        assert not list(tmp_path.iterdir())
+    finally:
+        if old:
+            spark.conf.set("spark.checkpoint.dir", old)
