@@ -1,7 +1,11 @@
 """Current rows and lookups of hot keys."""
 
+from types import SimpleNamespace
+
+import pytest
 from pyspark.sql import functions as F
 
+from lodestone import scratch
 from lodestone.operators import rows as R
 
 
@@ -23,20 +27,23 @@ def test_lookup_join_splits_hot_keys(spark, monkeypatch):
     assert left.count() == 3001 and left.where("v is null").count() == 501
 
 
-def test_scratch_tables(spark, tmp_path):
-    from lodestone.scratch import Scratch, shared_folder
-
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/")
-    try:
-        assert shared_folder(spark) == f"file://{tmp_path}"
-        s = Scratch(spark, "t")
-        df = s.write(spark.range(10), "a")
-        assert df.count() == 10 and s.files("a") and s.write(df.where("false"), "b").count() == 0
-        s.drop("b", "never written")
-        assert [p.name for p in next(tmp_path.iterdir()).iterdir()] == ["a"]
-        s.clear()
-        assert not list(tmp_path.iterdir())
-    finally:
-        if old:
-            spark.conf.set("spark.checkpoint.dir", old)
+def test_scratch_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_folder", lambda s: f"file://{tmp_path}")
+    s = scratch.Scratch(spark, "t")
+    df = s.write(spark.range(10), "a")
+    assert df.count() == 10 and s.files("a") and s.write(df.where("false"), "b").count() == 0
+    s.drop("b", "never written")
+    assert [p.name for p in next(tmp_path.iterdir()).iterdir()] == ["a"]
+    s.clear()
+    assert not list(tmp_path.iterdir())
+
+
+def test_shared_folder():
+    def session(at, master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: at), sparkContext=SimpleNamespace(master=master, applicationId="app-1"))
+
+    assert scratch.shared_folder(session("hdfs://n/x/", "yarn")) == "hdfs://n/x"
+    with pytest.raises(ValueError, match="share"):
+        scratch.shared_folder(session(None, "yarn"))
+    own = scratch.shared_folder(session(None, "local[2]"))
+    assert own == scratch.shared_folder(session(None, "local[2]"))
