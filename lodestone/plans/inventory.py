@@ -10,7 +10,7 @@ from lodestone.functions.documents import fingerprint
 from lodestone.functions.hashes import hash_long
 from lodestone.functions.text import hex_digest, same_text
 from lodestone.operators import catalog, duplicates, history, quality, seeded
-from lodestone.operators.rows import current_rows
+from lodestone.operators.rows import current_rows, lookup_join
 from lodestone.plans.frames import _iou
 
 #: Sources that file names begin with in these tables, and those whose names hold a parent's.
@@ -161,11 +161,19 @@ def padded_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "frame_prediction").where("path is not null").select("path", "batch_no", "arrived_at", "truth", "detections.box", "detections.anchor")
-    t = current_rows(t, ["path", "batch_no"], "arrived_at", ["truth", "box", "anchor"]).where("size(truth) > 0")
-    t = t.select("path", "batch_no", "truth", F.explode(F.arrays_zip("box", "anchor")).alias("d"))
-    best = F.array_max(F.transform("truth", lambda x: geometry.iou(F.col("d.box"), x["box"])))
-    return t.select("path", "batch_no", "d.anchor", F.round(best, 9).alias("iou"))
+    """Every current detection of a frame with truth, with its best IoU. A frame has the truth of all its current
+    batches, whichever of them a detection came in; a frame without any truth gives no rows."""
+    t = table(spark, sf_dir, "frame_prediction").where("path is not null")
+    # A struct equals another where both hold a null, so a batch without a number finds itself again.
+    t = t.select("path", F.struct("batch_no").alias("batch"), "arrived_at", F.col("truth.box").alias("truth"), "detections.box", "detections.anchor")
+    now = current_rows(t, ["path", "batch"], "arrived_at", ["truth", "box", "anchor"])
+    # Truth comes first among equal deliveries, so it can be chosen without the boxes and is that of the same delivery.
+    truth = current_rows(t, ["path", "batch"], "arrived_at", ["truth"]).where("size(truth) > 0").groupBy("path").agg(F.flatten(F.collect_list("truth")).alias("truth"))
+    # Only keys are moved to the truth of their path; boxes stay where the choice of current rows has put them.
+    known = lookup_join(t.select("path", "batch").distinct(), truth, "path")
+    t = now.select("path", "batch", F.arrays_zip("box", "anchor").alias("d")).join(known, ["path", "batch"])
+    best = F.array_max(F.transform("truth", lambda x: geometry.iou(F.col("d.box"), x)))
+    return t.select("path", "batch.batch_no", "truth", F.explode("d").alias("d")).select("path", "batch_no", "d.anchor", F.round(best, 9).alias("iou"))
 
 
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
