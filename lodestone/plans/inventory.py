@@ -16,6 +16,8 @@ from lodestone.plans.frames import _iou
 #: Sources that file names begin with in these tables, and those whose names hold a parent's.
 PREFIXES = ["kebun_v5", "lereng_v2", "pasar_v7", "bumbu", "rfumbi", "sari", "umbi"]
 WITH_PARENTS = ["kebun_v5", "lereng_v2", "pasar_v7"]
+#: The folder of live scans.
+LIVE = "pindai/"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,11 +114,39 @@ def receipt_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prediction_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = same_text("split")
-    held = manifest(spark, sf_dir).select("path", F.when(split.isin("val", "validation"), "valid").otherwise(split).alias("split")).where("split in ('valid', 'test')")
-    held = held.groupBy("path").agg(F.max("split").alias("split"))
-    seen = table(spark, sf_dir, "frame_prediction").where("path not like 'pindai/%'").groupBy("path").agg(F.max("split").alias("split"))
-    return quality.verify_receipts(held, seen, "path", ["split"])
+    """``path, problem``: held-out images that are missing from the cached predictions or stand repeatedly in the manifest,
+    frames that differ from the manifest in ``split``, ``group`` (as same text) or ``truth`` (number, order, class or box
+    of the objects), and frames of no held-out image.
+
+    A frame has the truth of all its current batches, and a split or group in which its batches disagree differs from
+    any. A frame of no held-out image is ``live`` if it lies in the folder of live scans and isn't an image of the
+    manifest at all; any other is ``unexpected``.
+    """
+    split, nothing = same_text("split"), F.array().cast("array<struct<class_id:int,bbox:array<double>>>")
+    images = manifest(spark, sf_dir).select(
+        "path", F.when(split.isin("val", "validation"), "valid").otherwise(split).alias("split"), same_text("groupid").alias("grp"),
+        F.coalesce(F.transform("objects", lambda o: F.struct(o["classid"].alias("class_id"), o["bbox"].alias("bbox"))), nothing).alias("truth"),
+    )
+    held = images.where("split in ('valid', 'test')").groupBy("path").agg(F.array_sort(F.collect_set(F.struct("split", "grp", "truth"))).alias("rows"))
+    one = F.col("rows")[0]  # of a repeated path the least row is compared
+    # Sets of structs, so that a null among a frame's batches counts as a value; an image's have one element.
+    single = lambda c: F.array(F.struct(one[c].alias(c)))
+    held = held.select("path", single("split").alias("split"), single("grp").alias("group"), one["truth"].alias("truth"), (F.size("rows") > 1).alias("repeated"))
+
+    box = lambda b: F.when(b.isNotNull(), F.array(b["x"], b["y"], b["w"], b["h"]))
+    t = table(spark, sf_dir, "frame_prediction").select(
+        "path", "batch_no", "arrived_at", "group_id", "split", F.transform("truth", lambda o: F.struct(o["class_id"].alias("class_id"), box(o["box"]).alias("bbox"))).alias("truth")
+    )
+    now = current_rows(t, ["path", "batch_no"], "arrived_at", ["group_id", "split", "truth"]).withColumn("grp", same_text("group_id"))
+    seen = now.groupBy("path").agg(
+        F.collect_set(F.struct("split")).alias("split"), F.collect_set(F.struct("grp")).alias("group"),
+        F.array_sort(F.collect_list(F.when(F.size("truth") > 0, F.struct("batch_no", "truth")))).alias("t"),
+    )
+    seen = seen.select("path", "split", "group", F.flatten(F.transform("t", lambda x: x["truth"])).alias("truth"), F.lit(False).alias("repeated"))
+    known = images.select("path").distinct().withColumn("known", F.lit(True))
+    found = quality.verify_receipts(held, seen, "path", ["split", "group", "truth", "repeated"]).join(known, "path", "left")
+    live = (F.col("problem") == "unexpected") & F.col("path").startswith(LIVE) & F.col("known").isNull()
+    return found.select("path", F.when(live, "live").otherwise(F.col("problem")).alias("problem"))
 
 
 def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,3 +41,27 @@ def test_best_overlap_takes_the_truth_of_all_batches_of_a_frame(spark, tmp_path,
         monkeypatch.setattr("lodestone.operators.rows.hot_keys", lambda *_, hot=hot: hot)
         got = [tuple(r) for r in inventory.best_overlap(spark, str(tmp_path)).collect()]
         assert len(got) == len(want) and {r[:3]: r[3] for r in got} == want
+
+
+def test_prediction_consistency_compares_group_truth_and_live_frames(spark, tmp_path):
+    a, b = (0.1, 0.1, 0.2, 0.2), (0.5, 0.5, 0.2, 0.2)
+    held = lambda path, objects, split="valid", group="g": (path, group, split, objects)
+    images = [
+        held("same", [(0, [*a]), (1, [*b])], "Val", " G "), held("split", None), held("group", []), held("number", [(0, [*a])]), held("class", [(0, [*a])]),
+        held("box", [(0, [*a])]), held("order", [(0, [*a]), (0, [*b])]), held("gone", None), held("torn", None), held("twice", None), held("twice", None, "test"),
+        held("late", [(0, [*a])]), held("train", None, "train"), held("pindai/held", [(0, [*a])]), held("pindai/train", None, "train"), held("nogroup", None, group=" "),
+    ]
+    spark.createDataFrame(images, "path string, groupid string, split string, objects array<struct<classid:int,bbox:array<double>>>").write.parquet(str(tmp_path / "manifest.parquet"))
+    frames = [
+        frame("same", 1, 1, truth(b, cls=1), None), frame("same", 0, 1, truth(a), None), frame("split", 0, 1, None, None, split="test"), frame("group", 0, 1, None, None, group="h"),
+        frame("number", 0, 1, truth(a), None), frame("number", 1, 1, truth(a), None), frame("class", 0, 1, truth(a, cls=1), None), frame("box", 0, 1, truth(b), None),
+        frame("order", 0, 1, truth(b, a), None), frame("torn", 0, 1, None, None), frame("torn", 1, 1, [], None, group=None), frame("twice", 0, 1, None, None),
+        frame("late", 0, 1, truth(b), None), frame("late", 0, 2, truth(a), None), frame("train", 0, 1, None, None), frame("stray", 0, 1, None, None),
+        frame("pindai/held", 0, 1, truth(b), None), frame("pindai/train", 0, 1, None, None), frame("pindai/scan", 0, 1, truth(a), None), frame("nogroup", 0, 1, None, None, group=None),
+    ]
+    spark.createDataFrame(frames, FRAMES).write.parquet(str(tmp_path / "frame_prediction.parquet"))
+    got = sorted(tuple(r) for r in inventory.prediction_consistency(spark, str(tmp_path)).collect())
+    assert got == sorted([
+        ("split", "split"), ("group", "group"), ("number", "truth"), ("class", "truth"), ("box", "truth"), ("order", "truth"), ("gone", "missing"), ("torn", "group"),
+        ("twice", "split"), ("twice", "repeated"), ("train", "unexpected"), ("stray", "unexpected"), ("pindai/held", "truth"), ("pindai/train", "unexpected"), ("pindai/scan", "live"),
+    ])
