@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.paths import archive_path, extension_format, magic_format
 from lodestone.functions.text import strip
@@ -18,6 +19,8 @@ from lodestone.operators.quality import symmetric_difference
 
 #: Longest metadata text, in bytes.
 METADATA_BYTES = 16 << 20
+#: First bytes of an image that are tried for its header before the whole file is.
+HEAD_BYTES = 1 << 18
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -58,7 +61,8 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_header(data: bytes) -> tuple[str, int, int, int] | None:
-    """(format, width, height, EXIF orientation) from the first bytes of a JPEG, PNG or WEBP; None for anything else."""
+    """(format, width, height, EXIF orientation) from the bytes of a JPEG, PNG or WEBP or their beginning; None for anything else,
+    and for a JPEG whose size lies beyond them."""
     if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
         return "PNG", *struct.unpack(">II", data[16:24]), 1
     if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
@@ -104,6 +108,13 @@ def _orientation(tiff: bytes) -> int | None:
     return None
 
 
+@F.arrow_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("width", "height", "orientation")]))
+def _header(data: pa.Array) -> pa.Array:
+    found = (image_header(x.as_py() or b"") for x in data)
+    kind = pa.struct([(n, pa.int32()) for n in ("width", "height", "orientation")])
+    return pa.array([x and dict(zip(("width", "height", "orientation"), x[1:], strict=True)) for x in found], kind)
+
+
 def inspect_images(spark: SparkSession, path: str) -> DataFrame:
     """``path, length, sha256, format, width, height, orientation, problem`` of image files, without decoding pixels.
 
@@ -112,15 +123,14 @@ def inspect_images(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [image_header(c.as_py() or b"") for c in b.column("head")]
-            columns = [pa.array([x and x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(5)] + columns[1:], ["path", "length", "sha256", "format", "named", "width", "height", "orientation"])
-
-    # Headers and their EXIF block lie within the first bytes; only these go to Python.
-    rows = files.select("path", "length", F.sha2("content", 256).alias("sha256"), magic_format(F.col("content")).alias("format"), extension_format(F.col("path")).alias("named"), F.substring("content", 1, 1 << 18).alias("head"))
-    rows = rows.mapInArrow(read, "path string, length bigint, sha256 string, format string, named string, width int, height int, orientation int")
+    # Most headers and their EXIF block lie within the first bytes. Long blocks may stand before the size in a JPEG; only
+    # where its head gives no size does the whole file go to Python.
+    rows = files.select("path", "length", F.sha2("content", 256).alias("sha256"), magic_format(F.col("content")).alias("format"), extension_format(F.col("path")).alias("named"), "content")
+    rows = rows.withColumn("first", _header(F.substring("content", 1, HEAD_BYTES)))
+    short = F.col("first").isNull() & (F.col("format") == "JPEG") & (F.col("length") > HEAD_BYTES)
+    rows = rows.withColumn("whole", _header(F.when(short, F.col("content"))))
+    header = F.coalesce("first", "whole")
+    rows = rows.select("path", "length", "sha256", "format", "named", *(header[n].alias(n) for n in ("width", "height", "orientation")))
     problem = (
         F.when(F.col("format").isNull(), "unknown format")
         .when(~F.col("format").eqNullSafe(F.col("named")), "format isn't that of the extension").when(F.col("width").isNull(), "damaged header")

@@ -1,8 +1,10 @@
 """Queries do the whole job: what an earlier form of them left out."""
 
+import struct
 from datetime import datetime
 
 from lodestone.plans import inventory
+from lodestone.sources import files
 
 BOX = "struct<x:double,y:double,w:double,h:double>"
 FRAMES = (
@@ -65,3 +67,17 @@ def test_prediction_consistency_compares_group_truth_and_live_frames(spark, tmp_
         ("split", "split"), ("group", "group"), ("number", "truth"), ("class", "truth"), ("box", "truth"), ("order", "truth"), ("gone", "missing"), ("torn", "group"),
         ("twice", "split"), ("twice", "repeated"), ("train", "unexpected"), ("stray", "unexpected"), ("pindai/held", "truth"), ("pindai/train", "unexpected"), ("pindai/scan", "live"),
     ])
+
+
+def test_image_headers_behind_long_blocks(spark, tmp_path):
+    def jpeg(blocks):
+        tiff = b"MM\0*\0\0\0\x08\0\x01" + struct.pack(">HHIHH", 0x0112, 3, 1, 6, 0)
+        exif = b"\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff
+        long = (b"\xff\xe1" + struct.pack(">H", 65535) + b"x" * 65533) * blocks
+        return b"\xff\xd8" + exif + long + b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, 30, 40, 1) + b"\1\x11\0\xff\xd9"
+
+    (tmp_path / "short.jpg").write_bytes(jpeg(0))
+    (tmp_path / "long.jpg").write_bytes(jpeg(20))
+    (tmp_path / "cut.jpg").write_bytes(jpeg(20)[:-20])
+    rows = {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.orientation, r.problem) for r in files.inspect_images(spark, str(tmp_path)).collect()}
+    assert rows == {"short.jpg": (40, 30, 6, None), "long.jpg": (40, 30, 6, None), "cut.jpg": (None, None, None, "damaged header")}
