@@ -1,10 +1,10 @@
 """Items of varying length in containers of fixed capacity.
 
-Method: hierarchical multi-length packing. Items are routed to tiers by length (up to 1/8, 1/4, 1/2 of the capacity,
-and longer). The longest tier opens containers first; the gaps of its windows are filled from the shorter tiers, the
-next shorter first, each item into the tightest gap that takes it; what a tier has left over opens containers of its
-own, whose gaps the still shorter tiers fill. Containers are dealt to step groups so that all steps hold nearly the
-same number of tokens.
+Method: best-fit decreasing over all lengths, in place of hierarchical packing tier by tier. Lengths are taken from the
+longest down, whatever their tier; each item goes into the tightest gap that takes it, and only what no gap takes opens
+containers, which all have the one capacity. Tiers by length (up to 1/8, 1/4, 1/2 of the capacity, and longer) have no part
+in the plan: they only label the pieces. Containers are dealt to step groups so that all steps hold nearly the same number
+of tokens.
 
 Lengths are whole numbers up to the capacity, so the plan is made from the counts of each length alone: at most
 ``capacity`` numbers, whatever the number of items. The plan maps ranges of the items of one length to ranges of
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lodestone.scratch import Scratch
 
-#: Upper bounds of the tiers below the longest, as parts of the capacity.
+#: Upper bounds of the tiers below the longest, as parts of the capacity; they label pieces.
 TIERS = (8, 4, 2)
 #: Items of one length are ranked in parts: at least so many, and of no more than so many items on average.
 PARTS = 64
@@ -46,7 +46,7 @@ def tier_of(length: int, capacity: int) -> int:
 
 
 def make_plan(counts: dict[int, int], capacity: int) -> Plan:
-    """Best-fit decreasing over the tiers, by ranges of containers with equal room."""
+    """Best-fit decreasing over the lengths, by ranges of containers with equal room."""
     plan = Plan(capacity)
     room: dict[int, list[tuple[int, int]]] = {}  # room left: ranges of containers
     rooms: list[int] = []  # those rooms that have ranges, in order
@@ -71,7 +71,7 @@ def make_plan(counts: dict[int, int], capacity: int) -> Plan:
                 del room[left], rooms[i]
             put(left - length, first, take)
             rank, todo = rank + take, todo - take
-        # Windows of this length's own tier: as many full ones as there are, then one for the rest.
+        # Windows of this length's own: as many full ones as there are, then one for the rest.
         while todo:
             each = min(capacity // length, todo)
             n, first = todo // each, plan.containers
