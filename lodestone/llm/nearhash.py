@@ -1,10 +1,10 @@
-"""Pairs of 64-bit hashes that differ in at most d bits, by a partitioned sparse suffix array.
+"""Pairs of 64-bit hashes that differ in at most d bits, by equal bands of their bits.
 
 Two hashes that differ in at most d bits agree on at least m - d of any m bands. So each hash is written as several
-texts of 64 bits, one for each choice of m - d bands: the chosen bands first, the others behind them. The beginnings
-of these texts are the suffixes that matter (a sparse suffix array). They are partitioned by their first bits and
-sorted; a run of adjacent suffixes whose common prefix spans the chosen bands holds all pairs that agree on these,
-and a count of the differing bits decides. Texts are permutations of the bits, so this count is that of the hashes.
+texts of 64 bits, one for each choice of m - d bands: the chosen bands first, the others behind them. Texts are bucketed
+by equality of their chosen bands, as a mixed hash of them; such a run holds all pairs that agree on these, every pair
+in it is compared, and a count of the differing bits decides. No common prefixes are computed, and no suffix array is
+scanned. Texts are permutations of the bits, so this count is that of the hashes.
 
 Runs longer than RUN are not compared pair by pair: they are written again with further bands chosen among the bits
 behind their common prefix, and sorted anew. m grows with the number of hashes, so that the expected pairs stay in
