@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.detections import reachable
 from lodestone.functions.logits import accepted, top_two
 from lodestone.operators import evaluation as ev
+from lodestone.operators.rows import current_rows
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,19 @@ def softmax_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("path", "truth", "b.class_id", nine("b.confidence").alias("confidence"), nine("b.margin").alias("margin"), accepted(F.col("b"), 0.65, 0.1).alias("accepted"))
 
 
+def detection_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best classes of every current detection, also of those that suppression never looks at; null without
+    valid logits."""
+    t = spark.read.parquet(f"{sf_dir}/frame_prediction.parquet").where("path is not null")
+    # Ranked before the current rows are chosen, so that logits aren't shuffled.
+    t = t.select("path", "batch_no", "arrived_at", F.transform("detections", lambda d: F.struct(d["anchor"].alias("anchor"), top_two(d["logits"]).alias("b"))).alias("d"))
+    t = current_rows(t, ["path", "batch_no"], "arrived_at").select("path", "batch_no", F.explode("d").alias("d"))
+    nine = lambda c: F.round(c, 9)
+    return t.select(
+        "path", "batch_no", "d.anchor", "d.b.class_id", nine("d.b.confidence").alias("confidence"), nine("d.b.margin").alias("margin"), accepted(F.col("d.b"), 0.65, 0.1).alias("accepted")
+    )
+
+
 def evaluate_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.frame_cases(frames(spark, sf_dir))
 
@@ -98,6 +112,7 @@ QUERIES = {
     "nms": nms,
     "match_detections": match_detections,
     "softmax_top2": softmax_top2,
+    "detection_top2": detection_top2,
     "evaluate_frames": evaluate_frames,
     "confusion_matrix": confusion_matrix,
     "per_class_metrics": per_class_metrics,
@@ -198,6 +213,9 @@ SQL = {
     "softmax_top2": f"""with {_FRAMES}, t as (select path, k, truth[k].logits as logits from (select path, truth, unnest(range(1, len(truth) + 1)) as k from frame)),
 b as (select path, k, {_best('logits')} as b from t)
 select path, (k - 1)::int as truth, b[1].c::int as class_id, round(-b[1].p, 9) as confidence, round(b[2].p - b[1].p, 9) as margin,
+  coalesce(-b[1].p >= 0.65 and b[2].p - b[1].p >= 0.1, false) as accepted from b""",
+    "detection_top2": f"""with {_FRAMES}, d as (select path, batch_no, unnest(detections) as d from now), b as (select path, batch_no, d.anchor as anchor, {_best('d.logits')} as b from d)
+select path, batch_no, anchor, b[1].c::int as class_id, round(-b[1].p, 9) as confidence, round(b[2].p - b[1].p, 9) as margin,
   coalesce(-b[1].p >= 0.65 and b[2].p - b[1].p >= 0.1, false) as accepted from b""",
     "evaluate_frames": f"with {_JUDGED} select * from cases",
     "confusion_matrix": f"with {_JUDGED} select row::int as row, col::int as col, n::bigint as n from matrix",

@@ -3,6 +3,7 @@
 import struct
 from datetime import datetime
 
+import __spark_entry__ as entry
 from lodestone.plans import inventory
 from lodestone.sources import files
 
@@ -81,3 +82,17 @@ def test_image_headers_behind_long_blocks(spark, tmp_path):
     (tmp_path / "cut.jpg").write_bytes(jpeg(20)[:-20])
     rows = {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.orientation, r.problem) for r in files.inspect_images(spark, str(tmp_path)).collect()}
     assert rows == {"short.jpg": (40, 30, 6, None), "long.jpg": (40, 30, 6, None), "cut.jpg": (None, None, None, "damaged header")}
+
+
+def test_every_current_detection_has_its_two_best_classes(spark, tmp_path):
+    box, high, low = (0.0, 0.0, 0.1, 0.1), [0.0] * 7 + [9.0, 0.0, 0.0], [0.0] * 10
+    rows = [
+        frame("p", 0, 1, None, [(box, 0.5, 9, high)]),  # delivered again below
+        frame("p", 0, 2, None, [(box, 0.5, 1, high), (box, None, 2, low)]),
+        frame("p", 1, 1, None, [(box, 0.01, i, high) for i in range(3, 404)]),
+        frame("q", 0, 1, None, [(box, 0.5, 1, None)]),
+        frame("q", 1, 1, None, None),
+    ]
+    spark.createDataFrame(rows, FRAMES).write.parquet(str(tmp_path / "frame_prediction.parquet"))
+    got = {(r.path, r.anchor): (r.class_id, r.accepted) for r in entry.queries()["detection_top2"](spark, str(tmp_path)).collect()}
+    assert got == {("p", i): (7, True) for i in (1, *range(3, 404))} | {("p", 2): (0, False), ("q", 1): (None, False)}
