@@ -9,7 +9,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,21 +19,27 @@ from lodestone.operators.quality import symmetric_difference
 
 #: Longest metadata text, in bytes.
 METADATA_BYTES = 16 << 20
+#: The shortest side an image may have, in pixels.
+LEAST_SIDE = 16
 #: First bytes of an image that are tried for its header before the whole file is.
 HEAD_BYTES = 1 << 18
 
 
+def _relative(path: str, root: str) -> Column:
+    """The path without the folder ``root`` before it."""
+    base = F.lit(root.rstrip("/") + "/")
+    whole = F.regexp_replace(path, r"^file:/+", "/")
+    plain = F.regexp_replace(base, r"^file:/+", "/")
+    return F.when(whole.startswith(plain), F.substring(whole, F.length(plain) + 1, F.length(whole))).otherwise(whole)
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """``path, length, modified``: all files under a folder, ``path`` relative to it. Contents aren't read.
 
     Spark leaves empty files out of a scan, so an expected file that is empty shows as missing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    whole = F.regexp_replace("path", r"^file:/+", "/")
-    plain = F.regexp_replace(base, r"^file:/+", "/")
-    relative = F.when(whole.startswith(plain), F.substring(whole, F.length(plain) + 1, F.length(whole))).otherwise(whole)
-    return files.select(relative.alias("path"), "length", F.col("modificationTime").alias("modified"))
+    return files.select(_relative("path", root).alias("path"), "length", F.col("modificationTime").alias("modified"))
 
 
 def tree_issues(files: DataFrame, expected: DataFrame) -> DataFrame:
@@ -88,7 +94,8 @@ def image_header(data: bytes) -> tuple[str, int, int, int] | None:
         size = int.from_bytes(data[at + 2 : at + 4], "big")
         body = data[at + 4 : at + 2 + size]
         if marker == 0xE1 and body[:6] == b"Exif\0\0":
-            orientation = _orientation(body[6:]) or orientation
+            found = _orientation(body[6:])
+            orientation = orientation if found is None else found
         if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC) and len(body) >= 5:
             h, w = struct.unpack(">HH", body[1:5])
             return "JPEG", w, h, orientation
@@ -118,8 +125,8 @@ def _header(data: pa.Array) -> pa.Array:
 def inspect_images(spark: SparkSession, path: str) -> DataFrame:
     """``path, length, sha256, format, width, height, orientation, problem`` of image files, without decoding pixels.
 
-    Problems: format unknown, format not that of the extension, header damaged. Cheap checks come first. Empty files
-    aren't scanned (see :func:`list_files`).
+    Problems: format unknown, format not that of the extension, header damaged, a side below LEAST_SIDE, an EXIF
+    orientation that isn't 1 to 8. Orientation is read from JPEG only and 1 for others. Empty files aren't scanned (see :func:`list_files`).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
@@ -134,10 +141,35 @@ def inspect_images(spark: SparkSession, path: str) -> DataFrame:
     problem = (
         F.when(F.col("format").isNull(), "unknown format")
         .when(~F.col("format").eqNullSafe(F.col("named")), "format isn't that of the extension").when(F.col("width").isNull(), "damaged header")
+        .when(F.least("width", "height") < LEAST_SIDE, "too small").when(~F.col("orientation").between(1, 8), "invalid EXIF orientation")
     )
     return rows.withColumn("problem", problem).drop("named")
 
 
+def manifest_file_violations(manifest: DataFrame, root: str) -> DataFrame:
+    """``path, rule``: every rule that a row's image file under ``root`` breaks, beside those of
+    :func:`lodestone.operators.quality.manifest_violations`. ``manifest``: ``path, sha256``.
+
+    Rules: the file is there (an empty one counts as missing) and its header can be read; its digest is the stored one,
+    unless that is null, and no other path has it; its EXIF orientation is 1; no side is below LEAST_SIDE.
+    """
+    seen = inspect_images(manifest.sparkSession, root).select(_relative("path", root).alias("path"), F.col("sha256").alias("found"), "width", "height", "orientation")
+    rows = manifest.select("path", "sha256").distinct().join(seen, "path", "left")
+    rules = F.array_compact(
+        F.array(
+            F.when(F.col("found").isNull(), "missing file"),
+            F.when(F.col("found").isNotNull() & F.col("width").isNull(), "damaged header"),
+            F.when(F.lower(strip("sha256")) != F.col("found"), "checksum mismatch"),
+            F.when(F.col("orientation") != 1, "EXIF orientation"),
+            F.when(F.least("width", "height") < LEAST_SIDE, "too small"),
+        )
+    )
+    files = rows.where("found is not null").select("path", "found").distinct()
+    twice = files.groupBy("found").count().where("count > 1").select("found")
+    repeated = files.join(twice, "found", "left_semi").select("path", F.lit("repeated content").alias("rule"))
+    return rows.select("path", F.explode(rules).alias("rule")).unionByName(repeated)
+
+
 def read_tar(spark: SparkSession, path: str) -> DataFrame:
     """``archive, member, bytes, content, problem``: the members of tar archives. Links, devices and unsafe or repeated
     names have a problem and no content."""

@@ -1,5 +1,6 @@
 """Queries do the whole job: what an earlier form of them left out."""
 
+import hashlib
 import struct
 from datetime import datetime
 
@@ -96,3 +97,24 @@ def test_every_current_detection_has_its_two_best_classes(spark, tmp_path):
     spark.createDataFrame(rows, FRAMES).write.parquet(str(tmp_path / "frame_prediction.parquet"))
     got = {(r.path, r.anchor): (r.class_id, r.accepted) for r in entry.queries()["detection_top2"](spark, str(tmp_path)).collect()}
     assert got == {("p", i): (7, True) for i in (1, *range(3, 404))} | {("p", 2): (0, False), ("q", 1): (None, False)}
+
+
+def test_digest_orientation_and_side_of_image_files(spark, tmp_path):
+    def jpeg(w, h, orientation):
+        tiff = b"MM\0*\0\0\0\x08\0\x01" + struct.pack(">HHIHH", 0x0112, 3, 1, orientation, 0)
+        exif = b"\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff
+        return b"\xff\xd8" + exif + b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, h, w, 1) + b"\1\x11\0\xff\xd9"
+
+    made = {"good.jpg": (16, 40, 1), "turned.jpg": (41, 40, 6), "zero.jpg": (42, 40, 0), "small.jpg": (40, 15, 1), "other.jpg": (43, 40, 1), "a/x.jpg": (44, 40, 1), "a/y.jpg": (44, 40, 1)}
+    (tmp_path / "a").mkdir()
+    for n, x in made.items():
+        (tmp_path / n).write_bytes(jpeg(*x))
+    (tmp_path / "cut.jpg").write_bytes(jpeg(45, 40, 1)[:-20])
+    rows = [(n, hashlib.sha256(jpeg(*x)).hexdigest().upper()) for n, x in made.items() if n != "other.jpg"] + [("other.jpg", "0" * 64), ("cut.jpg", None), ("gone.jpg", None)]
+    got = [tuple(r) for r in files.manifest_file_violations(spark.createDataFrame(rows, "path string, sha256 string"), str(tmp_path)).collect()]
+    assert sorted(got) == sorted([
+        ("turned.jpg", "EXIF orientation"), ("zero.jpg", "EXIF orientation"), ("small.jpg", "too small"), ("other.jpg", "checksum mismatch"), ("cut.jpg", "damaged header"),
+        ("gone.jpg", "missing file"), ("a/x.jpg", "repeated content"), ("a/y.jpg", "repeated content"),
+    ])
+    problems = {r.path.rsplit("/", 1)[1]: r.problem for r in files.inspect_images(spark, str(tmp_path)).where("problem is not null").collect()}
+    assert problems == {"zero.jpg": "invalid EXIF orientation", "small.jpg": "too small", "cut.jpg": "damaged header"}
