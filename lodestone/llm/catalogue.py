@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_split": images.p3_split,
         "p4_found": frames.p4_found,
         "p5_found": images.p5_found,
+        "p5_numbers": images.p5_numbers,
         "p6_pack": texts.p6_pack,
         "p7_found": texts.p7_found,
         "p7_items": texts.p7_items,
@@ -34,6 +35,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": images.P3_SQL,
         "p4_found": frames.P4_SQL,
         "p5_found": images.P5_SQL,
+        "p5_numbers": images.P5_NUMBERS_SQL,
         "p7_found": texts.P7_SQL,
         "p7_items": texts.P7_ITEMS_SQL,
     }

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.positions import with_positions
 from lodestone.operators.rows import lookup_join
 from lodestone.scratch import Scratch
 
@@ -67,3 +68,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     if labels is None:
         return spark.createDataFrame([], "node bigint, component bigint")
     return labels.select("node", F.col("label").alias("component"))
+
+
+def numbered_components(nodes: DataFrame, components: DataFrame) -> DataFrame:
+    """``node, component, number, name``: components numbered from 0 in the order of their first appearance by rising
+    node, with names from ``g00000`` upward; a node of no link is a component of its own.
+
+    ``nodes``: ``node bigint``, all of them; null ones are ignored and repeated ones count once. ``components``: the
+    result of :func:`connected_components` over some of them.
+    """
+    rows = nodes.where("node is not null").select("node").distinct().join(components.select("node", "component"), "node", "left")
+    rows = Scratch(nodes.sparkSession, "numbers").write(rows.select("node", F.coalesce("component", "node").alias("component")), "rows")
+    # A component is named by its least node, which is where it appears first.
+    numbers = with_positions(rows.where("node = component").select("component"), ["component"], "number")
+    return lookup_join(rows, numbers, "component").select("node", "component", "number", F.format_string("g%05d", "number").alias("name"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.hashes import hash_long
 from lodestone.functions.text import hex_digest, same_path, same_text
-from lodestone.llm.components import connected_components, star_links
+from lodestone.llm.components import connected_components, numbered_components, star_links
 from lodestone.llm.groupsplit import grouped_split
 from lodestone.llm.nearhash import near_pairs
 from lodestone.llm.overlap import HELD_OUT, TRAIN, coverage, cross_split_overlaps
@@ -85,6 +85,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("node").alias("image_id"), F.col("component").alias("group_id"))
 
 
+def p5_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every image, also of those alone, with its number by first appearance."""
+    ids = spark.read.parquet(f"{sf_dir}/normalized_inventory.parquet").select(F.col("image_id").alias("node"))
+    found = p5_found(spark, sf_dir).select(F.col("image_id").alias("node"), F.col("group_id").alias("component"))
+    return numbered_components(ids, found).select(F.col("node").alias("image_id"), F.col("component").alias("group_id"), "number", "name")
+
+
 #: Shares of the images.
 SHARES = {"train": 0.7, "valid": 0.15, "test": 0.15}
 
@@ -161,6 +168,11 @@ edge as (select a, b from star where a <> b union select b, a from star where a
 reach(node, root) as (select a, a from edge union select e.b, r.root from reach r join edge e on e.a = r.node)
 select node as image_id, min(root) as group_id from reach group by node
 """
+P5_NUMBERS_SQL = f"""
+with x as (select i.image_id, coalesce(g.group_id, i.image_id) as group_id
+  from (select distinct image_id from normalized_inventory where image_id is not null) i left join ({P5_SQL}) g on i.image_id = g.image_id)
+select image_id, group_id, dense_rank() over (order by group_id) - 1 as number, format('g{{:05d}}', dense_rank() over (order by group_id) - 1) as name from x
+"""
 P1_REPORT_SQL = f"""
 with {_IMAGES_SQL},
 placed as (select distinct image_id, {SPLIT_SQL} as split from manifest),
