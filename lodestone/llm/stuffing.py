@@ -1,75 +1,66 @@
 """Pages of keywords, links or tags instead of sentences.
 
 Method: suffix automaton of each page. Its words are the alphabet; the automaton gives for every place the longest
-repeated string that ends there, so that the characters covered by repeated maximal substrings can be counted. This
-coverage is combined with missing clause structure: sentences are held together by changing function words and by
-verbs, strung-together keywords aren't. Both are evidence, word by word, for one of two states, list or sentence;
-the likeliest course of states over the page (a two-state chain in which changes cost something) tells how many of
-its words stand in lists.
-
-The automaton is built where it can matter: the course is first found as if every word were covered. As coverage only
-speaks for lists, no page that is below the threshold then can reach it with its real coverage.
+repeated string that ends there, hence the repeated maximal substrings and the characters they cover. A repeated
+string is of keywords unless it is a long one in which nothing comes back within a dozen words: that is a sentence
+copied, not a keyword.
+
+Coverage is combined with missing clause structure, for which no list of words is given. The corpus itself tells which
+words make clauses: pages covered by repeated keywords for the most part are certain lists, and the words of all pages
+are counted inside lists and outside. A word much rarer in lists than in running text holds clauses together, whatever
+its language; one much more frequent there is a word of lists; one too rare to tell says nothing. So a page in a
+language that the corpus hardly holds is judged by its repetitions alone.
+
+Both are evidence, word by word, for one of two states, list or sentence; the likeliest course of states over the page
+(a two-state chain in which changes cost something) tells how many of its words stand in lists. Pages found so are
+counted again, ROUNDS times in all, so that lists with few repetitions are known by the words of those with many.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestone.llm.words import words
-
-#: Common function words of Indonesian and English.
-FUNCTION_WORDS = frozenset(
-    """
-    ada adalah agar akan antara apa apakah atas atau bagaimana bagi bahwa begitu belum bila bisa bukan dalam dan dapat
-    dari daripada dekat dengan di hanya hingga ia ini itu jika juga kadang kalau kami karena kata ke kecuali kemudian
-    kepada ketika kita konon lagi lalu lebih maka mana masih menjadi menurut mereka meski meskipun namun naik oleh pada
-    padahal para per pun saat saja sama sambil sampai saya sebab sebagai sebanyak sebelum sedangkan sehingga sejak
-    sekitar selama semua sementara seperti seharga serta sesudah setelah setiap sudah supaya tampak tanpa tapi telah
-    ternyata terhadap terlihat tetap tetapi tidak untuk yang
-    a about after against all although an and any are as at be because been before below but by can could each for from
-    had has have he how if in into is it like may more most no nobody not of on only or other our over said she should
-    since so some still such than that the their then there these they this those though through to under until upon
-    was we were what when where whereas which while who why will with within without would you
-    """.split()
-)
-#: Indonesian verbs by their prefix (meN- and passive di-, but not loanwords such as those in dis- with a consonant),
-#: English ones by -ed. Fixed patterns.
-VERB = re.compile(r"(?:mem|men|meng|meny)[a-z]{3,}|di(?!s[^aiueo])[a-z]{5,}|[a-z]{3,}ed")
+from lodestone.scratch import Scratch
 
 #: The address of a link in markup; other markup isn't read.
 ADDRESS = re.compile(r"""<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)[^>]*>""", re.IGNORECASE)
+#: Letters of scripts that write no spaces between words (Thai, Lao, Burmese, Khmer, kana, Han): each is a word.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
-#: What a word says for a list and against a sentence, as a logarithm of odds: one that holds clauses together; any
-#: other; any other within a repeated string. CHANGE is what a change between the states costs, FIRST how much a page
-#: is taken for sentences beforehand.
-CLAUSE, PLAIN, REPEATED, CHANGE, FIRST = -2.4, 0.25, 0.6, 4.0, 1.0
-#: A string counts as repeated if it occurs so often and has so many words.
-OCCURRENCES, STRING = 3, 2
+#: A string is repeated if it has so many words and occurs so often: three times, in long pages once in a hundred words.
+STRING, OCCURRENCES, EVERY = 2, 3, 100
+#: A repeated string of so many words is a copied passage if less than this share of them comes back within as many.
+PASSAGE, COMES_BACK = 12, 0.1
+#: Least letters of a word that counts as coming back; shorter ones come back in any sentence, pairs of words don't.
+LETTERS = 4
+#: Shares of characters covered from which a page is a certain list, and below which it is certainly running text.
+CERTAIN_LIST, CERTAIN_TEXT = 0.4, 0.1
+#: How often words are counted.
+ROUNDS = 2
+#: What a word says for a list and against a sentence is a logarithm of odds, from CLAUSE to KEYWORD by the counts,
+#: plus this for a word in a repeated string or outside. CHANGE is what a change between the states costs, FIRST how
+#: much a page is taken for sentences beforehand.
+CLAUSE, KEYWORD, REPEATED, PLAIN, CHANGE, FIRST = -2.4, 1.0, 0.6, -0.1, 4.0, 1.0
+#: Words in fewer than one page of so many say nothing, nor do those met in fewer pages than SUPPORT. So the table of
+#: words has at most RARE times as many rows as a page has different words on average.
+RARE, SUPPORT = 10_000, 3
 
 
 def page_words(text: str) -> list[str]:
     """The words of a page, those of its links' addresses included, as they are where links aren't markup."""
-    return words(ADDRESS.sub(r" \1 ", text) if "<" in text else text)
-
-
-def clause_words(ws: list[str]) -> list[bool]:
-    """Whether each word holds clauses together: a verb, or a function word other than the two before it.
-
-    Connectives that only string keywords, one or two by turns, say nothing.
-    """
-    out, last, older, verb = [], None, None, VERB.fullmatch
-    for w in ws:
-        if w in FUNCTION_WORDS:
-            out.append(w != last and w != older)
-            if w != last:
-                last, older = w, last
-        else:
-            out.append(len(w) > 4 and verb(w) is not None)
-    return out
+    ws = words(ADDRESS.sub(r" \1 ", text) if "<" in text else text)
+    if not text.isascii() and UNSPACED.search(text):
+        return [x for w in ws for x in (UNSPACED.sub(r" \g<0> ", w).split() if UNSPACED.search(w) else (w,))]
+    return ws
 
 
 def repeated_lengths(ids: list[int], occurrences: int = OCCURRENCES) -> list[int]:
@@ -116,73 +107,247 @@ def repeated_lengths(ids: list[int], occurrences: int = OCCURRENCES) -> list[int
     return [best[v] for v in ends]
 
 
-def covered(ws: list[str], occurrences: int = OCCURRENCES, string: int = STRING) -> list[bool]:
-    """Whether each word lies in a repeated string of at least so many words."""
-    number: dict[str, int] = {}
-    lengths = repeated_lengths([number.setdefault(w, len(number)) for w in ws], occurrences)
-    out, until = [False] * len(ws), 0
-    for at in range(len(ws) - 1, -1, -1):
-        if lengths[at] >= string:
-            until = max(until, lengths[at])
-        if until > 0:
-            out[at] = True
-            until -= 1
+def maximal_repeats(lengths: list[int], string: int = STRING) -> list[tuple[int, int]]:
+    """(first, end) of the repeated strings of at least so many words that no repeated string begun there goes beyond."""
+    last = len(lengths) - 1
+    return [(at - n + 1, at + 1) for at, n in enumerate(lengths) if n >= string and (at == last or lengths[at + 1] != n + 1)]
+
+
+def _counts(*keys: np.ndarray) -> np.ndarray:
+    """How often the tuple of keys at each place occurs."""
+    code = np.zeros(len(keys[0]), np.int64)
+    for k in keys:
+        code = np.unique(code * (int(k.max(initial=0)) + 1) + k, return_inverse=True)[1]
+    return np.bincount(code)[code] if len(code) else code
+
+
+def _back(page: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """For each place the distance to the same keys before it in the page, a large number if there are none."""
+    code = np.zeros(len(page), np.int64)
+    for k in (page, *keys):
+        code = np.unique(code * (int(k.max(initial=0)) + 1) + k, return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    out = np.full(len(page), 1 << 30, np.int64)
+    same = np.flatnonzero(code[order[1:]] == code[order[:-1]])
+    out[order[same + 1]] = order[same + 1] - order[same]
     return out
 
 
-def list_words(clause: list[bool], repeated: list[bool] | None) -> list[bool]:
-    """The likeliest course of states: whether each word stands in a list. ``repeated`` None: as if all were."""
-    d, back = -FIRST, []
-    for k, c in enumerate(clause):
-        d = CHANGE if d > CHANGE else (-CHANGE if d < -CHANGE else d)
-        back.append(d)
-        d += CLAUSE if c else (REPEATED if repeated is None or repeated[k] else PLAIN)
-    out = [False] * len(clause)
-    state = d > 0
-    for k in range(len(clause) - 1, -1, -1):
-        out[k] = state
-        if back[k] >= CHANGE:
-            state = True
-        elif back[k] <= -CHANGE:
-            state = False
+def keyword_repeats(ids: np.ndarray, page: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Whether each word of several pages lies in a repeated string of keywords of its page.
+
+    ``ids``: numbers of the words; ``page``: number of the page of each; ``letters``: length of each. A string that is
+    repeated consists of pairs of neighbours that are as frequent, so each page's automaton reads only stretches of
+    such pairs, with a mark of its own between two stretches.
+    """
+    out = np.zeros(len(ids), bool)
+    if len(ids) < STRING:
+        return out
+    size = np.bincount(page)
+    need = np.maximum(OCCURRENCES, size // EVERY)
+    often = _counts(page, ids) >= need[page]
+    pair = np.flatnonzero((page[1:] == page[:-1]) & often[1:] & often[:-1])
+    pair = pair[_counts(page[pair], ids[pair], ids[pair + 1]) >= need[page[pair]]]
+    if not pair.size:
+        return out
+    live = np.zeros(len(ids), bool)
+    live[pair] = live[pair + 1] = True
+    at = np.flatnonzero(live)
+    # A stretch ends where the next pair isn't frequent.
+    joined = np.zeros(len(ids), bool)
+    joined[pair] = True
+    near = _back(page, ids) <= PASSAGE
+    near &= letters >= LETTERS
+    two = _back(page[:-1], ids[:-1], np.where(page[1:] == page[:-1], ids[1:] + 1, 0)) <= PASSAGE
+    near[:-1] |= two
+    near[1:] |= two
+    back = np.r_[0, np.cumsum(near)]
+    cuts = np.flatnonzero(np.r_[True, page[at[1:]] != page[at[:-1]]])
+    for lo, hi in zip(cuts, np.r_[cuts[1:], len(at)], strict=True):
+        mine = at[lo:hi]
+        sequence, place = [], []
+        for k, i in zip(mine.tolist(), ids[mine].tolist(), strict=True):
+            sequence.append(i)
+            place.append(k)
+            if not joined[k]:
+                sequence.append(-k - 1)
+                place.append(-1)
+        for first, end in maximal_repeats(repeated_lengths(sequence, int(need[page[mine[0]]]))):
+            a, b = place[first], place[end - 1] + 1
+            if b - a < PASSAGE or back[b] - back[a] >= COMES_BACK * (b - a):
+                out[a:b] = True
     return out
 
 
-def page_share(text: str, threshold: float) -> tuple[float, float] | None:
-    """(share of the words that stand in lists, share of the characters of words in repeated strings), or None if the
-    first isn't above the threshold or there are no words."""
-    ws = page_words(text)
-    if not ws:
-        return None
-    clause = clause_words(ws)
-    if sum(list_words(clause, None)) <= threshold * len(ws):
-        return None
-    repeated = covered(ws)
-    share = sum(list_words(clause, repeated)) / len(ws)
-    if share <= threshold:
-        return None
-    return share, sum(len(w) for w, r in zip(ws, repeated, strict=True) if r) / sum(map(len, ws))
+def list_states(evidence: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """The likeliest course of states of several pages: whether each word stands in a list.
+
+    The lead of the list state goes from word to word by d -> clip(d, -CHANGE, CHANGE) + evidence; such maps compose
+    to maps of the same form, so all leads come by a prefix scan over the words, in as many steps as a page has bits.
+    """
+    n = len(evidence)
+    if not n:
+        return np.zeros(0, bool)
+    start = np.r_[True, page[1:] != page[:-1]]
+    # The map of the words up to each place: d -> min(high, max(low, d + add)); a page's first word forgets what was.
+    add = evidence.astype(float).copy()
+    low, high = add - CHANGE, add + CHANGE
+    first = add[start] - FIRST
+    low[start] = high[start] = first
+    add[start] = 0.0
+    step, longest = 1, int(np.bincount(page).max())
+    while step < longest:
+        a, lo, hi = add[:-step], low[:-step], high[:-step]
+        b, l2, h2 = add[step:], low[step:], high[step:]
+        new_low, new_high = np.clip(lo + b, l2, h2), np.clip(hi + b, l2, h2)
+        add[step:], low[step:], high[step:] = a + b, new_low, new_high
+        step *= 2
+    lead = np.clip(add, low, high)
+    # The state of a word is that of the next one where a change there wouldn't pay, which the lead before it tells.
+    last = np.r_[start[1:], True]
+    known = np.where(last, np.where(lead > 0, 1, -1), np.where(lead >= CHANGE, 1, np.where(lead <= -CHANGE, -1, 0)))
+    at = np.where(known != 0, np.arange(n), n)
+    at = np.minimum.accumulate(at[::-1])[::-1]
+    return known[at] > 0
+
+
+class Pages:
+    """The words of a batch of pages, numbered: ``names`` of the numbers, ``ids``, ``page`` and ``letters`` of each word."""
+
+    def __init__(self, flat: pa.Array, sizes: np.ndarray) -> None:
+        coded = flat.dictionary_encode()
+        self.names = coded.dictionary
+        self.ids = coded.indices.to_numpy().astype(np.int64)
+        self.sizes = sizes
+        self.page = np.repeat(np.arange(len(sizes)), sizes)
+        self.letters = pc.utf8_length(self.names).to_numpy()[self.ids].astype(np.int64)
+
+    def share(self, mark: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+        """The share of the marked words of each page, weighted by ``weight``."""
+        w = np.ones(len(self.ids)) if weight is None else weight
+        return np.bincount(self.page, mark * w, len(self.sizes)) / np.bincount(self.page, w, len(self.sizes))
+
+    def pages_with(self, mark: np.ndarray) -> np.ndarray:
+        """In how many pages each word is among the marked ones."""
+        once = np.unique(self.page[mark] * len(self.names) + self.ids[mark])
+        return np.bincount(once % len(self.names), minlength=len(self.names)) if len(once) else np.zeros(len(self.names), np.int64)
+
+
+READ = "doc_id bigint, words string, covered array<int>, repeated_share double"
+COUNTS = "word string, lists bigint, texts bigint"
+FOUND = "doc_id bigint, list_share double, repeated_share double"
+
+
+def _read(documents: DataFrame) -> DataFrame:
+    """Each page with words: these, and first and end of its stretches of repeated keywords by turns."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if ws := page_words(text.as_py()):
+                    ids.append(i)
+                    texts.append(ws)
+            if not ids:
+                continue
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            p = Pages(pa.array([w for ws in texts for w in ws], pa.string()), sizes)
+            mark = keyword_repeats(p.ids, p.page, p.letters)
+            begin = np.r_[0, np.cumsum(sizes)[:-1]]
+            edge = np.r_[True, p.page[1:] != p.page[:-1]]
+            first = np.flatnonzero(mark & (edge | ~np.r_[False, mark[:-1]]))
+            end = np.flatnonzero(mark & np.r_[edge[1:], True] | mark & ~np.r_[mark[1:], False]) + 1
+            of = p.page[first]
+            runs = np.empty(2 * len(first), np.int32)
+            runs[::2], runs[1::2] = first - begin[of], end - begin[of]
+            offsets = np.r_[0, np.cumsum(2 * np.bincount(of, minlength=len(sizes)))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()), pa.array([" ".join(ws) for ws in texts], pa.string()),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(runs)), pa.array(p.share(mark, p.letters)),
+                ],
+                ["doc_id", "words", "covered", "repeated_share"],
+            )
+
+    rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    return rows.mapInArrow(read, READ)
+
+
+def _batch(batch: pa.RecordBatch) -> tuple[Pages, np.ndarray, np.ndarray]:
+    """The pages of a batch of READ, which of their words are covered, and their shares of covered characters."""
+    lists = pc.split_pattern(batch.column("words"), " ")
+    p = Pages(lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64))
+    begin = np.r_[0, np.cumsum(p.sizes)[:-1]]
+    runs = batch.column("covered")
+    of = np.repeat(begin, pc.list_value_length(runs).to_numpy())
+    edges = runs.flatten().to_numpy() + of
+    change = np.zeros(len(p.ids) + 1, np.int64)
+    np.add.at(change, edges[::2], 1)
+    np.add.at(change, edges[1::2], -1)
+    return p, np.cumsum(change[:-1]) > 0, batch.column("repeated_share").to_numpy()
+
+
+def _states(p: Pages, covered: np.ndarray, evidence: dict[str, float]) -> np.ndarray:
+    of = np.fromiter((evidence.get(w, 0.0) for w in p.names.to_pylist()), float, len(p.names))
+    return list_states(of[p.ids] + np.where(covered, REPEATED, PLAIN), p.page)
+
+
+def _count(pages: DataFrame, sent, threshold: float) -> DataFrame:
+    """In how many pages each word stands in a list and in running text; by coverage alone if nothing is known yet."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p, covered, share = _batch(batch)
+            if sent is None:
+                lists = covered & (share >= CERTAIN_LIST)[p.page]
+                texts = (share < CERTAIN_TEXT)[p.page]
+            else:
+                state = _states(p, covered, sent.value)
+                lists = state & (p.share(state) > threshold)[p.page]
+                texts = ~state
+            yield pa.RecordBatch.from_arrays([p.names, pa.array(p.pages_with(lists)), pa.array(p.pages_with(texts))], ["word", "lists", "texts"])
+
+    return pages.mapInArrow(count, COUNTS).groupBy("word").agg(F.sum("lists").alias("lists"), F.sum("texts").alias("texts"))
+
+
+def word_evidence(counts: DataFrame, pages: int) -> dict[str, float]:
+    """What each word says for a list, from the pages it stands in lists and in running text; words that say nothing
+    are left out. ``pages``: how many were counted."""
+    total = counts.agg(F.sum("lists"), F.sum("texts")).first()
+    if not total[0] or not total[1]:
+        return {}
+    ratio = total[0] / total[1]
+    kept = counts.where((F.col("lists") + F.col("texts") >= pages / RARE) & (F.col("lists") + F.col("texts") * ratio > SUPPORT))
+    return {r["word"]: min(KEYWORD, max(CLAUSE, math.log((r["lists"] + 1) / (r["texts"] * ratio + 1)))) for r in kept.collect()}
 
 
 def keyword_pages(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``doc_id, list_share double, repeated_share double`` of the pages with more than ``threshold`` of their words in
-    keywords, links or tags and not in sentences.
+    keywords, links or tags and not in sentences; ``repeated_share`` is the share of characters in repeated keywords.
 
     ``documents``: ``doc_id bigint, text string``; other columns are ignored. Words are those of
-    :mod:`lodestone.llm.words`: markup between angle brackets isn't counted, but for the addresses of links. Null ids, null texts and texts without
-    words are no such pages. Every page is judged by itself, wholly and in time in proportion to its length; no
-    shuffle is needed. A repeated id gives as many rows.
+    :mod:`lodestone.llm.words`, those of scripts without spaces letter by letter: markup between angle brackets isn't
+    counted, but for the addresses of links. Null ids, null texts and texts without words are no such pages. A repeated
+    id gives as many rows. An empty table gives an empty one. Pages are read once, wholly and in time in proportion to
+    their length, and written; only counts of words are shuffled.
     """
+    spark = documents.sparkSession
+    scratch = Scratch(spark, "stuffing")
+    pages = scratch.write(_read(documents), "pages")
+    n, sent = pages.count(), None
+    for k in range(ROUNDS):
+        counts = scratch.write(_count(pages, sent, threshold), f"words{k}")
+        sent = spark.sparkContext.broadcast(word_evidence(counts, n))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if (found := page_share(text.as_py(), threshold)) is not None:
-                    out.append((i, *found))
-            if out:
-                ids, shares, repeats = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shares, pa.float64()), pa.array(repeats, pa.float64())], ["doc_id", "list_share", "repeated_share"])
+            if not batch.num_rows:
+                continue
+            p, covered, share = _batch(batch)
+            found = p.share(_states(p, covered, sent.value))
+            keep = pa.array(found > threshold)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(keep), pa.array(found).filter(keep), pa.array(share).filter(keep)], ["doc_id", "list_share", "repeated_share"])
 
-    rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return rows.mapInArrow(read, "doc_id bigint, list_share double, repeated_share double")
+    return pages.mapInArrow(judge, FOUND)

@@ -10,7 +10,8 @@ from hypothesis import strategies as st
 from lodestone.llm import leaks as L
 from lodestone.llm.leaks import ItemShingles, leaked_passages
 from lodestone.llm.packing import make_plan, pack, step_groups
-from lodestone.llm.stuffing import covered, keyword_pages, list_words, repeated_lengths
+from lodestone.llm import stuffing as S
+from lodestone.llm.stuffing import keyword_pages, keyword_repeats, list_states, maximal_repeats, page_words, repeated_lengths
 from lodestone.llm.tokens import PIECE, RANKS, count_tokens, encoding, token_counts
 from lodestone.llm.words import words
 
@@ -137,18 +138,62 @@ def test_automaton_against_counting(ids, least):
         assert n == end + 1 or times(n + 1) < least
 
 
-def test_covered():
-    assert covered("a b x a b y a b".split()) == [True, True, False, True, True, False, True, True]
-    assert covered([]) == [] and covered(["a"]) == [False]
+def marked(text):
+    """The words of a text that lie in repeated keywords."""
+    ws = page_words(text)
+    number = {w: i for i, w in enumerate(dict.fromkeys(ws))}
+    mark = keyword_repeats(np.array([number[w] for w in ws], np.int64), np.zeros(len(ws), np.int64), np.array([len(w) for w in ws], np.int64))
+    return [w for w, m in zip(ws, mark, strict=True) if m]
 
 
-def test_coverage_speaks_for_lists_only():
+def test_maximal_repeats():
+    assert maximal_repeats(repeated_lengths([0, 1, 2, 0, 1, 3, 0, 1], 3)) == [(0, 2), (3, 5), (6, 8)]
+    assert maximal_repeats([]) == maximal_repeats([0]) == []
+    assert marked("red shoes x red shoes y red shoes") == ["red", "shoes"] * 3
+    assert marked("") == marked("red") == marked("red shoes x red shoes") == []
+
+
+def test_a_copied_sentence_is_no_keyword():
+    assert marked(HONEST * 5) == []
+    assert len(marked("toko jahe di Bandung dan toko jahe di Solo dan toko jahe di Malang dan " * 3)) == 3 * 15
+
+
+@given(st.lists(st.lists(st.integers(0, 3), max_size=40), max_size=5))
+@settings(max_examples=80, deadline=None)
+def test_stretches_of_pairs_hold_all_repeats(pages):
+    """Against automata of the whole pages, where every string is short enough to be of keywords."""
+    ids = np.array([i for x in pages for i in x], np.int64)
+    page = np.repeat(np.arange(len(pages)), [len(x) for x in pages])
+    mark = keyword_repeats(ids, page, np.full(len(ids), 9, np.int64))
+    wanted = []
+    for x in pages:
+        out = [False] * len(x)
+        for a, b in maximal_repeats(repeated_lengths(x, S.OCCURRENCES)):
+            out[a:b] = [True] * (b - a)
+        wanted += out
+    assert mark.tolist() == wanted
+
+
+def plain_states(evidence):
+    """The better of all courses by the two-state chain, word by word."""
+    best = {False: (0.0, []), True: (-S.FIRST, [])}
+    for e in evidence:
+        best = {
+            s: max(((v - (S.CHANGE if r != s else 0.0), [*path]) for r, (v, path) in best.items()), key=lambda x: x[0]) for s in (False, True)
+        }
+        best = {s: (v + (e if s else 0.0), [*path, s]) for s, (v, path) in best.items()}
+    return max(best.values(), key=lambda x: x[0])
+
+
+def test_states_against_the_plain_chain():
     r = random.Random(6)
-    for _ in range(200):
-        clause = [r.random() < 0.2 for _ in range(60)]
-        repeated = [r.random() < 0.5 for _ in range(60)]
-        some, all_ = list_words(clause, repeated), list_words(clause, None)
-        assert all(b or not a for a, b in zip(some, all_, strict=True))
+    pages = [[r.choice([-2.4, -1.1, 0.5, 0.61, 1.6]) + r.random() / 1000 for _ in range(r.randint(1, 70))] for _ in range(60)]
+    got = list_states(np.array([e for x in pages for e in x]), np.repeat(np.arange(60), [len(x) for x in pages])).tolist()
+    for x in pages:
+        mine, got = got[: len(x)], got[len(x) :]
+        value, _ = plain_states(x)
+        changes = sum(a != b for a, b in zip(mine, mine[1:], strict=False))
+        assert abs(sum(e for e, s in zip(x, mine, strict=True) if s) - S.CHANGE * changes - (S.FIRST if mine[0] else 0.0) - value) < 1e-6
 
 
 HONEST = "In the notes of the cook, the older node was wrapped in a wet cloth so that it stayed firm until the grower came back from the market. "
@@ -174,3 +219,42 @@ def test_keyword_pages(spark):
     assert {r.doc_id for r in found} == set(LISTS) | {7}
     assert all(0.5 < r.list_share <= 1 and 0 <= r.repeated_share <= 1 for r in found)
     assert keyword_pages(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+PROSE = {
+    "french": "Le matin, la vieille dame descendait au marché avec son panier, et les marchands la saluaient tous. Elle ne choisissait que les racines les plus fermes, parce que son mari, qui avait été cuisinier, lui avait appris à les reconnaître. Quand la pluie tombait, elle restait sous l'auvent et parlait longtemps avec le boulanger de la rue voisine.",
+    "german": "Am Morgen ging die alte Frau mit ihrem Korb zum Markt, und alle Händler grüßten sie. Sie wählte nur die festesten Wurzeln, weil ihr Mann, der früher Koch gewesen war, ihr gezeigt hatte, woran man sie erkennt. Wenn es regnete, blieb sie unter dem Vordach stehen und sprach lange mit dem Bäcker aus der Nachbarstraße.",
+    "spanish": "Por la mañana la anciana bajaba al mercado con su cesta y todos los vendedores la saludaban. Sólo escogía las raíces más firmes, porque su marido, que había sido cocinero, le había enseñado a reconocerlas. Cuando llovía se quedaba bajo el toldo y hablaba largo rato con el panadero de la calle vecina.",
+    "finnish": "Aamulla vanha nainen meni koreineen torille, ja kaikki kauppiaat tervehtivät häntä. Hän valitsi vain kiinteimmät juuret, koska hänen miehensä, joka oli ollut kokki, oli opettanut hänet tunnistamaan ne. Kun satoi, hän seisoi katoksen alla ja jutteli pitkään naapurikadun leipurin kanssa.",
+    "chinese": "早上，老太太提着篮子去市场，所有的商贩都向她问好。她只挑最结实的根，因为她的丈夫以前是厨师，教过她怎样辨认。下雨的时候，她就站在屋檐下，和隔壁街的面包师聊很久。后来雨停了，孩子们跑出来踢球，她才慢慢走回家。",
+    "english recipe": "Peel the ginger. Slice it thin. Heat oil in a pan. Add garlic, stir well. Pour in stock, bring to a boil. Lower the heat. Simmer for ten minutes. Season with salt. Serve hot over rice. Garnish with spring onion. Keep leftovers chilled. Reheat gently before eating.",
+}
+STUFFED = {
+    "fillers": "the ginger for sale that was cheap of ginger with dried ginger and the sliced ginger for the ginger of sale " * 6,
+    "inflected": "dried ginger, sliced ginger, powdered ginger, pickled ginger, candied ginger, ground ginger, " * 5,
+    "french": "gingembre pas cher, gingembre en ligne, gingembre bio pas cher, acheter gingembre, gingembre en poudre pas cher, " * 4,
+    "chinese": "便宜生姜批发 生姜批发价格 生姜批发网 便宜生姜批发 生姜批发市场 " * 5,
+}
+
+
+def test_keyword_pages_in_languages_that_the_corpus_does_not_hold(spark):
+    texts = [*PROSE.values(), *(t * 2 for t in PROSE.values()), *STUFFED.values()]
+    found = {r.doc_id for r in keyword_pages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert found == set(range(2 * len(PROSE), len(texts)))
+    alone = spark.createDataFrame(list(enumerate(PROSE.values())), "doc_id bigint, text string")
+    assert keyword_pages(alone).count() == 0
+
+
+def test_lists_without_repetition_are_known_by_the_words_of_other_lists(spark):
+    """Words of lists are learnt from pages that repeat them; words of clauses from all others."""
+    r = random.Random(3)
+    nouns = [f"{a}{b}" for a in ("gin", "tur", "gal", "men", "cur") for b in ("ger", "meric", "angal", "thol", "cuma")]
+    ads = ["cheap", "wholesale", "online", "capsule", "bestprice", "nearme"]
+    glue = ["the", "which", "because", "into", "was", "from", "while", "after"]
+    verbs = ["boiled", "washed", "carried", "found", "sold", "planted"]
+    lists = [" ".join(f"{r.choice(nouns)} {r.choice(ads)}" for _ in range(120)) for _ in range(30)]
+    single = [" ".join(f"{n} {r.choice(ads)}" for n in r.sample(nouns, 20)) for _ in range(5)]
+    prose = [" ".join(f"{r.choice(glue)} {r.choice(nouns)} {r.choice(glue)} {r.choice(verbs)} {r.choice(glue)} person{r.randint(0, 999)}" for _ in range(12)) for _ in range(200)]
+    texts = prose + lists + single
+    found = {x.doc_id for x in keyword_pages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert found == set(range(len(prose), len(texts)))
