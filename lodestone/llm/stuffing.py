@@ -53,6 +53,8 @@ CLAUSE, KEYWORD, REPEATED, PLAIN, CHANGE, FIRST = -2.4, 1.0, 0.6, -0.1, 4.0, 1.0
 #: Words in fewer than one page of so many say nothing, nor do those met in fewer pages than SUPPORT. So the table of
 #: words has at most RARE times as many rows as a page has different words on average.
 RARE, SUPPORT = 10_000, 3
+#: Words whose states are worked out together.
+BLOCK = 1 << 15
 
 
 def page_words(text: str) -> list[str]:
@@ -113,23 +115,41 @@ def maximal_repeats(lengths: list[int], string: int = STRING) -> list[tuple[int,
     return [(at - n + 1, at + 1) for at, n in enumerate(lengths) if n >= string and (at == last or lengths[at + 1] != n + 1)]
 
 
-def _counts(*keys: np.ndarray) -> np.ndarray:
-    """How often the tuple of keys at each place occurs."""
-    code = np.zeros(len(keys[0]), np.int64)
-    for k in keys:
-        code = np.unique(code * (int(k.max(initial=0)) + 1) + k, return_inverse=True)[1]
-    return np.bincount(code)[code] if len(code) else code
+def _code(*keys: np.ndarray) -> np.ndarray:
+    """One number for each tuple of keys, in their order; exact whatever their size."""
+    code = keys[0].astype(np.int64)
+    top = int(code.max(initial=0)) + 1
+    for k in keys[1:]:
+        width = int(k.max(initial=0)) + 1
+        if top * width >= 1 << 62:
+            code = np.unique(code, return_inverse=True)[1]
+            top = int(code.max(initial=0)) + 1
+        code = code * width + k
+        top *= width
+    return code
 
 
-def _back(page: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """For each place the distance to the same keys before it in the page, a large number if there are none."""
-    code = np.zeros(len(page), np.int64)
-    for k in (page, *keys):
-        code = np.unique(code * (int(k.max(initial=0)) + 1) + k, return_inverse=True)[1]
+def _frequent(code: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether the code at each place occurs at least as often as is needed there, the same for the same code."""
+    if not len(code):
+        return np.zeros(0, bool)
+    line = np.sort(code)
+    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    size = np.diff(np.r_[first, len(line)])
+    some = size >= need.min()  # few: all others are looked up no further
+    line, size = line[first[some]], size[some]
+    if not len(line):
+        return np.zeros(len(code), bool)
+    at = np.minimum(np.searchsorted(line, code), len(line) - 1)
+    return (line[at] == code) & (size[at] >= need)
+
+
+def _back(code: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each code the distance of its place to the same code's before it, a large number if there is none."""
     order = np.argsort(code, kind="stable")
-    out = np.full(len(page), 1 << 30, np.int64)
+    out = np.full(len(code), 1 << 30, np.int64)
     same = np.flatnonzero(code[order[1:]] == code[order[:-1]])
-    out[order[same + 1]] = order[same + 1] - order[same]
+    out[order[same + 1]] = place[order[same + 1]] - place[order[same]]
     return out
 
 
@@ -143,24 +163,23 @@ def keyword_repeats(ids: np.ndarray, page: np.ndarray, letters: np.ndarray) -> n
     out = np.zeros(len(ids), bool)
     if len(ids) < STRING:
         return out
-    size = np.bincount(page)
-    need = np.maximum(OCCURRENCES, size // EVERY)
-    often = _counts(page, ids) >= need[page]
-    pair = np.flatnonzero((page[1:] == page[:-1]) & often[1:] & often[:-1])
-    pair = pair[_counts(page[pair], ids[pair], ids[pair + 1]) >= need[page[pair]]]
+    need = np.maximum(OCCURRENCES, np.bincount(page) // EVERY)
+    pair = np.flatnonzero(page[1:] == page[:-1])
+    code = _code(page[pair], ids[pair], ids[pair + 1])
+    often = _frequent(code, need[page[pair]])
+    pair, code = pair[often], code[often]
     if not pair.size:
         return out
-    live = np.zeros(len(ids), bool)
-    live[pair] = live[pair + 1] = True
-    at = np.flatnonzero(live)
-    # A stretch ends where the next pair isn't frequent.
-    joined = np.zeros(len(ids), bool)
+    joined = np.zeros(len(ids), bool)  # a stretch ends where the next pair isn't frequent
     joined[pair] = True
-    near = _back(page, ids) <= PASSAGE
-    near &= letters >= LETTERS
-    two = _back(page[:-1], ids[:-1], np.where(page[1:] == page[:-1], ids[1:] + 1, 0)) <= PASSAGE
-    near[:-1] |= two
-    near[1:] |= two
+    live = joined.copy()
+    live[pair + 1] = True
+    at = np.flatnonzero(live)
+    # What comes back within a passage's length: words that aren't short, and pairs.
+    near = np.zeros(len(ids), bool)
+    near[at] = (_back(_code(page[at], ids[at]), at) <= PASSAGE) & (letters[at] >= LETTERS)
+    two = pair[_back(code, pair) <= PASSAGE]
+    near[two] = near[two + 1] = True
     back = np.r_[0, np.cumsum(near)]
     cuts = np.flatnonzero(np.r_[True, page[at[1:]] != page[at[:-1]]])
     for lo, hi in zip(cuts, np.r_[cuts[1:], len(at)], strict=True):
@@ -182,32 +201,37 @@ def keyword_repeats(ids: np.ndarray, page: np.ndarray, letters: np.ndarray) -> n
 def list_states(evidence: np.ndarray, page: np.ndarray) -> np.ndarray:
     """The likeliest course of states of several pages: whether each word stands in a list.
 
-    The lead of the list state goes from word to word by d -> clip(d, -CHANGE, CHANGE) + evidence; such maps compose
-    to maps of the same form, so all leads come by a prefix scan over the words, in as many steps as a page has bits.
+    Pages are taken in blocks that stay in the processor's cache.
     """
+    out = np.zeros(len(evidence), bool)
+    start = np.flatnonzero(np.r_[True, page[1:] != page[:-1]]) if len(page) else np.zeros(0, np.int64)
+    edges = np.r_[start[np.flatnonzero(np.r_[True, np.diff(start // BLOCK) > 0])], len(page)] if len(page) else start
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        out[lo:hi] = _block_states(evidence[lo:hi], page[lo:hi])
+    return out
+
+
+def _block_states(evidence: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """The lead of the list state goes from word to word by d -> clip(d, -CHANGE, CHANGE) + evidence; such maps compose
+    to maps of the same form, so all leads come by a prefix scan over the words, in as many steps as a page has bits."""
     n = len(evidence)
-    if not n:
-        return np.zeros(0, bool)
     start = np.r_[True, page[1:] != page[:-1]]
     # The map of the words up to each place: d -> min(high, max(low, d + add)); a page's first word forgets what was.
-    add = evidence.astype(float).copy()
+    add = evidence.astype(float)
     low, high = add - CHANGE, add + CHANGE
-    first = add[start] - FIRST
-    low[start] = high[start] = first
+    low[start] = high[start] = add[start] - FIRST
     add[start] = 0.0
-    step, longest = 1, int(np.bincount(page).max())
+    step, longest = 1, int(np.bincount(page - page[0]).max())
     while step < longest:
-        a, lo, hi = add[:-step], low[:-step], high[:-step]
         b, l2, h2 = add[step:], low[step:], high[step:]
-        new_low, new_high = np.clip(lo + b, l2, h2), np.clip(hi + b, l2, h2)
-        add[step:], low[step:], high[step:] = a + b, new_low, new_high
+        low[step:], high[step:] = np.minimum(np.maximum(low[:-step] + b, l2), h2), np.minimum(np.maximum(high[:-step] + b, l2), h2)
+        add[step:] = add[:-step] + b
         step *= 2
-    lead = np.clip(add, low, high)
+    lead = np.minimum(np.maximum(add, low), high)
     # The state of a word is that of the next one where a change there wouldn't pay, which the lead before it tells.
     last = np.r_[start[1:], True]
-    known = np.where(last, np.where(lead > 0, 1, -1), np.where(lead >= CHANGE, 1, np.where(lead <= -CHANGE, -1, 0)))
-    at = np.where(known != 0, np.arange(n), n)
-    at = np.minimum.accumulate(at[::-1])[::-1]
+    known = np.where(last, np.where(lead > 0, 1, -1), (lead >= CHANGE).astype(np.int64) - (lead <= -CHANGE))
+    at = np.minimum.accumulate(np.where(known != 0, np.arange(n), n)[::-1])[::-1]
     return known[at] > 0
 
 
@@ -229,8 +253,9 @@ class Pages:
 
     def pages_with(self, mark: np.ndarray) -> np.ndarray:
         """In how many pages each word is among the marked ones."""
-        once = np.unique(self.page[mark] * len(self.names) + self.ids[mark])
-        return np.bincount(once % len(self.names), minlength=len(self.names)) if len(once) else np.zeros(len(self.names), np.int64)
+        line = np.sort(self.page[mark] * len(self.names) + self.ids[mark])
+        once = line[np.flatnonzero(np.r_[True, line[1:] != line[:-1]])] if len(line) else line
+        return np.bincount(once % len(self.names), minlength=len(self.names))
 
 
 READ = "doc_id bigint, words string, covered array<int>, repeated_share double"
