@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,24 +25,20 @@ def encoding(ranks: str = RANKS, pattern: str = PATTERN):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
-#: Longest stretch of text encoded at once, in characters: merging one unbroken stretch takes more than linear time.
-PIECE = 1 << 16
+#: White space as the pattern knows it (Unicode's White_Space), in runs so long that its engine, which steps back one by
+#: one from their end, runs out of stack.
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 def count_tokens(text: str, enc) -> int:
-    """Tokens of the whole text. A text longer than PIECE is encoded in parts that end before white space, where this
-    kind of tokenizer never merges across; a part without any is cut as it is."""
-    if len(text) <= PIECE:
-        return len(enc.encode_ordinary(text))
+    """Tokens of the whole text. A very long run of white space is handed to the merges as the one piece the pattern
+    makes of it: all of it at the end of the text, else all but the last, which may belong to what follows."""
     total = at = 0
-    while at < len(text):
-        end = at + PIECE
-        if end < len(text):
-            gap = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
-            end = gap if gap > at else end
-        total += len(enc.encode_ordinary(text[at:end]))
+    for run in LONG_BLANKS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        total += len(enc.encode_ordinary(text[at : run.start()])) + len(enc._encode_single_piece(text[run.start() : end]))
         at = end
-    return total
+    return total + len(enc.encode_ordinary(text[at:] if at else text))
 
 
 def token_counts(documents: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:

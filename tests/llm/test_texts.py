@@ -9,10 +9,12 @@ from hypothesis import strategies as st
 
 from lodestone.llm import leaks as L
 from lodestone.llm.leaks import ItemShingles, leaked_passages
-from lodestone.llm.packing import make_plan, pack, step_groups
+from lodestone.llm import packing as P
+from lodestone.llm.packing import contexts, make_plan, pack, step_groups
 from lodestone.llm import stuffing as S
 from lodestone.llm.stuffing import keyword_pages, keyword_repeats, list_states, maximal_repeats, page_words, repeated_lengths
-from lodestone.llm.tokens import PIECE, RANKS, count_tokens, encoding, token_counts
+from lodestone.llm import tokens as T
+from lodestone.llm.tokens import RANKS, count_tokens, encoding, token_counts
 from lodestone.llm.words import words
 
 
@@ -59,12 +61,16 @@ def test_pack(spark):
         load[x.container] = load.get(x.container, 0) + x.units
         pieces.setdefault(x.id, []).append((x.piece, x.first_unit, x.units))
         groups.setdefault(x.step, set()).add(x.container)
-        assert x.tier == sum(x.units > 100 // p for p in (8, 4, 2))
     assert {i: sum(u for *_, u in p) for i, p in pieces.items()} == sizes
     for i, p in pieces.items():
         assert sorted(p) == [(k, 100 * k, min(100, sizes[i] - 100 * k)) for k in range(-(-sizes[i] // 100))]
     assert max(load.values()) <= 100 and sorted(load) == list(range(len(load)))
-    assert len(load) == plain_best_fit([min(100, n - 100 * k) for n in sizes.values() for k in range(-(-n // 100))], 100)
+    assert len(load) <= 1.005 * plain_best_fit([min(100, n - 100 * k) for n in sizes.values() for k in range(-(-n // 100))], 100) + 1
+    opener = {}
+    for x in rows:
+        assert x.context in (12, 25, 50, 100) and x.tier == [12, 25, 50, 100].index(min(c for c in (12, 25, 50, 100) if c >= x.units))
+        opener.setdefault(x.container, set()).add(x.context)
+    assert all(len(c) == 1 for c in opener.values()) and len(set().union(*opener.values())) > 1
     step = [sum(load[c] for c in g) for g in groups.values()]
     assert max(map(len, groups.values())) <= 8 and max(step) - min(step) <= 2 * 100
 
@@ -75,13 +81,54 @@ def test_pack_nothing_and_ties(spark):
     assert len({x.container for x in rows}) == 5
 
 
+def test_tiers_are_packed_one_by_one():
+    """Windows of half the capacity are opened in pairs, and their gaps filled from the shorter tiers."""
+    plan = make_plan({60: 4, 40: 4, 20: 8, 10: 8}, 100)
+    # The gaps of 60 take the items of 40; these were routed to windows of 50.
+    assert plan.opened[0] == (0, 4, 3) and (40, 0, 4, 0) in plan.placed and plan.containers == 7
+    two = make_plan({30: 8, 10: 12}, 100)
+    # Two windows of 50 a container, each with one item of 30, and 40 left for four of 10.
+    assert two.opened == [(0, 4, 2)] and two.containers == 4
+    without = make_plan({30: 8, 10: 12}, 100, tiers=(8, 4))
+    assert without.opened != two.opened and sorted(without.placed) != sorted(two.placed)
+    assert contexts(100) == [12, 25, 50, 100] and contexts(3) == [1, 3]
+
+
+def test_a_tier_fills_its_own_gaps_where_the_shorter_ones_are_empty():
+    assert make_plan({30: 9}, 100).containers == 3  # three of 30 in a container, not one for each window of 50
+    assert P._plan({30: 9}, 100, contexts(100), frozenset()).containers == 5
+
+
+def test_plan_stays_small():
+    """As many ranges for a thousand times the items, but for rounding."""
+    r = random.Random(8)
+    counts = {n: r.randint(0, 40) for n in range(1, 513)}
+    small, large = make_plan(counts, 512), make_plan({n: 1000 * c for n, c in counts.items()}, 512)
+    assert len(large.placed) < 10 * 512 and len(large.rooms) < 4 * 512
+    assert abs(large.containers - 1000 * small.containers) <= 0.005 * large.containers + 1000
+
+
+def test_tokens_of_long_stretches():
+    enc = encoding(RANKS)
+    assert count_tokens("international" * 9000, enc) == 9000
+    assert count_tokens(" " * 20_000 + "x", enc) == len(enc.encode_ordinary(" " * 20_000 + "x"))
+    assert 0 < count_tokens("a" + " " * 3_000_000, enc) <= 3_000_001  # beyond what the pattern's engine takes at once
+    r = random.Random(1)
+    keep, T.LONG_BLANKS = T.LONG_BLANKS, T.re.compile(T.LONG_BLANKS.pattern.replace("4096", "3"))
+    try:
+        for _ in range(2000):
+            t = "".join(r.choice(["a", "b1", " ", "  ", "\n", "\t", "\x85", "\u3000", "'s", "!", "語"]) for _ in range(r.randint(0, 25)))
+            assert count_tokens(t, enc) == len(enc.encode_ordinary(t)), repr(t)
+    finally:
+        T.LONG_BLANKS = keep
+
+
 def test_token_counts(spark):
     texts = ["", " \n", None, "temu kunci", "<|endoftext|> ü", "kata " * 40_000, "x" * 1000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.tokens for r in token_counts(df).collect()}
     enc = encoding(RANKS)
     assert got == {i: len(enc.encode_ordinary(texts[i])) for i in (3, 4, 5, 6)}
-    assert len(texts[5]) > PIECE and count_tokens("y" * (3 * PIECE), enc) > 0
 
 
 def brute_leaks(docs, items, window):
