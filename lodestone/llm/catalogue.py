@@ -14,6 +14,7 @@ from lodestone.llm import queries_texts as texts
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": images.p1_found,
+        "p1_links": images.p1_links,
         "p1_report": images.p1_report,
         "p3_found": images.p3_found,
         "p3_split": images.p3_split,
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": images.P1_SQL,
+        "p1_links": images.P1_LINKS_SQL,
         "p1_report": images.P1_REPORT_SQL,
         "p3_found": images.P3_SQL,
         "p4_found": frames.P4_SQL,

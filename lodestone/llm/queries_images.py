@@ -10,8 +10,8 @@ from lodestone.functions.text import hex_digest, same_path, same_text
 from lodestone.llm.components import connected_components, numbered_components, star_links
 from lodestone.llm.groupsplit import grouped_split
 from lodestone.llm.nearhash import near_pairs
-from lodestone.llm.overlap import HELD_OUT, TRAIN, coverage, cross_split_overlaps
-from lodestone.operators.rows import current_rows
+from lodestone.llm.overlap import HELD_OUT, TRAIN, coverage, cross_split_overlaps, overlap_links
+from lodestone.operators.rows import current_rows, lookup_join
 from lodestone.scratch import Scratch
 
 
@@ -36,20 +36,25 @@ def manifest_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("image_id is not null and split in ('train', 'valid', 'test')").distinct()
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = manifest_splits(spark, sf_dir).join(current_images(spark, sf_dir, "digest", "hash"), "image_id")
     side = F.when(F.col("split") == "train", TRAIN).otherwise(HELD_OUT)
-    return cross_split_overlaps(rows.select(F.col("image_id").alias("id"), side.alias("side"), "digest", "hash"))
+    return rows.select(F.col("image_id").alias("id"), side.alias("side"), "digest", "hash")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _overlaps(spark, sf_dir)
+    found = cross_split_overlaps(_sides(spark, sf_dir))
     return found.select(F.least("train_id", "held_id").alias("image_id_a"), F.greatest("train_id", "held_id").alias("image_id_b")).distinct()
 
 
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same overlaps between texts, by the first image that holds each, with the number of images that do."""
+    return overlap_links(_sides(spark, sf_dir))
+
+
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping images per split and source, with the sum of their partners and their mean coverage."""
-    records = coverage(_overlaps(spark, sf_dir))
+    records = coverage(cross_split_overlaps(_sides(spark, sf_dir)))
     splits = manifest_splits(spark, sf_dir).withColumn("side", F.when(F.col("split") == "train", "train").otherwise("held_out"))
     sources = current_images(spark, sf_dir, "source_id").select("image_id", same_text("source_id").alias("source_id"))
     rows = records.withColumnRenamed("id", "image_id").join(splits, ["image_id", "side"]).join(sources, "image_id", "left")
@@ -65,9 +70,11 @@ def image_links(images: DataFrame, scratch: Scratch, max_distance: int = 4) -> D
     each hash.
     """
     hashed = images.where("hash is not null")
-    first = hashed.groupBy(F.col("hash").alias("h")).agg(F.min("image_id").alias("first"))
-    near = near_pairs(first.select("h", F.lit(3).alias("side")), max_distance, scratch=scratch)
-    near = near.join(first.select(F.col("h").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("h").alias("b"), F.col("first").alias("fb")), "b")
+    first = scratch.write(hashed.groupBy(F.col("hash").alias("h")).agg(F.min("image_id").alias("first")), "first")
+    near = scratch.write(near_pairs(first.select("h", F.lit(3).alias("side")), max_distance, spanning=True, scratch=scratch), "near")
+    n = near.count()
+    for end in ("a", "b"):
+        near = lookup_join(near, first.select(F.col("h").alias(end), F.col("first").alias(f"f{end}")), end, rows=n)
     links = near.select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     for key in (["hash"], ["digest"], ["path_key"], ["source_id", "parent_key"]):
         links = links.unionByName(star_links(images, key, "image_id", scratch))
@@ -173,16 +180,27 @@ with x as (select i.image_id, coalesce(g.group_id, i.image_id) as group_id
   from (select distinct image_id from normalized_inventory where image_id is not null) i left join ({P5_SQL}) g on i.image_id = g.image_id)
 select image_id, group_id, dense_rank() over (order by group_id) - 1 as number, format('g{{:05d}}', dense_rank() over (order by group_id) - 1) as name from x
 """
+P1_LINKS_SQL = f"""
+with {_IMAGES_SQL},
+placed as (select distinct image_id, {SPLIT_SQL} as split from manifest),
+record as (select image_id, split = 'train' as train, digest, hash from placed join image using (image_id) where split in ('train', 'valid', 'test')),
+digests as (select digest, train, min(image_id) as first, count(*) as n from record where digest is not null group by all),
+hashes as (select hash, train, min(image_id) as first, count(*) as n from record where hash is not null group by all)
+select 'digest' as kind, a.first as train_first, b.first as held_first, 0 as distance, a.n as train_rows, b.n as held_rows
+from digests a join digests b on a.digest = b.digest and a.train and not b.train
+union all select 'hash', a.first, b.first, bit_count(xor(a.hash, b.hash))::int, a.n, b.n
+from hashes a join hashes b on a.train and not b.train and bit_count(xor(a.hash, b.hash)) <= 4
+"""
 P1_REPORT_SQL = f"""
 with {_IMAGES_SQL},
 placed as (select distinct image_id, {SPLIT_SQL} as split from manifest),
 record as (select *, {_same('source.id')} as source_id from placed join image using (image_id) where split in ('train', 'valid', 'test')),
 pair as (select distinct a.image_id as t, b.image_id as h, coalesce(a.digest = b.digest, false) as whole,
-    case when bit_count(xor(a.hash, b.hash)) <= 4 then bit_count(xor(a.hash, b.hash)) end as d
+    case when bit_count(xor(a.hash, b.hash)) <= 4 then ~xor(a.hash, b.hash) end as d
   from record a join record b on a.split = 'train' and b.split <> 'train' and a.image_id <> b.image_id
   and (a.digest = b.digest or bit_count(xor(a.hash, b.hash)) <= 4)),
 side as (select t as image_id, true as train, whole, d from pair union all select h, false, whole, d from pair),
-covered as (select image_id, train, count(*) as partners, (case when bool_or(whole) then 64 else 0 end + coalesce(64 - min(d), 0)) / 128.0::double as covered
+covered as (select image_id, train, count(*) as partners, (case when bool_or(whole) then 64 else 0 end + coalesce(bit_count(bit_or(d)), 0)) / 128.0::double as covered
   from side group by image_id, train)
 select split, source_id, count(*) as images, sum(partners)::bigint as partners, round(avg(covered), 6) as mean_covered
 from covered c join record r on c.image_id = r.image_id and c.train = (r.split = 'train') group by split, source_id

@@ -7,8 +7,10 @@ import pytest
 
 from lodestone.llm.components import connected_components, star_links
 from lodestone.llm.groupsplit import allot, cover, difference, grouped_split
-from lodestone.llm.nearhash import Texts, choose_bands, near_pairs
-from lodestone.llm.overlap import coverage, cross_split_overlaps
+from lodestone.llm import nearhash as N
+from lodestone.llm import overlap as O
+from lodestone.llm.nearhash import Texts, choose_bands, common_prefix, near_pairs
+from lodestone.llm.overlap import coverage, cross_split_overlaps, overlap_links
 from lodestone.scratch import Scratch
 
 
@@ -55,6 +57,44 @@ def test_near_pairs_across_sides(spark, run):
     assert {tuple(x) for x in near_pairs(df, 4, cross=True, run=run).collect()} == brute_pairs(hs, 4, side)
 
 
+def test_spanning_pairs_connect_what_all_pairs_connect(spark):
+    r = random.Random(5)
+    hs = near_cluster(r, 200, r.getrandbits(64), 3) | near_cluster(r, 60, r.getrandbits(64), 9) | {r.getrandbits(64) for _ in range(50)}
+    df = spark.createDataFrame([(signed(h), 3) for h in hs], "h bigint, side int")
+    for run in (2048, 10):
+        few = [tuple(x) for x in near_pairs(df, 4, spanning=True, run=run).collect()]
+        assert union_find(few) == union_find(brute_pairs(hs, 4))
+    with pytest.raises(ValueError, match="left out"):
+        near_pairs(df, 4, spanning=True, cross=True)
+
+
+def test_dense_runs_are_bounded():
+    """Texts that differ in few bits are looked up by their flips, as comparing all with all finds them."""
+    r = np.random.default_rng(2)
+    text = np.sort(r.choice(1 << 10, 300, replace=False).astype(np.uint64) | np.uint64(5 << 40))
+    flipped = {(int(x), int(y)) for a, b in N._flipped(text, 3, 10) for x, y in zip(a, b, strict=True)}
+    compared = {(int(x), int(y)) for a, b in N._compared(np.zeros(300, int), text, 3) for x, y in zip(a, b, strict=True)}
+    assert flipped == compared and len(flipped) > 1000
+
+
+def test_common_prefix():
+    a = np.array([0, 0, 2**63, 2**64 - 1, 5], np.uint64)
+    b = np.array([0, 1, 0, 2**64 - 2, 7], np.uint64)
+    assert common_prefix(a, b).tolist() == [64, 63, 0, 63, 62]
+
+
+def test_a_text_with_very_many_records_is_joined_in_blocks(spark, monkeypatch):
+    """A third of all rows in one digest and one hash."""
+    monkeypatch.setattr(O, "BLOCK_ROWS", 7)
+    rows = [(i, 1 + i % 2, "hot", 5, "x", "y") for i in range(60)] + [(100 + i, 1 + i % 2, f"d{i}", i << 20, "x", "y") for i in range(120)]
+    got = {(r.train_id, r.held_id) for r in cross_split_overlaps(overlap_rows(spark, rows), 1).collect()}
+    wanted = {
+        (a[0], b[0]) for a in rows for b in rows
+        if a[1] == 1 and b[1] == 2 and (a[2] == b[2] or (a[3] ^ b[3]).bit_count() <= 1)
+    }
+    assert got == wanted
+
+
 def test_near_pairs_of_nothing(spark):
     assert near_pairs(spark.createDataFrame([], "h bigint, side int"), 4).count() == 0
     assert near_pairs(spark.createDataFrame([(5, 3)], "h bigint, side int"), 4).count() == 0
@@ -64,7 +104,7 @@ def test_texts_are_permutations():
     texts = Texts(64, 6, 4)
     words = np.array([0, 2**64 - 1, 0x0123456789ABCDEF], np.uint64)
     for c in range(len(texts.orders)):
-        t, _ = texts.write(words, c)
+        t = texts.write(words, c)
         assert np.array_equal(np.bitwise_count(t), np.bitwise_count(words))
     assert 5 <= choose_bands(100, 4, 64) <= choose_bands(10**9, 4, 64) <= 11
 
@@ -80,7 +120,11 @@ def test_overlaps(spark):
         (8, None, "d1", 0, "", ""), (9, 1, "d9", -1, "", ""), (9, 2, "d9", -1, "", ""), (10, 2, "d9", -1, "", ""), (1, 1, "d1", 0, "x", "y"),
     ]
     got = {tuple(r) for r in cross_split_overlaps(overlap_rows(spark, rows)).collect()}
-    assert got == {(1, 2, True, None), (1, 3, False, 4), (5, 2, True, None), (9, 10, True, 0)}
+    assert got == {(1, 2, True, None, None), (1, 3, False, 4, ~0b1111), (5, 2, True, None, None), (9, 10, True, 0, -1)}
+    links = {tuple(r) for r in overlap_links(overlap_rows(spark, rows)).collect()}
+    assert links == {
+        ("digest", 1, 2, 0, 2, 1), ("digest", 9, 9, 0, 1, 2), ("hash", 1, 3, 4, 1, 1), ("hash", 9, 9, 0, 1, 2),
+    }
     shares = {(r.id, r.side): (r.partners, r.covered) for r in coverage(cross_split_overlaps(overlap_rows(spark, rows))).collect()}
     assert shares[1, "train"] == (2, 124 / 128) and shares[3, "held_out"] == (1, 60 / 128) and shares[10, "held_out"] == (1, 1.0)
 
