@@ -84,17 +84,18 @@ def decode(tensor: Column, geometry: Column, score: float) -> Column:
     return F.when(ok, ranked(boxes, F.lit(score)))
 
 
-def select_boxes(candidates: Column, width: Column, height: Column, *, floor: float = 0.3, relative: float = 0.5, fallback: float = 0.1, limit: int = OBJECTS) -> Column:
+def select_boxes(candidates: Column, width: Column, height: Column, *, sure: float = 0.3, of_best: float = 0.5, least: float = 0.1, most: int = OBJECTS) -> Column:
     """``mode, boxes``: the boxes worth labelling among ``struct<score, xyxy>`` in pixels.
 
-    Best first, in their order where scores tie. Nothing if the best is below ``fallback``. A box must reach the floor
-    and ``relative`` times the best score, apart from the first kept; one smaller than 3 % of a side is skipped; one that
+    Best first, in their order where scores tie. Nothing if the best is below ``least``. A box must reach ``sure``
+    and ``of_best`` times the best score, apart from the first kept; one smaller than 3 % of a side is skipped; one that
     overlaps a kept box (IoU above 0.5, or more than 0.85 of the smaller inside) too. Kept boxes are rounded to six
-    decimals of the image and then kept inside it. Mode: confident if the best reaches the floor, else fallback.
+    decimals of the image and then kept inside it. Mode: confident if the best reaches ``sure``, else
+    fallback.
     """
     order = F.array_sort(F.transform(candidates, lambda c, i: F.struct((0.0 - c["score"]).alias("s"), i.alias("i"), c["xyxy"].alias("r"))))
     best = 0.0 - F.get(order, F.lit(0))["s"]
-    least = F.greatest(F.lit(floor), best * relative)
+    enough = F.greatest(F.lit(sure), best * of_best)
     state = "struct<kept:array<array<double>>,stop:boolean>"
 
     def clamp(r: Column) -> Column:
@@ -103,13 +104,13 @@ def select_boxes(candidates: Column, width: Column, height: Column, *, floor: fl
     def step(acc: Column, c: Column) -> Column:
         r = clamp(c["r"])
         small = (r[2] - r[0] < 0.03 * width) | (r[3] - r[1] < 0.03 * height)
-        low = (F.size(acc["kept"]) > 0) & (0.0 - c["s"] < least)
+        low = (F.size(acc["kept"]) > 0) & (0.0 - c["s"] < enough)
 
         def covers(k: Column) -> Column:
             overlap, inside = iou_corners(k, r)
             return (overlap > 0.5) | (inside > 0.85)
 
-        full = F.size(acc["kept"]) >= limit
+        full = F.size(acc["kept"]) >= most
         keep = F.when(F.exists(acc["kept"], covers), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(r)))
         new = F.struct(keep.alias("kept"), F.lit(False).alias("stop"))
         stop = F.struct(acc["kept"].alias("kept"), F.lit(True).alias("stop"))
@@ -123,8 +124,8 @@ def select_boxes(candidates: Column, width: Column, height: Column, *, floor: fl
         x, y = six(r[0] / width), six(r[1] / height)
         return F.array(x, y, F.least(six((r[2] - r[0]) / width), 1 - x), F.least(six((r[3] - r[1]) / height), 1 - y))
 
-    none = F.coalesce(best < fallback, F.lit(True))
+    none = F.coalesce(best < least, F.lit(True))
     return F.struct(
-        F.when(none, "none").when(best >= floor, "confident").otherwise("fallback").alias("mode"),
+        F.when(none, "none").when(best >= sure, "confident").otherwise("fallback").alias("mode"),
         F.when(none, F.array().cast("array<array<double>>")).otherwise(F.transform(kept, unit)).alias("boxes"),
     )

@@ -1,24 +1,29 @@
 """Objects followed over the frames of a session, with smoothed class scores and confirmation.
 
-The same state machine runs over a stream (state kept by session) and over a table (frames sorted by session and
-time, so that a task holds the state of one session and no more than one batch of frames).
+A session's objects are a small table (:class:`Objects`), a row for each. A frame is joined with it by one matrix of
+overlaps, its boxes by the objects still alive: what is ambiguous is read off the matrix's rows and columns. The same
+step runs over a stream (the table kept as state by session) and over a table of frames (sorted by session and time, so
+that a task holds the objects of one session and no more than one batch of frames).
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: How long a track lives unseen (ms), overlaps for continuity and association, the lead that makes an
+#: How long an object lives unseen (ms), overlaps for continuity and association, the lead that makes an
 #: association clear, the share of new scores in smoothed ones, and confirmations that make an object recognised.
 LIFETIME, OVERLAP, LEAD, FRESH, CONFIRMATIONS = 1000.0, 0.4, 0.15, 0.65, 2
+#: Milliseconds without frames after which a stream forgets a session.
+IDLE = 600_000
 
 FRAMES = "session string, frame bigint, ts double, detections array<struct<box:struct<x:double,y:double,w:double,h:double>,score:double,scores:array<double>>>"
 TRACKED = (
@@ -35,86 +40,115 @@ class TrackerOptions:
     lifetime: float = LIFETIME
 
 
-@dataclass
-class Track:
-    id: int
-    box: list[float]
-    seen: float
-    scores: list[float] | None = None
-    candidate: int | None = None
-    confirmations: int = 0
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The intersection over union of each box of ``a`` (rows x, y, w, h) with each of ``b``; 0 where the union is none."""
+    low = np.maximum(a[:, None, :2], b[None, :, :2])
+    high = np.minimum(a[:, None, :2] + a[:, None, 2:], b[None, :, :2] + b[None, :, 2:])
+    shared = np.clip(high - low, 0.0, None).prod(axis=2)
+    union = a[:, 2:].prod(axis=1)[:, None] + b[:, 2:].prod(axis=1)[None, :] - shared
+    return np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+
+
+def assign(share: np.ndarray) -> np.ndarray:
+    """For each box (row of overlaps with the objects), in order of rank, the object it continues, or -1.
+
+    A box continues the free object it overlaps most, by at least OVERLAP, unless that is unclear: the next free object
+    overlaps it nearly as well, or another box overlaps that object nearly as well. Nearly is by less than LEAD for
+    objects, by no more for boxes.
+    """
+    boxes, objects = share.shape
+    out = np.full(boxes, -1)
+    if not boxes or not objects:
+        return out
+    # What the best of the other boxes has of each object: the column's greatest, or its second for that box itself.
+    top = np.sort(np.vstack([np.full((2, objects), -np.inf), share]), axis=0)
+    others = np.where((share == top[-1]) & (np.argmax(share, axis=0) == np.arange(boxes)[:, None]), top[-2], top[-1])
+    contested = others >= share - LEAD
+    fits = np.where(share >= OVERLAP, share, -np.inf)
+    for i in range(boxes):
+        j = int(np.argmax(fits[i]))
+        best = fits[i, j]
+        if best == -np.inf or contested[i, j]:
+            continue
+        if best - np.delete(fits[i], j).max(initial=-np.inf) < LEAD:
+            continue
+        out[i] = j
+        fits[:, j] = -np.inf  # taken
+    return out
 
 
 @dataclass
-class Tracker:
-    """The tracks of one session. ``update`` takes the detections (box, score, class scores) of the next frame."""
-
-    tracks: list[Track] = field(default_factory=list)
-    next_id: int = 1
-    last: float | None = None
-
-    def update(self, detections: list[tuple[list[float], float, list[float] | None]], ts: float, o: TrackerOptions) -> list[dict] | None:
-        """A row for each object; None for a frame that isn't later than the last, which is dropped."""
-        if self.last is not None and ts <= self.last:
-            return None
-        self.last = ts
-        alive = [t for t in self.tracks if ts - t.seen <= o.lifetime]
-        known = [any(overlap(t.box, d[0]) > OVERLAP for t in alive) for d in detections]
-        order = sorted(range(len(detections)), key=lambda i: (not known[i], -detections[i][1]))[: o.max_objects]
-        ranked = [detections[i] for i in order]
-        used: set[int] = set()
-        self.tracks = []
-        for k, (box, _, _) in enumerate(ranked):
-            near = sorted(((overlap(t.box, box), t) for t in alive if t.id not in used), key=lambda x: -x[0])
-            near = [x for x in near if x[0] >= OVERLAP]
-            track = None
-            if near:
-                best, found = near[0]
-                close = len(near) > 1 and best - near[1][0] < LEAD
-                rival = any(j != k and overlap(other[0], found.box) >= best - LEAD for j, other in enumerate(ranked))
-                if not close and not rival:
-                    track = found
-                    used.add(found.id)
-            if track is None:
-                self.tracks.append(Track(self.next_id, box, ts))
-                self.next_id += 1
-            else:
-                self.tracks.append(Track(track.id, box, ts, track.scores, track.candidate, track.confirmations))
-        overflow = len(detections) > o.max_objects
-        return [self._classified(t, d, o) | {"overflow": overflow} for t, d in zip(self.tracks, ranked, strict=True)]
-
-    @staticmethod
-    def _classified(t: Track, d: tuple, o: TrackerOptions) -> dict:
-        box, score, new = d
-        out = {"track_id": t.id, "x": box[0], "y": box[1], "w": box[2], "h": box[3], "detector_confidence": score, "class_id": None, "confidence": None}
-        if not new:  # without class scores nothing is accepted
-            t.confirmations, t.candidate = 0, None
-            return out | {"status": "uncertain"}
-        t.scores = [FRESH * a + (1 - FRESH) * b for a, b in zip(new, t.scores, strict=True)] if t.scores else list(new)
-        top = sorted(range(len(t.scores)), key=lambda c: (-t.scores[c], c))
-        best, second = t.scores[top[0]], t.scores[top[1]] if len(top) > 1 else 0.0
-        yes = best >= o.classifier and best - second >= o.margin
-        t.confirmations = (t.confirmations + 1 if top[0] == t.candidate else 1) if yes else 0
-        t.candidate = top[0] if yes else None
-        if t.confirmations >= CONFIRMATIONS:
-            return out | {"class_id": top[0], "confidence": best, "status": "recognized"}
-        return out | {"status": "analyzing" if yes else "uncertain"}
+class Objects:
+    """The objects of one session by columns, and the last frame's time and number."""
+
+    ids: list[int] = field(default_factory=list)
+    seen: list[float] = field(default_factory=list)
+    boxes: list[list[float]] = field(default_factory=list)
+    scores: list[list[float] | None] = field(default_factory=list)
+    accepted: list[int | None] = field(default_factory=list)
+    streak: list[int] = field(default_factory=list)
+    given: int = 0
+    last: list[float] | None = None
+
+    def take(self, frame: int, ts: float, found: list[tuple], o: TrackerOptions) -> list[dict]:
+        """The rows of a frame with detections ``found`` (box, score, class scores).
+
+        A frame of an earlier time than the last changes nothing; each of its detections gives a row of status late,
+        and one row without a box if it has none. The last frame again (same number and time) gives nothing.
+        """
+        if self.last is not None and (ts, frame) == tuple(self.last):
+            return []
+        if self.last is not None and ts < self.last[0]:
+            return [_row(d, status="late") for d in found] or [_row(None, status="late")]
+        self.last = [ts, frame]
+        alive = [k for k, t in enumerate(self.seen) if ts - t <= o.lifetime]
+        boxes = np.array([d[0] for d in found], float).reshape(-1, 4)
+        share = overlaps(boxes, np.array([self.boxes[k] for k in alive], float).reshape(-1, 4))
+        new = share.max(axis=1, initial=0.0) <= OVERLAP
+        order = np.lexsort((-np.array([d[1] for d in found], float), new))[: o.max_objects]
+        of = assign(share[order])
+        now, rows = Objects(given=self.given, last=self.last), []
+        for i, k in zip(order.tolist(), of.tolist(), strict=True):
+            box, _, scores = found[i]
+            past = None if k < 0 else alive[k]
+            if past is None:
+                now.given += 1
+            state = now._judge(scores, None if past is None else (self.scores[past], self.accepted[past], self.streak[past]), o)
+            now.ids.append(now.given if past is None else self.ids[past])
+            now.seen.append(ts)
+            now.boxes.append(box)
+            rows.append(_row(found[i], track_id=now.ids[-1], overflow=len(found) > o.max_objects, **state))
+        self.__dict__.update(now.__dict__)
+        return rows
+
+    def _judge(self, fresh: list[float] | None, past: tuple | None, o: TrackerOptions) -> dict:
+        """Smooths the scores of one object, counts its confirmations, and tells what is shown of it."""
+        smooth, before, streak = past or (None, None, 0)
+        lead = None
+        if fresh:
+            smooth = list(fresh) if smooth is None else [FRESH * a + (1 - FRESH) * b for a, b in zip(fresh, smooth, strict=True)]
+            second, first = sorted(smooth)[-2:] if len(smooth) > 1 else (0.0, smooth[0])
+            if first >= o.classifier and first - second >= o.margin:
+                lead = smooth.index(first)
+        streak = 0 if lead is None else streak + 1 if lead == before else 1
+        self.scores.append(smooth)
+        self.accepted.append(lead)
+        self.streak.append(streak)
+        if streak >= CONFIRMATIONS:
+            return {"class_id": lead, "confidence": smooth[lead], "status": "recognized"}
+        return {"status": "uncertain" if lead is None else "analyzing"}
 
     def dump(self) -> str:
-        return json.dumps({"tracks": [asdict(t) for t in self.tracks], "next_id": self.next_id, "last": self.last})
+        return json.dumps(self.__dict__)
 
     @classmethod
-    def load(cls, text: str) -> Tracker:
-        d = json.loads(text)
-        return cls([Track(**t) for t in d["tracks"]], d["next_id"], d["last"])
+    def load(cls, text: str) -> Objects:
+        return cls(**json.loads(text))
 
 
-def overlap(a: list[float], b: list[float]) -> float:
-    wide = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
-    high = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
-    shared = max(0.0, wide) * max(0.0, high)
-    union = a[2] * a[3] + b[2] * b[3] - shared
-    return shared / union if union > 0 else 0.0
+def _row(detection: tuple | None, **values) -> dict:
+    box, score = (detection[0], detection[1]) if detection else ([None] * 4, None)
+    return {"track_id": None, **dict(zip("xywh", box, strict=True)), "detector_confidence": score, "class_id": None, "confidence": None, "overflow": False} | values
 
 
 def _detections(items) -> list[tuple]:
@@ -128,22 +162,26 @@ def _detections(items) -> list[tuple]:
 
 
 _NAMES = [x.split()[0] for x in TRACKED.split(", ")]
+_ARROW = [pa.string(), pa.int64(), pa.float64(), pa.int32(), *[pa.float64()] * 5, pa.int32(), pa.float64(), pa.string(), pa.bool_()]
 
 
 def track_table(frames: DataFrame, options: TrackerOptions = TrackerOptions()) -> DataFrame:
-    """The tracked objects of all frames of a table (columns of FRAMES). Rows with a null session, frame or time are
-    left out; of frames with equal times the first by frame number counts; frames without detections give no row but
-    let tracks age. A session's frames are read in order, one after another, whatever their number."""
+    """The tracked objects of all frames of a table (columns of FRAMES).
+
+    Rows with a null session, frame or time are left out; rows alike in all three are one frame. Frames without
+    detections give no row but let objects age. A session's frames are read in order of time, those of one time by
+    number, one after another, whatever their number; so none is late.
+    """
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, tracker = None, Tracker()
+        session, objects = None, Objects()
         schema = pa.schema([(n, t) for n, t in zip(_NAMES, _ARROW, strict=True)])
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 if r["session"] != session:
-                    session, tracker = r["session"], Tracker()
-                for x in tracker.update(_detections(r["detections"]), r["ts"], options) or ():
+                    session, objects = r["session"], Objects()
+                for x in objects.take(r["frame"], r["ts"], _detections(r["detections"]), options):
                     rows.append({"session": session, "frame": r["frame"], "ts": r["ts"]} | x)
             yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -151,31 +189,33 @@ def track_table(frames: DataFrame, options: TrackerOptions = TrackerOptions()) -
     return rows.repartition("session").sortWithinPartitions("session", "ts", "frame").mapInArrow(follow, TRACKED)
 
 
-_ARROW = [pa.string(), pa.int64(), pa.float64(), pa.int32(), *[pa.float64()] * 5, pa.int32(), pa.float64(), pa.string(), pa.bool_()]
-
-
-def track_stream(frames: DataFrame, options: TrackerOptions = TrackerOptions()) -> DataFrame:
+def track_stream(frames: DataFrame, options: TrackerOptions = TrackerOptions(), *, idle: int = IDLE) -> DataFrame:
     """The tracked objects of a stream with the columns of FRAMES.
 
-    State is kept for each session. Within a micro-batch frames are put in order of time; one that isn't later than
-    the last of its session is dropped, as there is no reordering across batches.
+    State is kept for each session and forgotten after ``idle`` milliseconds without frames; a session that comes back
+    begins anew. Within a micro-batch frames are put in order of time; there is no reordering across batches, so a frame
+    older than the last of its session comes out with status late, as :meth:`Objects.take` says.
     """
 
     def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker = Tracker.load(state.get[0]) if state.exists else Tracker()
+        if state.hasTimedOut:
+            state.remove()
+            return
+        objects = Objects.load(state.get[0]) if state.exists else Objects()
         rows = pd.concat(parts, ignore_index=True).dropna(subset=["frame", "ts"]).sort_values(["ts", "frame"], kind="stable")
         out = []
-        for frame, ts, detections in zip(rows["frame"], rows["ts"], rows["detections"], strict=True):
-            for x in tracker.update(_detections(detections), ts, options) or ():
+        for frame, ts, detections in zip(rows["frame"].tolist(), rows["ts"].tolist(), rows["detections"], strict=True):
+            for x in objects.take(int(frame), ts, _detections(detections), options):
                 out.append({"session": key[0], "frame": frame, "ts": ts} | x)
-        state.update((tracker.dump(),))
+        state.update((objects.dump(),))
+        state.setTimeoutDuration(idle)
         table = pd.DataFrame(out, columns=_NAMES)
         for c in ("class_id", "track_id"):
             table[c] = table[c].astype("Int32")
         yield table
 
     rows = frames.where("session is not null").select("session", "frame", "ts", "detections")
-    return rows.groupBy("session").applyInPandasWithState(follow, TRACKED, "state string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("session").applyInPandasWithState(follow, TRACKED, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def latest_of(frames: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -190,32 +230,39 @@ def write_latest(frames: DataFrame, keys: list[str], order: list[str], sink):
     return frames.writeStream.foreachBatch(lambda df, n: sink(latest_of(df, keys, order), n))
 
 
-class FrameGate:
-    """One frame in flight at a time. A reset starts a new session: what belongs to an older one no longer counts, and
-    can't release a frame of the new one."""
-
-    def __init__(self) -> None:
-        self.session, self.frame, self.active = 0, 0, None
-
-    def begin(self) -> tuple[int, int] | None:
-        if self.active is not None:
-            return None
-        self.frame += 1
-        self.active = self.frame
-        return self.session, self.frame
-
-    def finish(self, session: int, frame: int) -> bool:
-        if session != self.session or frame != self.active:
-            return False
-        self.active = None
-        return True
+@dataclass(frozen=True)
+class Token:
+    """The right to work on one frame, as long as its generation lasts."""
 
-    def is_current(self, session: int) -> bool:
-        return session == self.session
+    generation: int
+    number: int
 
-    def reset(self) -> int:
-        self.session += 1
-        self.active = None
-        return self.session
 
+class InFlight:
+    """Back-pressure: no more than one frame is in work. Whoever holds the token works; :meth:`renew` begins a new
+    generation, after which tokens of older ones release nothing."""
 
+    def __init__(self) -> None:
+        self._newest = Token(0, 0)
+        self._held: Token | None = None
+
+    def acquire(self) -> Token | None:
+        """A token for the next frame, None while another is held. Numbers go on over generations."""
+        if self._held is None:
+            self._newest = self._held = Token(self._newest.generation, self._newest.number + 1)
+            return self._held
+        return None
+
+    def release(self, token: Token) -> bool:
+        """Whether the token was the one held; then the next frame may come."""
+        mine = self._held == token
+        self._held = None if mine else self._held
+        return mine
+
+    def renew(self) -> int:
+        self._newest, self._held = Token(self._newest.generation + 1, self._newest.number), None
+        return self._newest.generation
+
+    def fresh(self, token: Token) -> bool:
+        """Whether the token is of the present generation, so that its result may be shown."""
+        return token.generation == self._newest.generation

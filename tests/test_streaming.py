@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 from lodestone.streaming import smoothing
-from lodestone.streaming.tracker import FRAMES, FrameGate, Tracker, TrackerOptions, latest_of, track_stream, track_table, write_latest
+from lodestone.streaming.tracker import FRAMES, InFlight, Objects, TrackerOptions, assign, overlaps, latest_of, track_stream, track_table, write_latest
 
 SURE = [0.91 if i == 2 else 0.01 for i in range(10)]
 OTHER = [0.91 if i == 5 else 0.01 for i in range(10)]
@@ -11,32 +13,60 @@ A, B = [0.1, 0.1, 0.3, 0.3], [0.6, 0.6, 0.3, 0.3]
 
 
 def follow(updates, options=TrackerOptions()):
-    t, out = Tracker(), []
-    for ts, ds in updates:
-        out.append(t.update(ds, ts, options))
-        t = Tracker.load(t.dump())  # state survives being written
+    t, out = Objects(), []
+    for frame, (ts, ds) in enumerate(updates):
+        out.append(t.take(frame, ts, ds, options))
+        t = Objects.load(t.dump())  # state survives being written
     return out
 
 
 def test_confirmation_and_smoothing():
     rows = follow([(0, [(A, 0.9, SURE)]), (250, [(A, 0.9, SURE)]), (500, []), (750, [(A, 0.9, OTHER)])])
     assert [(r[0]["track_id"], r[0]["status"], r[0]["class_id"]) for r in (rows[0], rows[1])] == [(1, "analyzing", None), (1, "recognized", 2)]
-    # The empty frame takes the tracks with it; what comes next is new.
+    # The empty frame takes the objects with it; what comes next is new.
     assert rows[2] == [] and rows[3][0]["track_id"] == 2 and rows[3][0]["status"] == "analyzing"
     mixed = follow([(0, [(A, 0.9, SURE)]), (250, [(A, 0.9, SURE)]), (500, [(A, 0.9, OTHER)])])[2][0]
     assert mixed["status"] == "uncertain" and mixed["track_id"] == 1
 
 
-def test_expiry_late_frames_and_overflow():
+def test_a_planted_session():
+    """Two objects, each with its own class, shown at 0, 250, 750 ms and gone at 500 ms: answers worked out by hand."""
+    scores = [[0.91 if i == c else 0.01 for i in range(10)] for c in (0, 3)]
+    left, right = [0.1, 0.1, 0.2, 0.2], [0.6, 0.6, 0.2, 0.2]
+    both = [(left, 0.9, scores[0]), (right, 0.8, scores[1])]
+    shown = [[(r["track_id"], r["class_id"], r["status"]) for r in rows] for rows in follow([(0, both), (250, both), (500, []), (750, both)])]
+    assert shown == [
+        [(1, None, "analyzing"), (2, None, "analyzing")],
+        [(1, 0, "recognized"), (2, 3, "recognized")],
+        [],
+        [(3, None, "analyzing"), (4, None, "analyzing")],
+    ]
+    # A changed class needs 0.65 * 0.91 + 0.35 * 0.01 = 0.595, below 0.65: uncertain once, then accepted, then recognised.
+    turned = [(left, 0.9, scores[1])]
+    steps = follow([(0, both[:1]), (250, both[:1]), (500, turned), (750, turned), (1000, turned)])
+    assert [r[0]["status"] for r in steps] == ["analyzing", "recognized", "uncertain", "analyzing", "recognized"]
+    assert steps[4][0]["class_id"] == 3 and abs(steps[4][0]["confidence"] - (0.91 - 0.9 * 0.35**3)) < 1e-12
+
+
+def test_expiry_and_overflow():
     assert follow([(0, [(A, 0.9, None)]), (1000, [(A, 0.9, None)])])[1][0]["track_id"] == 1
     assert follow([(0, [(A, 0.9, None)]), (1001, [(A, 0.9, None)])])[1][0]["track_id"] == 2
-    assert follow([(500, [(A, 0.9, None)]), (500, [(A, 0.9, None)]), (100, [])])[1:] == [None, None]
     many = follow([(0, [([0.1 * i, 0.0, 0.05, 0.05], i / 10, None) for i in range(7)])])[0]
     assert len(many) == 5 and all(r["overflow"] for r in many) and many[0]["detector_confidence"] == 0.6
 
 
+def test_late_frames_come_out_as_late():
+    rows = follow([(500, [(A, 0.9, SURE)]), (500, [(A, 0.9, SURE)]), (100, [(A, 0.7, SURE), (B, 0.6, None)]), (200, []), (750, [(A, 0.9, SURE)])])
+    assert [r["status"] for r in rows[1]] == ["recognized"]  # another frame of the same time counts
+    assert [(r["track_id"], r["status"], r["detector_confidence"]) for r in rows[2]] == [(None, "late", 0.7), (None, "late", 0.6)]
+    assert [(r["x"], r["status"]) for r in rows[3]] == [(None, "late")]
+    assert rows[4][0]["track_id"] == 1 and rows[4][0]["status"] == "recognized"
+    again = Objects()
+    assert len(again.take(1, 0.0, [(A, 0.9, None)], TrackerOptions())) == 1 and again.take(1, 0.0, [(A, 0.9, None)], TrackerOptions()) == []
+
+
 def test_ambiguity_and_continuity():
-    # Two boxes that fit the track about as well: neither inherits it.
+    # Two boxes that fit the object about as well: neither inherits it.
     near = [0.12, 0.1, 0.3, 0.3]
     assert {r["track_id"] for r in follow([(0, [(A, 0.9, None)]), (250, [(A, 0.9, None), (near, 0.8, None)])])[1]} == {2, 3}
     # A known object comes before a better score.
@@ -44,6 +74,18 @@ def test_ambiguity_and_continuity():
     assert [r["track_id"] for r in kept] == [1]
 
 
+def test_assignment_on_the_matrix():
+    assert assign(np.zeros((0, 3))).tolist() == [] and assign(np.zeros((2, 0))).tolist() == [-1, -1]
+    assert assign(np.array([[0.9, 0.1], [0.1, 0.8]])).tolist() == [0, 1]
+    assert assign(np.array([[0.39, 0.0]])).tolist() == [-1]
+    assert assign(np.array([[0.9, 0.8]])).tolist() == [-1]  # the next object is within the lead
+    assert assign(np.array([[0.9], [0.75]])).tolist() == [-1, -1]  # the other box is, and the better one lacks the lead
+    assert assign(np.array([[0.9], [0.74]])).tolist() == [0, -1]
+    # The first takes its object, so that the second no longer hesitates between two.
+    assert assign(np.array([[0.9, 0.0], [0.7, 0.6]])).tolist() == [0, 1]
+    assert overlaps(np.array([[0.0, 0, 1, 1]]), np.array([[0.0, 0, 1, 1], [0.5, 0, 1, 1], [2, 2, 1, 1], [0, 0, 0, 0]])).tolist() == [[1.0, 1 / 3, 0.0, 0.0]]
+
+
 def stream_rows(seed, sessions=4, frames=30):
     r = random.Random(seed)
     out = []
@@ -77,14 +119,14 @@ def test_table_of_dirty_frames(spark):
     assert track_table(spark.createDataFrame([], FRAMES)).count() == 0
 
 
-def test_gate():
-    g = FrameGate()
-    first = g.begin()
-    assert first == (0, 1) and g.begin() is None
-    assert g.reset() == 1 and not g.is_current(0)
-    second = g.begin()
-    assert second == (1, 2) and not g.finish(*first) and g.begin() is None
-    assert g.finish(*second) and g.begin() == (1, 3)
+def test_one_frame_in_flight():
+    g = InFlight()
+    first = g.acquire()
+    assert first is not None and g.acquire() is None and g.fresh(first)
+    assert g.renew() == 1 and not g.fresh(first)
+    second = g.acquire()
+    assert second.number == first.number + 1 and not g.release(first) and g.acquire() is None
+    assert g.release(second) and not g.release(second) and g.acquire() is not None
 
 
 def test_latest_wins(spark, tmp_path):
