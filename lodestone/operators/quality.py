@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.geometry import box_inside
 from lodestone.functions.text import strip
+from lodestone.operators.rows import lookup_join
 
 SPLITS = ("train", "valid", "test")
 
@@ -49,30 +50,31 @@ def blank(c: str) -> Column:
 def manifest_violations(manifest: DataFrame, classes: int = 10) -> DataFrame:
     """``path, rule``: every broken rule of every row; messages of rules over several rows name each row of them.
 
-    Rows: ``path, sourceid, groupid, sha256, split, objects``. Rules: path and sha256 unique; source and group not
-    blank; split known or null; classes in range; boxes of positive size within the image; no group in two splits
-    (groups compared without white space at their ends).
+    Rows: ``path, sourceid, groupid, sha256, split, objects``, with ``split`` and ``groupid`` as keys: equal where they
+    count as equal, null where there is none. Rules: path and sha256 unique; source and group not blank; split known
+    or null; classes in range; boxes of positive size within the image; no group in two splits. Null objects are none.
     """
     objects = F.coalesce("objects", F.array().cast(manifest.schema["objects"].dataType))
-    rows = manifest.withColumn("__o", objects).withColumn("__g", strip(F.col("groupid")))
     here = F.array_compact(
         F.array(
             F.when(blank("sourceid"), "blank source"),
             F.when(blank("groupid"), "blank group"),
             F.when(F.col("split").isNotNull() & ~F.col("split").isin(*SPLITS), "unknown split"),
-            F.when(F.exists("__o", lambda o: ~F.coalesce(o["classid"].between(0, classes - 1), F.lit(False))), "class out of range"),
-            F.when(F.exists("__o", lambda o: ~box_inside(o["bbox"])), "box outside image"),
+            F.when(F.exists(objects, lambda o: ~F.coalesce(o["classid"].between(0, classes - 1), F.lit(False))), "class out of range"),
+            F.when(F.exists(objects, lambda o: ~box_inside(o["bbox"])), "box outside image"),
         )
     )
-    single = rows.select("path", F.explode(here).alias("rule"))
+    found = manifest.select("path", F.explode(here).alias("rule"))
+    n = manifest.count()
 
-    def repeated(key: str, rule: str) -> DataFrame:
-        twice = manifest.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
-        return manifest.join(twice, key, "left_semi").select("path", F.lit(rule).alias("rule"))
+    def of_keys(key: str, keys: DataFrame, rule: str) -> DataFrame:
+        rows = manifest.where(F.col(key).isNotNull()).select("path", F.col(key).alias("__key"))
+        return lookup_join(rows, keys.select(F.col(key).alias("__key")), "__key", rows=n).select("path", F.lit(rule).alias("rule"))
 
-    crossing = rows.where("__g <> ''").groupBy("__g").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").select("__g")
-    across = rows.join(crossing, "__g", "left_semi").select("path", F.lit("group in several splits").alias("rule"))
-    return single.unionByName(repeated("path", "repeated path")).unionByName(repeated("sha256", "repeated sha256")).unionByName(across)
+    for key in ("path", "sha256"):
+        found = found.unionByName(of_keys(key, manifest.groupBy(key).count().where(f"count > 1 and {key} is not null"), f"repeated {key}"))
+    torn = manifest.where(~blank("groupid")).groupBy("groupid").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b")
+    return found.unionByName(of_keys("groupid", torn, "group in several splits"))
 
 
 def manifest_report(manifest: DataFrame, classes: DataFrame) -> DataFrame:
@@ -90,7 +92,7 @@ def manifest_report(manifest: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def split_summary(manifest: DataFrame, most: int = 5) -> DataFrame:
-    """A row for each split: images, groups, sources, objects, images without objects, above ``most`` or of several
+    """A row for each split (as it stands: give keys): images, groups, sources, objects, images without objects, above ``most`` or of several
     classes, and images by their number of objects from 0 to ``most``."""
     n = F.greatest(F.coalesce(F.size("objects"), F.lit(0)), F.lit(0))
     kinds = F.size(F.array_distinct(F.coalesce("objects.classid", F.array().cast("array<int>"))))
@@ -103,7 +105,7 @@ def split_summary(manifest: DataFrame, most: int = 5) -> DataFrame:
 
 
 def class_spread(manifest: DataFrame, classes: DataFrame) -> DataFrame:
-    """``split, classid, objects, images, groups`` for every split and class, zeros included."""
+    """``split, classid, objects, images, groups`` for every split (as it stands: give keys) and class, zeros included."""
     splits = manifest.select("split").distinct()
     o = manifest.select("split", "groupid", "path", F.explode("objects").alias("o")).select("split", "groupid", "path", "o.classid")
     n = o.groupBy("split", "classid").agg(F.count(F.lit(1)).alias("objects"), F.countDistinct("path").alias("images"), F.countDistinct("groupid").alias("groups"))

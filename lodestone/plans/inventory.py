@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import geometry, paths
 from lodestone.functions.documents import fingerprint
 from lodestone.functions.hashes import hash_long
-from lodestone.functions.text import hex_digest, same_text
+from lodestone.functions.text import hex_digest, same_path, same_text
 from lodestone.operators import catalog, duplicates, history, quality, seeded
 from lodestone.operators.rows import current_rows, lookup_join
 from lodestone.plans.frames import _iou
@@ -42,7 +42,11 @@ def drive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "manifest").distinct()
+    """The different rows of the manifest, with splits and groups as keys: train, valid or test whatever their spelling,
+    other texts as they are, and null where there is none."""
+    t, split = table(spark, sf_dir, "manifest"), same_text("split")
+    keys = {"groupid": same_text("groupid"), "split": F.when(split.isin("val", "validation"), "valid").otherwise(split)}
+    return t.withColumns({c: x for c, x in keys.items() if c in t.columns}).distinct()
 
 
 def exact_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +62,16 @@ def dedupe_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.hamming_pairs(images(spark, sf_dir, "hash"), "hash", 4)
+    return duplicates.near_duplicates(images(spark, sf_dir, "path", "sha256", "hash"), 4)
+
+
+def near_duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.near_members(images(spark, sf_dir, "path", "sha256", "hash"))
 
 
 def near_duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.bounded_pairs(near_duplicate_pairs(spark, sf_dir), 10_000, ["a", "b"])
+    """The first 10,000 rows, beside the number of pairs of images in all."""
+    return duplicates.bounded_pairs(near_duplicate_pairs(spark, sf_dir), 10_000, ["path_a", "path_b", "a", "b"], F.col("pairs"))
 
 
 def reconcile_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +117,16 @@ def sym_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def receipt_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = drive(spark, sf_dir).select("path", "sha256")
-    audited = images(spark, sf_dir, "originalpath", "originalsha256").groupBy(F.col("originalpath").alias("path")).agg(F.max("originalsha256").alias("sha256")).where("path is not null")
-    return quality.verify_receipts(audited, listed, "path", ["sha256"])
+    """``path, problem`` by filekey: audited files that the drive doesn't list, listed ones without an audit, those whose
+    bytes changed since (``sha256``), and those whose audits disagree (``conflict``). The tables hold the number of
+    bytes on the drive's side only, so there is none to compare."""
+    t = table(spark, sf_dir, "drive_inventory").where("kind = 'image'").select(same_path("path").alias("path"), "listedat", "sha256")
+    listed = current_rows(t.where("path is not null"), ["path"], "listedat", ["sha256"])
+    audits = images(spark, sf_dir, "originalpath", "originalsha256").select(same_path("originalpath").alias("path"), "originalsha256")
+    audited = audits.where("path is not null").groupBy("path").agg(F.max("originalsha256").alias("sha256"), (F.min("originalsha256") != F.max("originalsha256")).alias("conflict"))
+    found = quality.verify_receipts(audited.where("conflict is not true"), listed, "path", ["sha256"])
+    torn = audited.where("conflict").select("path", F.lit("conflict").alias("problem"))
+    return found.join(torn.select("path"), "path", "left_anti").unionByName(torn)
 
 
 def prediction_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +138,9 @@ def prediction_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     any. A frame of no held-out image is ``live`` if it lies in the folder of live scans and isn't an image of the
     manifest at all; any other is ``unexpected``.
     """
-    split, nothing = same_text("split"), F.array().cast("array<struct<class_id:int,bbox:array<double>>>")
+    nothing = F.array().cast("array<struct<class_id:int,bbox:array<double>>>")
     images = manifest(spark, sf_dir).select(
-        "path", F.when(split.isin("val", "validation"), "valid").otherwise(split).alias("split"), same_text("groupid").alias("grp"),
+        "path", "split", F.col("groupid").alias("grp"),
         F.coalesce(F.transform("objects", lambda o: F.struct(o["classid"].alias("class_id"), o["bbox"].alias("bbox"))), nothing).alias("truth"),
     )
     held = images.where("split in ('valid', 'test')").groupBy("path").agg(F.array_sort(F.collect_set(F.struct("split", "grp", "truth"))).alias("rows"))
@@ -231,7 +247,7 @@ def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = manifest(spark, sf_dir).select("image_id", same_text("groupid").alias("grp"), "objects.classid")
+    rows = manifest(spark, sf_dir).select("image_id", F.col("groupid").alias("grp"), "objects.classid")
     return seeded.seeded_split(rows, "grp", "classid").select("image_id", "grp", "split")
 
 
@@ -254,7 +270,7 @@ def normalized_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        exact_duplicate_clusters, exact_duplicate_members, dedupe_representative, near_duplicate_pairs, near_duplicate_report, reconcile_inventory,
+        exact_duplicate_clusters, exact_duplicate_members, dedupe_representative, near_duplicate_pairs, near_duplicate_members, near_duplicate_report, reconcile_inventory,
         provenance_counts, source_totals, path_rules, class_folders, resume_pending, subset_check, sym_difference, receipt_problems,
         prediction_consistency, manifest_violations, manifest_report, split_summary, class_spread, spelling_conflicts, yolo_lines, letterbox,
         padded_crop, best_overlap, class_weights, early_stopping, catalog_search, catalog_families, systematic_sample, seeded_split,
@@ -280,13 +296,17 @@ _IMAGES = f"""image as (
   from normalized_inventory qualify row_number() over (partition by image_id order by auditedat desc) = 1)"""
 _DRIVE = """drive as (select path, driveid, bytes, sha256, source.id as id, source.originalpath as former from drive_inventory where kind = 'image'
   qualify row_number() over (partition by path order by listedat desc, driveid desc nulls last, bytes desc nulls last, sha256 desc nulls last) = 1)"""
-_MANIFEST = "m as (select distinct * from manifest)"
-_PAIRS = f"""{_IMAGES}, h as (select distinct hash, uhash from image where hash is not null),
-near as (select x.hash as a, y.hash as b, bit_count(xor(x.uhash, y.uhash))::int as distance from h x join h y on x.hash < y.hash and bit_count(xor(x.uhash, y.uhash)) <= 4)"""
+_PAIRS = f"""{_IMAGES}, h as (select hash, uhash, coalesce(sha256, '') as sha, path from image where hash is not null and path is not null),
+first as (select hash, min(path) as first from h group by hash),
+near as (select x.hash as a, y.hash as b, bit_count(xor(x.uhash, y.uhash))::int as distance, count(*) as pairs from h x join h y
+    on bit_count(xor(x.uhash, y.uhash)) <= 4 and x.sha <> y.sha and (x.hash < y.hash or x.hash = y.hash and (x.path, x.sha) < (y.path, y.sha)) group by all),
+second as (select x.hash, min(x.path) as second from h x join (select hash, arg_min(sha, {{'p': path, 's': sha}}) as sha from h group by hash) y on x.hash = y.hash and x.sha <> y.sha group by x.hash),
+pair as (select a, b, distance, f.first as path_a, case when a = b then s.second else g.first end as path_b, pairs
+  from near join first f on a = f.hash join first g on b = g.hash left join second s on a = s.hash)"""
 _CLUSTERS = f"""{_IMAGES}, cluster as (select digest, count(*) as n, min(path) as first_path, coalesce(min(classid) <> max(classid), false) as class_conflict
   from image where digest is not null group by digest having count(*) > 1)"""
 _SPLIT = f"case {_same('split')} when 'val' then 'valid' when 'validation' then 'valid' else {_same('split')} end"
-_STRIPPED = f"trim(groupid, {_BLANKS})"
+_MANIFEST = f"""m as (select distinct image_id, path, sourceid, {_same('groupid')} as groupid, license, sha256, {_SPLIT} as split, objects from manifest)"""
 _PORTABLE = "replace(former, '\\', '/')"
 _FOLDER = "translate(lower(split_part(replace({p}, '\\', '/'), '/', 1)), ' _', '--')"
 _NAME = f"list_last(string_split({_PORTABLE}, '/'))"
@@ -300,19 +320,16 @@ _BAD_PART = (
 )
 
 
-def _receipts(rows: str, files: str, check: str) -> str:
-    return f"""select coalesce(a.path, b.path) as path, case when b.path is null then 'missing' when a.path is null then 'unexpected' else '{check}' end as problem
-from ({rows}) a full join ({files}) b on a.path = b.path where a.path is null or b.path is null or a.{check} is distinct from b.{check}"""
-
-
 SQL = {
     "exact_duplicate_clusters": f"with {_CLUSTERS} select * from cluster",
     "exact_duplicate_members": f"with {_CLUSTERS} select digest, path, n, first_path from image join cluster using (digest)",
     "dedupe_representative": f"""with {_IMAGES} select digest, path, image_id from image
   qualify digest is null or row_number() over (partition by digest order by path) = 1""",
-    "near_duplicate_pairs": f"with {_PAIRS} select a, b, distance from near",
-    "near_duplicate_report": f"""with {_PAIRS} select a, b, distance, (select count(*) from near) as total, (select count(*) from near) > 10000 as truncated
-  from near order by a, b limit 10000""",
+    "near_duplicate_pairs": f"with {_PAIRS} select * from pair",
+    "near_duplicate_members": f"""with {_IMAGES}, h as (select * from image where hash is not null and path is not null)
+select path, sha256, hash, min(path) over (partition by hash) as first_path, count(*) over (partition by hash) as n from h""",
+    "near_duplicate_report": f"""with {_PAIRS} select *, (select sum(pairs) from pair)::bigint as total, (select count(*) from pair) > 10000 as truncated
+  from pair order by path_a, path_b, a, b limit 10000""",
     "reconcile_inventory": f"""with {_IMAGES}, e as (select slug, count(*) as n from image group by 1),
 f as (select slug, count(*) as n from (select distinct path, classproposal.slug as slug from drive_inventory where kind = 'image') group by 1)
 select coalesce(f.slug, e.slug) as slug, coalesce(f.n, 0) as found, coalesce(e.n, 0) as expected, coalesce(f.n, 0) = coalesce(e.n, 0) as matches
@@ -334,16 +351,32 @@ select slug, format, count(*) as n, classid from x left join taxonomy using (slu
 select count(*) as unknown, count(*) = 0 as is_subset from u""",
     "sym_difference": f"""with {_IMAGES}, a as (select distinct path from manifest), b as (select distinct path from image)
 select path, 'left' as side from (select path from a except select path from b) union all select path, 'right' from (select path from b except select path from a)""",
-    "receipt_problems": f"""with {_IMAGES}, {_DRIVE} """
-    + _receipts("select originalpath as path, max(originalsha256) as sha256 from image where originalpath is not null group by 1", "select path, sha256 from drive", "sha256"),
-    "prediction_consistency": _receipts(
-        f"select path, max(s) as split from (select path, {_SPLIT} as s from manifest) where s in ('valid', 'test') group by path",
-        "select path, max(split) as split from frame_prediction where path not like 'pindai/%' group by path", "split",
-    ),
+    "receipt_problems": f"""with {_IMAGES}, listed as (select replace({_same('path')}, '\\', '/') as path, sha256 from (select * from drive_inventory where kind = 'image')
+  qualify row_number() over (partition by replace({_same('path')}, '\\', '/') order by listedat desc, sha256 desc nulls last) = 1),
+audited as (select replace({_same('originalpath')}, '\\', '/') as path, max(originalsha256) as sha256, count(distinct originalsha256) > 1 as conflict from image group by 1)
+select coalesce(a.path, l.path) as path, case when a.conflict then 'conflict' when l.path is null then 'missing' when a.path is null then 'unexpected' else 'sha256' end as problem
+from (select * from audited where path is not null) a full join (select * from listed where path is not null) l on a.path = l.path
+where a.conflict or a.path is null or l.path is null or a.sha256 is distinct from l.sha256""",
+    "prediction_consistency": f"""with {_MANIFEST},
+image as (select path, split, groupid, coalesce(list_transform(objects, lambda o: {{'class_id': o.classid, 'bbox': o.bbox}}), []) as truth from m),
+held as (select path, count(*) > 1 as repeated, min({{'split': split, 'grp': groupid, 'truth': truth}}) as one
+  from (select distinct * from image where split in ('valid', 'test')) group by path),
+now as (select path, batch_no, split, {_same('group_id')} as grp, list_transform(truth, lambda o: {{'class_id': o.class_id, 'bbox': [o.box.x, o.box.y, o.box.w, o.box.h]}}) as truth
+  from frame_prediction qualify row_number() over (partition by path, batch_no order by arrived_at desc) = 1),
+seen as (select path, list(distinct coalesce(split, '-')) as splits, list(distinct coalesce(grp, '-')) as groups,
+  coalesce(flatten(list(truth order by batch_no) filter (len(truth) > 0)), []) as truth from now group by path),
+both_sides as (select coalesce(h.path, s.path) as path, h.path is null as no_image, s.path is null as no_frame, h.repeated as repeated, h.one as one, s.splits as splits, s.groups as groups, s.truth as truth
+  from held h full join seen s on h.path = s.path)
+select path, case when starts_with(path, 'pindai/') and path not in (select path from image where path is not null) then 'live' else 'unexpected' end as problem from both_sides where no_image
+union all select path, 'missing' from both_sides where no_frame
+union all select path, 'split' from both_sides where not no_image and not no_frame and splits <> [coalesce(one.split, '-')]
+union all select path, 'group' from both_sides where not no_image and not no_frame and groups <> [coalesce(one.grp, '-')]
+union all select path, 'truth' from both_sides where not no_image and not no_frame and truth <> one.truth
+union all select path, 'repeated' from both_sides where not no_image and not no_frame and repeated""",
     "manifest_violations": f"""with {_MANIFEST}, rule as (
   select path, unnest(list_filter([
     case when coalesce(trim(sourceid, {_BLANKS}), '') = '' then 'blank source' end,
-    case when coalesce({_STRIPPED}, '') = '' then 'blank group' end,
+    case when groupid is null then 'blank group' end,
     case when split not in ('train', 'valid', 'test') then 'unknown split' end,
     case when len(list_filter(objects, lambda o: o.classid is null or o.classid not between 0 and 9)) > 0 then 'class out of range' end,
     case when len(list_filter(objects, lambda o: not coalesce(len(o.bbox) = 4 and o.bbox[1] >= 0 and o.bbox[2] >= 0 and o.bbox[3] > 0 and o.bbox[4] > 0
@@ -351,8 +384,7 @@ select path, 'left' as side from (select path from a except select path from b)
 select path, rule from rule
 union all select path, 'repeated path' from m where path in (select path from m group by path having count(*) > 1)
 union all select path, 'repeated sha256' from m where sha256 in (select sha256 from m group by sha256 having count(*) > 1)
-union all select path, 'group in several splits' from m where {_STRIPPED} in
-  (select {_STRIPPED} as g from m where g <> '' group by g having min(split) <> max(split))""",
+union all select path, 'group in several splits' from m where groupid in (select groupid from m group by groupid having count(distinct split) > 1)""",
     "manifest_report": f"""with {_MANIFEST}, o as (select unnest(objects).classid as classid from m)
 select 'images' as measure, count(*) as value from m union all select 'groups', count(distinct groupid) from m
 union all select 'negatives', count(*) from m where coalesce(len(objects), 0) = 0
@@ -383,10 +415,11 @@ select image_id, (k - 1)::int as instance, case when r > l and bt > t then l end
   case when r > l and bt > t then r end as right, case when r > l and bt > t then bt end as bottom from c""",
     "best_overlap": """with f as (select path, batch_no, truth, detections from frame_prediction where path is not null
     qualify row_number() over (partition by path, batch_no order by arrived_at desc) = 1),
-d as (select path, batch_no, truth, unnest(detections) as d from f where len(truth) > 0)
+t as (select path, flatten(list(truth)) as truth from f where len(truth) > 0 group by path),
+d as (select path, batch_no, unnest(detections) as d from f)
 select path, batch_no, d.anchor as anchor, round(list_max(list_transform(truth, lambda t: """
     + _iou("d.box", "t.box")
-    + """)), 9) as iou from d""",
+    + """)), 9) as iou from d join t using (path)""",
     "class_weights": """select label, count(*) as n, round((select count(*) from embeddings where label is not null) / (10.0::double * count(*)), 9) as weight
   from embeddings where label is not null group by label""",
     "early_stopping": """with h as (select o_orderpriority as run, ((year(o_orderdate) - 1992) * 12 + month(o_orderdate))::int as epoch, count(*)::double as score from orders group by all),

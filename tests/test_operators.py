@@ -150,6 +150,32 @@ def test_hamming_pairs(spark):
     assert len(report) == 5 and all(x.truncated for x in report)
 
 
+def test_near_duplicates_of_images(spark):
+    """Pairs of images, equal bytes left out and equal hashes included, against comparing all with all."""
+    r = random.Random(9)
+    rows = [(f"p{i:03}", r.choice([f"s{i}", "s1", "s2", None]), r.choice([0, 1, 3, 0xFF, 0x1FF, 1 << 40])) for i in range(120)] + [("x", "s", None), (None, "s", 0)]
+    df = spark.createDataFrame(rows, "path string, sha256 string, hash bigint")
+    want = {}
+    live = sorted(x for x in rows if x[0] is not None and x[2] is not None)
+    for i, a in enumerate(live):
+        for b in live[i + 1 :]:
+            if a[1] != b[1] and (a[2] ^ b[2]).bit_count() <= 4:
+                key = (min(a[2], b[2]), max(a[2], b[2]))
+                want[key] = want.get(key, 0) + 1
+    got = D.near_duplicates(df, 4).collect()
+    assert {(x.a, x.b): x.pairs for x in got} == want and len(got) == len(want)
+    first = {h: min(x[0] for x in live if x[2] == h) for h in {x[2] for x in live}}
+    shas = {x[0]: x[1] for x in live}
+    for x in got:
+        assert x.path_a == first[x.a] and x.distance == (x.a ^ x.b).bit_count()
+        assert x.path_b == (first[x.b] if x.a != x.b else min(y[0] for y in live if y[2] == x.a and y[1] != shas[x.path_a]))
+    assert {(x.path, x.first_path) for x in D.near_members(df).collect()} == {(x[0], first[x[2]]) for x in live}
+    report = D.bounded_pairs(D.near_duplicates(df, 4), 2, ["path_a", "path_b"], F.col("pairs")).collect()
+    assert len(report) == 2 and all(x.truncated and x.total == sum(want.values()) for x in report)
+    assert D.near_duplicates(spark.createDataFrame([], df.schema), 4).count() == 0
+    assert 5 <= D.choose_bands(100, 4) <= D.choose_bands(10**9, 4) <= 11
+
+
 def test_exact_duplicates(spark):
     df = spark.createDataFrame([("h", "b", 1), ("h", "a", 2), ("x", "c", 1), (None, "d", 1), (None, "e", 1), ("y", "f", 3), ("y", "g", 3)], "h string, p string, c int")
     assert {tuple(r) for r in D.exact_clusters(df, "h", "p", "c").collect()} == {("h", 2, "a", True), ("y", 2, "f", False)}
@@ -161,7 +187,7 @@ def test_manifest_rules(spark):
     schema = "path string, sourceid string, groupid string, sha256 string, split string, objects array<struct<classid:int,bbox:array<double>>>"
     ok = [(1, [0.1, 0.1, 0.5, 0.6])]
     rows = [
-        ("a", "s", "g", "1", "train", ok), ("a", "s", "g ", "2", "valid", ok), ("b", " ", None, "2", "x", [(10, [0.1, 0.1, 0.5, 0.6])]),
+        ("a", "s", "g", "1", "train", ok), ("a", "s", "g", "2", "valid", ok), ("b", " ", None, "2", "x", [(10, [0.1, 0.1, 0.5, 0.6])]),
         ("c", "s", "h", "3", None, [(1, [0.9, 0.1, 0.5, 0.6])]), ("d", "s", "i", "4", "test", None),
     ]
     got = {(r.path, r.rule) for r in Q.manifest_violations(spark.createDataFrame(rows, schema)).collect()}

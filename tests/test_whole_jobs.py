@@ -3,6 +3,10 @@
 import hashlib
 import struct
 from datetime import datetime
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lodestone.plans import inventory
@@ -118,3 +122,28 @@ def test_digest_orientation_and_side_of_image_files(spark, tmp_path):
     ])
     problems = {r.path.rsplit("/", 1)[1]: r.problem for r in files.inspect_images(spark, str(tmp_path)).where("problem is not null").collect()}
     assert problems == {"zero.jpg": "invalid EXIF orientation", "small.jpg": "too small", "cut.jpg": "damaged header"}
+
+
+SF = Path("/root/testdata/sf0.01")
+
+
+@pytest.mark.skipif(not SF.exists(), reason="the tables aren't here")
+def test_splits_however_they_are_spelled(spark):
+    """Literal answers on the given tables: three splits and none, no unknown one; eight torn groups by the same text, where
+    spaces alone left out would give six."""
+    rules = {r.rule: r.n for r in inventory.manifest_violations(spark, str(SF)).groupBy("rule").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert "unknown split" not in rules and rules["group in several splits"] > 0
+    torn = inventory.manifest(spark, str(SF)).where("groupid is not null").groupBy("groupid").agg(F.countDistinct("split").alias("n")).where("n > 1").count()
+    assert torn == 8
+    assert {r.split for r in inventory.split_summary(spark, str(SF)).collect()} == {"train", "valid", "test", None}
+    assert inventory.class_spread(spark, str(SF)).count() == 40
+
+
+def test_receipts_with_conflicts(spark, tmp_path):
+    image = "image_id bigint, auditedat int, originalpath string, originalsha256 string"
+    rows = [(1, 1, "A/x.png", "1"), (1, 2, "a/X.png", "2"), (2, 1, "b", "1"), (3, 1, "B", "2"), (4, 1, "c", "1"), (5, 1, None, "1"), (6, 1, "d", "9")]
+    spark.createDataFrame(rows, image).write.parquet(str(tmp_path / "normalized_inventory.parquet"))
+    files = [("a\\x.png", "image", 1, "2"), ("b", "image", 1, "1"), ("d", "image", 1, "9"), ("d", "image", 2, "8"), ("e", "image", 1, "1"), ("f", "metadata", 1, "1")]
+    spark.createDataFrame(files, "path string, kind string, listedat int, sha256 string").write.parquet(str(tmp_path / "drive_inventory.parquet"))
+    got = {tuple(r) for r in inventory.receipt_problems(spark, str(tmp_path)).collect()}
+    assert got == {("b", "conflict"), ("c", "missing"), ("d", "sha256"), ("e", "unexpected")}
