@@ -48,7 +48,7 @@ def band_keys(h: Column, d: int, m: int) -> Column:
 
 def choose_bands(n: int, d: int) -> int:
     """The number of bands for which keys written plus pairs expected among n random hashes is least."""
-    return min(range(d + 1, 2 * d + 4), key=lambda m: comb(m, d) * (n + n * n / 2 ** ((m - d) * (64 // m) + 1)))
+    return min(range(max(2, d + 1), 2 * d + 4), key=lambda m: comb(m, d) * (n + n * n / 2 ** ((m - d) * (64 // m) + 1)))
 
 
 def hamming_pairs(hashes: DataFrame, h: str, d: int, m: int | None = None) -> DataFrame:
