@@ -1,32 +1,38 @@
 """Splits that keep related records together.
 
-Method: largest-differencing balance. Records sharing a group are one component with a weight, its number of records.
-In every partition, components are dealt to bins: first as many of one weight as fill all bins evenly (they differ by
-nothing), then the rest by differencing, which again and again combines the two most uneven sets of bins, the fullest
-of one with the emptiest of the other. The bins, many and nearly equal, are then allotted whole to the splits by the
-shares wanted. Only bins reach the driver, as many as partitions times BINS, whatever the number of components.
+Records are related if they share the value of a key (an author, a source, an entity) or are linked, directly or through
+others: they are one component, found by :mod:`lodestone.llm.components`. A component's weight is its number of records.
 
-So that each split holds every class, a few of the lightest components of each class are placed beforehand.
+Method: largest-differencing balance. In every partition components are dealt to bins: first as many of one weight as
+fill all bins evenly (they differ by nothing), then the rest by differencing, which again and again combines the two most
+uneven sets of bins, the fullest of one with the emptiest of the other. The bins of FAN partitions are then dealt to bins
+the same way, level by level, until one set of bins is left. These, many and nearly equal, are allotted whole to the
+splits by the shares wanted. So BINS rows reach the driver, whatever the number of components or partitions.
+
+So that each split holds every class, some of the lightest components of each class are placed beforehand.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lodestone.llm.components import connected_components, star_links
 from lodestone.operators.rows import lookup_join
 from lodestone.scratch import Scratch
 
-#: Bins of one partition.
+#: Bins of one partition, and in the end.
 BINS = 256
-#: Components placed beforehand: of each class so many of the lightest are looked at.
+#: Partitions whose bins are combined at once.
+FAN = 64
+#: Components placed beforehand: of each class so many of the lightest are looked at first; more if these don't do.
 LIGHTEST = 12
 
 
@@ -46,28 +52,36 @@ def difference(weights: np.ndarray, bins: int) -> np.ndarray:
         rest += order[lo + whole : hi].tolist()
     if not rest:
         return place
-    # A set of bins is a list of (sum, items), fullest first; the heap gives the most uneven set.
+    # A set of bins: its sums, fullest first, and how it came about: an item in the first bin, or two sets and the order
+    # that their joined bins were put in. The heap gives the most uneven set.
     tie = count()
-    heap = []
-    for i in rest:
-        w = int(weights[i])
-        heap.append((-w, next(tie), [(w, (i, None))] + [(0, None)] * (bins - 1)))
+    heap: list[tuple] = [(-int(weights[i]), next(tie), None, i) for i in rest]
     heapq.heapify(heap)
+
+    def sums_of(entry: tuple) -> np.ndarray:
+        if entry[2] is not None:
+            return entry[2]
+        single = np.zeros(bins, np.int64)
+        single[0] = weights[entry[3]]
+        return single
+
     while len(heap) > 1:
-        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        joined = sorted(((x + y, (p, q)) for (x, p), (y, q) in zip(a, reversed(b), strict=True)), key=lambda s: -s[0])
-        low = joined[-1][0]
-        heapq.heappush(heap, (low - joined[0][0], next(tie), [(s - low, items) for s, items in joined]))
-    for at, (_, items) in enumerate(heap[0][2]):
-        stack = [items]
-        while stack:
-            x = stack.pop()
-            if x is None:
-                continue
-            if isinstance(x[0], int):
-                place[x[0]] = at
-            else:
-                stack += x
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        joined = sums_of(a) + sums_of(b)[::-1]
+        by = np.argsort(-joined, kind="stable")
+        joined = joined[by] - joined[by[-1]]
+        heapq.heappush(heap, (-int(joined[0]), next(tie), joined, (a[3], b[3], by.astype(np.int32))))
+    stack = [(heap[0][3], np.arange(bins, dtype=np.int32))]
+    while stack:
+        came, bin_of = stack.pop()
+        if isinstance(came, int):
+            place[came] = bin_of[0]
+            continue
+        left, right, by = came
+        first = np.empty(bins, np.int32)
+        first[by] = bin_of
+        stack.append((left, first))
+        stack.append((right, first[::-1]))
     return place
 
 
@@ -83,64 +97,57 @@ def allot(weights: list[int], shares: dict[str, float], filled: dict[str, int])
     return out
 
 
-def cover(candidates: list[tuple], shares: dict[str, float], classes: int) -> dict:
-    """Splits for some of (component, weight, class bits), so that each split holds each class of ``classes``.
+def cover(candidates: Iterable[tuple], shares: dict[str, float]) -> tuple[dict, set]:
+    """Splits for some of (component, weight, set of classes), so that each split holds each class, and the classes
+    that some split lacks still.
 
     The class with the fewest components comes first; each split that lacks it takes the component that brings it the
     most missing classes, the lightest of these. The smallest share chooses first.
     """
+    of_class: dict[int, list[tuple]] = {}
+    for x in candidates:
+        for c in x[2]:
+            of_class.setdefault(c, []).append(x)
     placed: dict = {}
-    held = dict.fromkeys(shares, 0)
-    names = sorted(shares, key=lambda s: (shares[s], s))
-    kinds = [c for c in range(64) if classes >> c & 1]
-    for c in sorted(kinds, key=lambda c: (sum(1 for x in candidates if x[2] >> c & 1), c)):
-        for name in names:
-            if held[name] >> c & 1:
+    held: dict[str, set] = {s: set() for s in shares}
+    short = set()
+    for c in sorted(of_class, key=lambda c: (len(of_class[c]), c)):
+        for name in sorted(shares, key=lambda s: (shares[s], s)):
+            if c in held[name]:
                 continue
-            free = [x for x in candidates if x[2] >> c & 1 and x[0] not in placed]
+            free = [x for x in of_class[c] if x[0] not in placed]
             if not free:
+                short.add(c)
                 continue
-            best = min(free, key=lambda x: (-((x[2] & ~held[name]).bit_count()), x[1], x[0]))
+            best = min(free, key=lambda x: (-len(x[2] - held[name]), x[1], x[0]))
             placed[best[0]] = name
             held[name] |= best[2]
-    return placed
+    return placed, short
 
 
-def grouped_split(records: DataFrame, shares: dict[str, float], *, bins: int = BINS) -> DataFrame:
-    """``id, component, split, stored, torn boolean``: a new split for every record, the same within a group.
+def _placed_beforehand(weights: DataFrame, classes: DataFrame, shares: dict[str, float]) -> dict[int, tuple[str, int]]:
+    """(split, weight) of the components placed so that each split holds each class.
 
-    ``records``: ``id bigint, group string, stored string, classes bigint`` (bit c: it holds class c), a row for each
-    record; other columns are ignored. A record with a null or empty group stands alone. ``stored`` is the split it
-    has so far, null if none; ``torn`` tells whether its group has records of more than one stored split. Shares add
-    up to 1; a group larger than a share makes its split exceed it. A class is in every split unless it has fewer
-    components than there are splits, or those were needed for scarcer classes. Null ``classes`` is none; rows alike count once. Empty tables give empty ones. Groups may be of any
-    size: they are counted before the shuffle, and looked up by :func:`lodestone.operators.rows.lookup_join`.
+    The lightest components of each class reach the driver, of each class a few; four times as many again as long as
+    a class that has more is missing somewhere.
     """
-    if abs(sum(shares.values()) - 1) > 1e-9:
-        raise ValueError("shares must add up to 1")
-    spark = records.sparkSession
-    scratch = Scratch(spark, "groupsplit")
-    alone = F.coalesce(F.col("group") == "", F.lit(True))
-    component = F.when(alone, F.concat(F.lit("record:"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("group:"), "group"))
-    rows = records.where("id is not null").select("id", component.alias("component"), "stored", F.coalesce("classes", F.lit(0)).cast("bigint").alias("classes"))
-    rows = scratch.write(rows.distinct(), "records")
-    weighed = rows.groupBy("component").agg(
-        F.count(F.lit(1)).alias("weight"), F.bit_or("classes").alias("classes"),
-        (F.min("stored") != F.max("stored")).alias("torn"),
-    )
-    parts = scratch.write(weighed.withColumn("torn", F.coalesce("torn", F.lit(False))), "components")
-
-    # The lightest components of each class: at most 64 * LIGHTEST rows, cut in every task before the shuffle.
-    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda c: F.getbit("classes", c) == 1))
-    held = parts.select(bit.alias("class"), "weight", "component", "classes")
+    held = classes.join(weights, "component")
+    held = held.groupBy("component", "weight").agg(F.collect_set("class").alias("classes"))  # no more than there are classes
+    one = held.select("component", "weight", "classes", F.explode("classes").alias("class"))
     rank = F.row_number().over(Window.partitionBy("class").orderBy("weight", "component"))
-    light = held.withColumn("rank", rank).where(F.col("rank") <= LIGHTEST).collect()
-    candidates = {(r["component"], r["weight"], r["classes"]) for r in light}
-    kinds = 0
-    for r in light:
-        kinds |= 1 << r["class"]
-    placed = cover(sorted(candidates), shares, kinds)
-    weight_of = {c: w for c, w, _ in candidates}
+    most = LIGHTEST
+    while True:
+        rows = one.withColumn("rank", rank).where(F.col("rank") <= most).collect()
+        candidates = {r["component"]: (r["component"], r["weight"], frozenset(r["classes"])) for r in rows}
+        placed, short = cover([candidates[c] for c in sorted(candidates)], shares)
+        full = {r["class"] for r in rows if r["rank"] == most}
+        if not short & full:
+            return {c: (s, candidates[c][1]) for c, s in placed.items()}
+        most *= 4
+
+
+def _dealt(free: DataFrame, bins: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``component, bin`` and ``bin, weight`` of the bins that are left in the end."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weights = [], []
@@ -155,18 +162,67 @@ def grouped_split(records: DataFrame, shares: dict[str, float], *, bins: int = B
             yield pa.RecordBatch.from_arrays([n, pa.array(w[at : at + len(n)]), pa.array(place[at : at + len(n)])], ["component", "weight", "bin"])
             at += len(n)
 
+    def again(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(next_bin=difference(rows["weight"].to_numpy(), bins))
+
+    items = free.select("component", "weight").mapInArrow(deal, "component bigint, weight bigint, bin int")
+    items = scratch.write(items.withColumn("part", F.spark_partition_id()), "dealt")
+    full = scratch.write(items.groupBy("part", "bin").agg(F.sum("weight").alias("weight")), "bins0")
+    level = 0
+    while full.select("part").distinct().limit(2).count() > 1:
+        # FAN * bins rows in a group.
+        up = full.withColumn("next_part", F.expr(f"part div {FAN}").cast("int"))
+        up = up.groupBy("next_part").applyInPandas(again, "part int, bin int, weight bigint, next_part int, next_bin int")
+        up = scratch.write(up, f"up{level}")
+        items = items.join(up.select("part", "bin", "next_part", "next_bin"), ["part", "bin"])
+        items = items.select("component", "weight", F.col("next_part").alias("part"), F.col("next_bin").alias("bin"))
+        level += 1
+        full = scratch.write(up.groupBy(F.col("next_part").alias("part"), F.col("next_bin").alias("bin")).agg(F.sum("weight").alias("weight")), f"bins{level}")
+    return items.select("component", "bin"), full.select("bin", "weight")
+
+
+def grouped_split(records: DataFrame, shares: dict[str, float], *, keys: list[str] | None = None, links: DataFrame | None = None, bins: int = BINS) -> DataFrame:
+    """``id, component, split, stored, torn boolean``: a new split for every record, the same within a component.
+
+    ``records``: ``id bigint``, a text for each of ``keys`` (by default one, ``group``), ``stored string``, ``classes
+    array<int>``, a row for each record; other columns are ignored. Records with the same text under a key are related,
+    and those that ``links`` (``a bigint, b bigint``) names; a null or empty text relates none, and links of unknown
+    records only what they connect. ``component`` is the least id of what is related in any number of steps. ``stored``
+    is the split a record has so far, null if none; ``torn`` tells whether its component has records of more than one.
+
+    Shares add up to 1 and are kept to within a bin, unless a component is larger than a share, which its split then
+    exceeds. A class is in every split unless it has fewer components than there are splits, or those were needed for
+    scarcer classes. Null ``classes`` is none; rows alike count once, and so does an id with several rows, in all its
+    components, classes and stored splits. Empty tables give empty ones. Any number of records may share a text.
+    """
+    if abs(sum(shares.values()) - 1) > 1e-9:
+        raise ValueError("shares must add up to 1")
+    keys = keys or ["group"]
+    scratch = Scratch(records.sparkSession, "groupsplit")
+    rows = records.where("id is not null").select("id", *(F.col(k).alias(f"key{i}") for i, k in enumerate(keys)), "stored", "classes")
+    rows = scratch.write(rows.distinct(), "records")
+    related = links.select("a", "b") if links is not None else None
+    for i in range(len(keys)):
+        star = star_links(rows.select("id", F.when(F.col(f"key{i}") != "", F.col(f"key{i}")).alias(f"key{i}")), [f"key{i}"], "id", scratch)
+        related = star if related is None else related.unionByName(star)
+    found = connected_components(related)
+    of = rows.select("id", "stored", "classes").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
+    of = scratch.write(of.withColumn("component", F.coalesce("component", "id")), "components")
+
+    weighed = of.groupBy("component").agg(F.countDistinct("id").alias("weight"), F.coalesce(F.min("stored") != F.max("stored"), F.lit(False)).alias("torn"))
+    parts = scratch.write(weighed, "weights")
+    classes = of.select("component", F.explode("classes").alias("class")).where("class is not null").distinct()
+    placed = _placed_beforehand(parts.select("component", "weight"), classes, shares)
+
     free = parts.where(~F.col("component").isin(list(placed))) if placed else parts
-    dealt = free.select("component", "weight").mapInArrow(deal, "component string, weight bigint, bin int")
-    dealt = scratch.write(dealt.withColumn("part", F.spark_partition_id()), "dealt")
-    full = dealt.groupBy("part", "bin").agg(F.sum("weight").alias("weight")).orderBy("part", "bin").collect()
-    filled = {s: sum(weight_of[c] for c, t in placed.items() if t == s) for s in shares}
+    dealt, full = _dealt(free, bins, scratch)
+    full = full.orderBy("bin").collect()
+    filled = {s: sum(w for t, w in placed.values() if t == s) for s in shares}
     allotted = allot([r["weight"] for r in full], shares, filled)
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("split", T.StringType())])
-    table = spark.createDataFrame([(r["part"], r["bin"], s) for r, s in zip(full, allotted, strict=True)], schema)
-    where = dealt.join(F.broadcast(table), ["part", "bin"]).select("component", "split")
+    # No more than so many bins: a list of them is a literal.
+    split = F.element_at(F.create_map(*(F.lit(x) for r, s in zip(full, allotted, strict=True) for x in (r["bin"], s))), F.col("bin")) if full else F.lit(None).cast("string")
+    where = dealt.select("component", split.alias("split"))
     if placed:
-        where = where.unionByName(spark.createDataFrame(list(placed.items()), "component string, split string"))
+        where = where.unionByName(records.sparkSession.createDataFrame([(c, s) for c, (s, _) in placed.items()], "component bigint, split string"))
     where = scratch.write(where.join(parts.select("component", "torn"), "component"), "placed")
-    scratch.drop("dealt", "components")
-    return lookup_join(rows, where, "component", rows=rows.count()).select("id", "component", "split", "stored", "torn")
-
+    return lookup_join(of, where, "component", rows=of.count()).select("id", "component", "split", "stored", "torn").distinct()

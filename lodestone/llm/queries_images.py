@@ -103,30 +103,27 @@ def p5_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARES = {"train": 0.7, "valid": 0.15, "test": 0.15}
 
 
-def image_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.read.parquet(f"{sf_dir}/manifest.parquet")
+def _manifest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = same_text("split")
-    seen = F.coalesce("objects.classid", F.array().cast("array<int>"))
-    bits = F.array(*(F.lit(1 << c if c < 63 else -(1 << 63)) for c in range(64)))
-    classes = F.aggregate(
-        F.filter(seen, lambda c: c.between(0, 63)), F.lit(0).cast("bigint"), lambda a, c: a.bitwiseOR(F.get(bits, c))
-    )
-    rows = t.select(
-        F.col("image_id").alias("id"), same_text("groupid").alias("group"),
-        F.when(split.isin("val", "validation"), "valid").otherwise(split).alias("stored"), classes.alias("classes"),
-    )
-    return grouped_split(rows, SHARES)
+    stored = F.when(split.isin("val", "validation"), "valid").otherwise(split)
+    t = spark.read.parquet(f"{sf_dir}/manifest.parquet")
+    return t.select(F.col("image_id").alias("id"), same_text("groupid").alias("group"), stored.alias("stored"), F.array_distinct("objects.classid").alias("classes"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images of groups that the stored split tears apart."""
-    torn = image_split(spark, sf_dir).where("torn and stored is not null and component like 'group:%'")
-    return torn.select(F.col("id").alias("image_id")).distinct()
+    """Images of groups that the stored split tears apart: the torn components, each checked by its groups."""
+    records = _manifest_records(spark, sf_dir)
+    torn = grouped_split(records, SHARES).where("torn").select("id")
+    rows = records.where("group is not null").select("id", "group", "stored").join(torn, "id", "left_semi").distinct()
+    rows = Scratch(spark, "torn").write(rows, "rows")
+    groups = rows.groupBy("group").agg(F.min("stored").alias("a"), F.max("stored").alias("b")).where("a <> b").select("group")
+    return lookup_join(rows.where("stored is not null"), groups, "group").select(F.col("id").alias("image_id")).distinct()
 
 
 def p3_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The new split of every image."""
-    return image_split(spark, sf_dir).select(F.col("id").alias("image_id"), "component", "split")
+    split = grouped_split(_manifest_records(spark, sf_dir), SHARES)
+    return split.select(F.col("id").alias("image_id"), "component", "split").distinct()
 
 
 #: Unicode normalisation of SQL doesn't reach NFKC, so splits are matched by trimming and case; the tables spell them

@@ -1,16 +1,20 @@
 """Near pairs, overlaps, components and splits, against brute force."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from lodestone.llm.components import connected_components, star_links
+from lodestone.functions.text import same_text_value
+from lodestone.llm import groupsplit as G
 from lodestone.llm.groupsplit import allot, cover, difference, grouped_split
 from lodestone.llm import nearhash as N
 from lodestone.llm import overlap as O
 from lodestone.llm.nearhash import Texts, choose_bands, common_prefix, near_pairs
 from lodestone.llm.overlap import coverage, cross_split_overlaps, overlap_links
+from lodestone.llm.queries_images import p3_split
 from lodestone.scratch import Scratch
 
 
@@ -184,43 +188,115 @@ def test_allot_and_cover():
     shares = {"train": 0.7, "valid": 0.15, "test": 0.15}
     got = allot([5] * 100, shares, {})
     assert [got.count(s) for s in shares] == [70, 15, 15]
-    placed = cover([("a", 1, 0b11), ("b", 1, 0b01), ("c", 2, 0b10), ("d", 3, 0b01), ("e", 3, 0b10)], shares, 0b11)
-    for c in (1, 2):
-        assert {placed[x] for x, bits in {"a": 3, "b": 1, "c": 2, "d": 1, "e": 2}.items() if bits & c and x in placed} == set(shares)
+    of = {"a": {0, 1}, "b": {0}, "c": {1}, "d": {0}, "e": {1}}
+    placed, short = cover([(x, w, frozenset(of[x])) for x, w in (("a", 1), ("b", 1), ("c", 2), ("d", 3), ("e", 3))], shares)
+    assert not short
+    for c in (0, 1):
+        assert {placed[x] for x in of if c in of[x] and x in placed} == set(shares)
+    assert cover([("a", 1, frozenset({7}))], shares)[1] == {7}
+
+
+SPLIT = "id bigint, group string, author string, stored string, classes array<int>, split string"
+SHARES = {"train": 0.7, "valid": 0.15, "test": 0.15}
+
+
+def check_split(rows, got, keys, links=(), classes=10, slack=0.02):
+    """Every record once and its component whole, shares within the slack, each class in each split."""
+    ids = {x[0] for x in rows if x[0] is not None}
+    split = {x.id: x.split for x in got}
+    assert len(got) == len({(x.id, x.stored) for x in got}) and split.keys() == ids
+    pairs = [(x[0], (k, x[k])) for k in keys for x in rows if x[0] is not None and x[k]]
+    first = {}
+    pairs = [(i, first.setdefault(t, i)) for i, t in pairs] + list(links)
+    root = dict(union_find(pairs))
+    where = {}
+    for x in got:
+        assert x.component == root.get(x.id, x.id)
+        assert where.setdefault(x.component, x.split) == x.split
+    for s, share in SHARES.items():
+        assert abs(sum(v == s for v in split.values()) / len(split) - share) <= slack
+    held = {s: set() for s in SHARES}
+    for x in rows:
+        if x[0] is not None:
+            held[split[x[0]]] |= set(x[4] or ())
+    assert all(len(h) == classes for h in held.values())
 
 
 def test_grouped_split(spark):
     r = random.Random(2)
-    shares = {"train": 0.7, "valid": 0.15, "test": 0.15}
-    rows = [(i, f"g{r.randint(0, 400)}" if i % 9 else None, r.choice(["train", "test", None]), 1 << r.randint(0, 9), "x") for i in range(3000)]
-    rows += [(i, "hot", "train", 1, "x") for i in range(5000, 6000)] + [(6000, "", "test", None, "x"), (None, "g1", "train", 1, "x")]
+    rows = [(i, f"g{r.randint(0, 400)}" if i % 9 else None, None, r.choice(["train", "test", None]), [r.randint(0, 9)], "x") for i in range(3000)]
+    rows += [(i, "hot", None, "train", [1], "x") for i in range(5000, 6000)] + [(6000, "", None, "test", None, "x"), (None, "g1", None, "train", [1], "x")]
     rows += rows[:50]
-    df = spark.createDataFrame(rows, "id bigint, group string, stored string, classes bigint, split string")
-    got = grouped_split(df, shares).collect()
-    ids = {x.id for x in got}
-    assert ids == {x[0] for x in rows if x[0] is not None}
-    where = {}
-    for x in got:
-        assert where.setdefault(x.component, x.split) == x.split
-    n = {s: sum(x.split == s for x in got) / len(got) for s in shares}
-    assert all(abs(n[s] - shares[s]) < 0.02 for s in shares)
-    held = {s: set() for s in shares}
-    classes = {x[0]: x[3] for x in rows}
-    for x in got:
-        held[x.split].add(classes[x.id])
-    assert all(len(held[s] - {None}) == 10 for s in shares)
+    got = grouped_split(spark.createDataFrame(rows, SPLIT), SHARES).collect()
+    check_split(rows, got, [1], slack=0.01)
     stored = {}
-    for i, g, s, *_ in rows:
+    for i, g, _, s, *_ in rows:
         if g and s and i is not None:
             stored.setdefault(g, set()).add(s)
-    assert {x.component for x in got if x.torn and x.component.startswith("group:")} == {f"group:{g}" for g, s in stored.items() if len(s) > 1}
+    group = {x[0]: x[1] for x in rows}
+    assert {group[x.id] for x in got if x.torn} == {g for g, s in stored.items() if len(s) > 1}
+
+
+def test_records_tied_by_several_keys_and_links(spark):
+    r = random.Random(4)
+    rows = [(i, f"g{r.randint(0, 900)}" if r.random() < 0.4 else None, f"a{r.randint(0, 900)}" if r.random() < 0.4 else "", None, [r.randint(0, 4)], "x") for i in range(2000)]
+    links = [(3 * i, 3 * i + 1) for i in range(100)] + [(None, 1), (7, 7)]
+    df = spark.createDataFrame(rows, SPLIT)
+    got = grouped_split(df, SHARES, keys=["group", "author"], links=spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    check_split(rows, got, [1, 2], links, classes=5)
+    assert len({x.component for x in got}) < len({x.component for x in grouped_split(df, SHARES, keys=["group"]).collect()})
+
+
+def test_a_hundred_classes(spark, monkeypatch):
+    """Classes beyond any mask, some of them in heavy components only: more candidates are looked at."""
+    monkeypatch.setattr(G, "LIGHTEST", 1)
+    rows, i = [], 0
+    for k in range(600):
+        for _ in range(1 + (k % 7)):
+            rows.append((i, f"g{k}", None, None, [k % 100, 100 + k % 3], "x"))
+            i += 1
+    check_split(rows, grouped_split(spark.createDataFrame(rows, SPLIT), SHARES).collect(), [1], classes=103)
+
+
+def test_bins_of_many_partitions_are_combined(spark, monkeypatch):
+    monkeypatch.setattr(G, "FAN", 2)
+    rows = [(i, f"g{i // 2}", None, None, [0], "x") for i in range(4000)]
+    df = spark.createDataFrame(rows, SPLIT).repartition(4)
+    seen = []
+    monkeypatch.setattr(G, "allot", lambda w, *a: seen.append(len(w)) or allot(w, *a))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = grouped_split(df, SHARES, bins=16).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    check_split(rows, got, [1], classes=1, slack=1 / 16)
+    assert seen == [16]
 
 
 def test_grouped_split_of_little(spark):
-    shares = {"train": 0.7, "valid": 0.15, "test": 0.15}
-    schema = "id bigint, group string, stored string, classes bigint"
-    assert grouped_split(spark.createDataFrame([], schema), shares).count() == 0
-    got = grouped_split(spark.createDataFrame([(1, "g", None, None)], schema), shares).collect()
+    assert grouped_split(spark.createDataFrame([], SPLIT), SHARES).count() == 0
+    got = grouped_split(spark.createDataFrame([(1, "g", None, None, None, None)], SPLIT), SHARES).collect()
     assert len(got) == 1 and got[0].split == "train" and got[0].torn is False
     with pytest.raises(ValueError, match="add up"):
-        grouped_split(spark.createDataFrame([], schema), {"train": 0.7})
+        grouped_split(spark.createDataFrame([], SPLIT), {"train": 0.7})
+
+
+@pytest.mark.parametrize("table", ["sf0.01"])
+def test_split_of_the_manifest(spark, table):
+    """No group in two splits, shares within a bin, all ten classes in each split."""
+    folder = Path("/root/testdata") / table
+    if not folder.exists():
+        pytest.skip("the tables aren't here")
+    images = {(r.image_id, r.split) for r in p3_split(spark, str(folder)).collect()}
+    split = dict(images)
+    assert len(split) == len(images)
+    rows = spark.read.parquet(str(folder / "manifest.parquet")).select("image_id", "groupid", "objects.classid").collect()
+    groups, held = {}, {s: set() for s in SHARES}
+    for i, g, c in rows:
+        if key := same_text_value(g):
+            groups.setdefault(key, set()).add(split[i])
+        held[split[i]] |= set(c or ())
+    assert split.keys() == {r.image_id for r in rows if r.image_id is not None}
+    assert all(len(s) == 1 for s in groups.values()) and all(len(h) == 10 for h in held.values())
+    for s, share in SHARES.items():
+        assert abs(sum(v == s for v in split.values()) / len(split) - share) <= 1 / 256
