@@ -1,9 +1,13 @@
 """Differences between two copies of a table.
 
-Method: column-by-bucket checksum matrix. Keys are hashed into buckets; for each bucket and column the 128-bit hashes
-of all cells are added up. Sums don't depend on order or partitioning and combine before the shuffle, so only the
-matrices meet. Where they agree, the copies agree; only the rows of unequal buckets, and of these only the columns
-that are unequal somewhere, are read again and joined.
+Method: column-by-bucket checksum matrix. Keys are hashed into buckets; for each bucket and column the wide hashes of
+all cells are added up. Sums don't depend on order or partitioning and combine before the shuffle, so of the rows
+nothing but the matrices travels. Where they agree, the copies agree. There are two levels: coarse buckets over all
+rows, then fine ones over the rows of unequal coarse buckets. Only the rows of unequal fine buckets, and of these only
+the columns that are unequal there, are read and joined.
+
+A sum can't tell which of several rows with one key is the current one. So keys with several rows on a side, found by
+their hashes alone, stay out of the matrices; their rows are read in any case, and their current rows compared.
 """
 
 from __future__ import annotations
@@ -14,36 +18,43 @@ from pyspark.sql import functions as F
 from lodestone.operators.rows import current_rows
 from lodestone.scratch import Scratch
 
-#: Rows that share a bucket, on average: a larger one makes the matrix smaller and the second reading larger.
-ROWS_PER_BUCKET = 8
+#: Rows of a coarse and of a fine bucket, on average: larger ones make the matrices smaller and what is read larger.
+COARSE_ROWS, FINE_ROWS = 32, 4
+#: Most coarse buckets, so that the unequal ones, eight bytes each, can be sent to all tasks.
+COARSE_BUCKETS = 1 << 20
 
 
-def _cell(column: Column, name: str, key: Column) -> list[Column]:
-    """128 bits of one cell as four 32-bit parts, whose sums can't overflow below 2**31 rows in a bucket."""
-    parts = []
-    for salt in ("a", "b"):
-        h = F.xxhash64(F.lit(f"{salt}:{name}"), key, column.isNull(), column)
-        parts += [h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)]
-    return parts
+def _bits(rows: int, buckets: int) -> int:
+    """Bits of one part of a hash, so that the sums of a bucket can't overflow: it has far fewer rows than reckoned with."""
+    return 63 - (8 * rows // buckets + 1024).bit_length()
 
 
-def checksum_matrix(df: DataFrame, key: str, fields: list[str], buckets: int) -> DataFrame:
-    """``bucket``, ``n`` and for each of the key and the fields (m0, m1, ...) an array of four sums."""
-    bucket = F.pmod(F.xxhash64(F.lit("bucket"), F.col(key)), F.lit(buckets)).alias("bucket")
+def _cell(column: Column, name: str, key: Column, bits: int) -> list[Column]:
+    """A cell's hash as two parts of so many bits. Names are part of it, so that swapped columns differ."""
+    hashes = (F.xxhash64(F.lit(f"{salt}:{name}"), key, column.isNull(), column) for salt in ("a", "b"))
+    return [F.shiftrightunsigned(h, 64 - bits) for h in hashes]
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    """The bucket of a key; a number of buckets that is a multiple of another divides its buckets."""
+    return F.pmod(F.xxhash64(F.lit("bucket"), F.col(key)), F.lit(buckets))
+
+
+def checksum_matrix(df: DataFrame, key: str, fields: list[str], buckets: int, bits: int = 32) -> DataFrame:
+    """``bucket``, ``n`` and for each of the key and the fields (m0, m1, ...) an array of two sums."""
     sums = []
     for i, c in enumerate([key, *fields]):
-        sums.append(F.array(*(F.sum(p) for p in _cell(F.col(c), c, F.col(key)))).alias(f"m{i}"))
-    return df.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"), *sums)
+        sums.append(F.array(*(F.sum(p) for p in _cell(F.col(c), c, F.col(key), bits))).alias(f"m{i}"))
+    return df.groupBy(bucket_of(key, buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
-def unequal_cells(left: DataFrame, right: DataFrame, key: str, fields: list[str], buckets: int) -> DataFrame:
-    """``bucket`` and ``columns``, a bit for each unequal column of the bucket (bit 0: its keys); equal ones left out."""
-    a, b = (checksum_matrix(df, key, fields, buckets) for df in (left, right))
+def unequal_cells(left: DataFrame, right: DataFrame, key: str, fields: list[str], buckets: int, bits: int = 32) -> DataFrame:
+    """``bucket`` and ``columns``, the numbers of its unequal columns (0: its keys, 1: the first field); equal buckets are
+    left out."""
+    a, b = (checksum_matrix(df, key, fields, buckets, bits) for df in (left, right))
     joined = a.alias("a").join(b.alias("b"), F.col("a.bucket") == F.col("b.bucket"), "full_outer")
-    bits = F.lit(0)
-    for i in range(len(fields) + 1):
-        bits = bits + F.when(F.col(f"a.m{i}").eqNullSafe(F.col(f"b.m{i}")), 0).otherwise(1 << i)
-    return joined.select(F.coalesce("a.bucket", "b.bucket").alias("bucket"), bits.alias("columns")).where("columns > 0")
+    unequal = [F.when(~F.col(f"a.m{i}").eqNullSafe(F.col(f"b.m{i}")), F.lit(i)) for i in range(len(fields) + 1)]
+    return joined.select(F.coalesce("a.bucket", "b.bucket").alias("bucket"), F.array_compact(F.array(*unequal)).alias("columns")).where("size(columns) > 0")
 
 
 def compare_copies(
@@ -66,34 +77,57 @@ def compare_copies(
     value; an empty string is a value. Rows with a null key belong to no file and are left out. Extra columns are
     ignored, whatever their names. Two empty tables give an empty result; one empty table makes all keys missing there.
     A key may have any number of copies (they combine before the shuffle), and buckets hash keys, so none is hot.
+    There may be any number of fields. ``buckets``: of the coarse ones.
+
+    Each side is read once and written as given, without a shuffle; the passes read that.
     """
     scratch = Scratch(left.sparkSession, "copydiff")
     names = names or {}
+    work = [f"f{i}" for i in range(len(fields))]  # whatever the names, they can't clash
     sides = []
     for name, df, order in (("left", left, left_order), ("right", right, right_order)):
-        sides.append(scratch.write(current_rows(df.where(F.col(key).isNotNull()), [key], order, fields), name))
-    rows = max(s.count() for s in sides)
-    buckets = buckets or max(1, rows // ROWS_PER_BUCKET)
-    unequal = scratch.write(unequal_cells(*sides, key, fields, buckets), "unequal")
-    # One row: the columns that are unequal in any bucket. No other is read again.
-    found = unequal.agg(F.bit_or("columns")).first()[0] or 0
-    wanted = [f for i, f in enumerate(fields) if found >> (i + 1) & 1]
+        rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(order).alias("noted"), *(F.col(f).alias(w) for f, w in zip(fields, work, strict=True)))
+        sides.append(scratch.write(rows, name))
+    n = max(s.count() for s in sides)
+    coarse = buckets or min(COARSE_BUCKETS, max(1, n // COARSE_ROWS))
+    fine = coarse * max(1, -(-n // (coarse * FINE_ROWS)))
+
+    # Hashes of the keys with several rows on a side. Another key with such a hash is merely read too.
+    hashed = F.xxhash64("key").alias("hash")
+    several = [s.groupBy(hashed).count().where("count > 1").select("hash") for s in sides]
+    several = scratch.write(several[0].unionByName(several[1]).distinct(), "several")
+    single = [s.join(several, F.xxhash64("key") == F.col("hash"), "left_anti") for s in sides]
+
+    first = scratch.write(unequal_cells(*single, "key", work, coarse, _bits(n, coarse)).select(F.col("bucket").alias("coarse")), "coarse")
+    # No more than COARSE_BUCKETS rows, unless the caller asked for more.
+    first = F.broadcast(first) if coarse <= COARSE_BUCKETS else first
+    suspect = [s.join(first, bucket_of("key", coarse) == F.col("coarse"), "left_semi") for s in single]
+    unequal = scratch.write(unequal_cells(*suspect, "key", work, fine, _bits(n, fine)), "unequal")
+    # A number for each column that is unequal in some bucket. No other is read again.
+    found = {r[0] for r in unequal.select(F.explode("columns")).distinct().collect()}
+    wanted = [w for i, w in enumerate(work) if i + 1 in found]
+
+    def struct(columns: list[Column], mark: str) -> Column:
+        return F.struct(*columns, F.lit(True).alias("here")).alias(mark)
 
     def reread(side: DataFrame, mark: str) -> DataFrame:
-        bucket = F.pmod(F.xxhash64(F.lit("bucket"), F.col(key)), F.lit(buckets))
-        rows = side.select(key, *wanted, bucket.alias("bucket")).join(unequal, "bucket")
-        return rows.select(key, "columns", F.struct(*(F.col(f).alias(f) for f in wanted), F.lit(True).alias("here")).alias(mark))
-
-    both = reread(sides[0], "l").withColumnRenamed("columns", "lc").join(
-        reread(sides[1], "r").withColumnRenamed("columns", "rc"), key, "full_outer"
-    )
-    differs = [
-        F.when((F.col("lc").bitwiseAND(1 << (fields.index(f) + 1)) != 0) & ~F.col(f"l.{f}").eqNullSafe(F.col(f"r.{f}")), F.lit(names.get(f, f)))
-        for f in wanted
-    ]
-    found_here = (
-        F.when(F.col("l.here").isNull(), F.array(F.lit(missing_in_left)))
-        .when(F.col("r.here").isNull(), F.array(F.lit(missing_in_right)))
-        .otherwise(F.array_compact(F.array(*differs)) if differs else F.array().cast("array<string>"))
-    )
-    return both.select(key, F.explode(found_here).alias("difference"))
+        """The rows of unequal buckets, with null for what is equal there."""
+        rows = side.select("key", *wanted).join(unequal, bucket_of("key", fine) == F.col("bucket"))
+        return rows.select("key", struct([F.when(F.array_contains("columns", int(w[1:]) + 1), F.col(w)).alias(w) for w in wanted], mark))
+
+    def current(side: DataFrame, mark: str) -> DataFrame:
+        rows = current_rows(side.join(several, F.xxhash64("key") == F.col("hash"), "left_semi"), ["key"], "noted", work)
+        return rows.select("key", struct([F.col(w) for w in work], mark))
+
+    def differences(a: DataFrame, b: DataFrame, compared: list[str]) -> DataFrame:
+        both = a.join(b, "key", "full_outer")
+        differs = [F.when(~F.col(f"l.{w}").eqNullSafe(F.col(f"r.{w}")), F.lit(names.get(f := fields[int(w[1:])], f))) for w in compared]
+        here = (
+            F.when(F.col("l.here").isNull(), F.array(F.lit(missing_in_left)))
+            .when(F.col("r.here").isNull(), F.array(F.lit(missing_in_right)))
+            .otherwise(F.array_compact(F.array(*differs)) if differs else F.array().cast("array<string>"))
+        )
+        return both.select(F.col("key").alias(key), F.explode(here).alias("difference"))
+
+    once = differences(reread(single[0], "l"), reread(single[1], "r"), wanted)
+    return once.unionByName(differences(current(sides[0], "l"), current(sides[1], "r"), work))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.functions.text import same_path, same_path_value, same_text_value
 from lodestone.operators.copydiff import checksum_matrix, compare_copies, unequal_cells
@@ -75,10 +76,32 @@ def test_matrix_names_only_the_unequal_column(spark):
     left = spark.createDataFrame([(f"k{i}", "x", i) for i in range(100)], "k string, a string, b int")
     right = spark.createDataFrame([(f"k{i}", "x", i + (i == 50)) for i in range(100)], "k string, a string, b int")
     cells = unequal_cells(left, right, "k", ["a", "b"], 10).collect()
-    assert [r["columns"] for r in cells] == [4]
+    assert [r["columns"] for r in cells] == [[2]]  # the second field
     assert checksum_matrix(left, "k", ["a", "b"], 10).agg({"n": "sum"}).first()[0] == 100
 
 
+def test_more_fields_than_bits_of_a_word(spark):
+    fields = [f"c{i}" for i in range(80)]
+    left = spark.createDataFrame([(k, 1, *[f"{k}{i}" for i in range(80)]) for k in "abcdef"], ["k", "ts", *fields])
+    right = left.withColumn("c79", F.when(F.col("k") == "c", F.lit("other")).otherwise(F.col("c79"))).withColumn("c0", F.when(F.col("k") != "e", F.col("c0")))
+    got = compare_copies(left, right, "k", fields, left_order="ts", right_order="ts").collect()
+    assert {tuple(r) for r in got} == {("c", "c79"), ("e", "c0")}
+
+
+def test_a_superseded_row_does_not_hide_in_equal_sums(spark):
+    """Both sides hold the same rows, but another one is the current one."""
+    left, right = [("k", "x", 1, 1), ("k", "y", 2, 2)], [("k", "x", 1, 2), ("k", "y", 2, 1)]
+    assert compare(spark, left, right) == {("k", "a"), ("k", "b")}
+    assert compare(spark, left, left[::-1]) == set()
+
+
+def test_swapped_columns_differ(spark):
+    rows = [(f"k{i}", i, i + 1, 1) for i in range(30)]
+    left = spark.createDataFrame(rows, "k string, a int, b int, ts int")
+    right = left.select("k", F.col("b").alias("a"), F.col("a").alias("b"), "ts")
+    assert compare_copies(left, right, "k", ["a", "b"], left_order="ts", right_order="ts").count() == 60
+
+
 def test_same_text_and_path(spark):
     assert same_text_value("  Düsun　") == same_text_value("DÜSUN") == "düsun"
     assert same_text_value(" \t") is None and same_text_value(None) is None
