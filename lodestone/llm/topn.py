@@ -1,10 +1,13 @@
 """The first N items of every group, by falling score and then rising tie key.
 
 Method: sorted-run loser-tree merge. Every task writes its items as one run: a file ordered by bucket (a hash of the
-group), group, falling score and tie key, in small row groups. One task for each bucket then opens its stretch of
-every run and merges them with a loser tree; after N outputs for a group it seeks to the next group in each run, past
+group), group, falling score and tie key, in small row groups. A merge task takes the stretch of some buckets out of
+several runs and merges them with a loser tree; after N outputs for a group it seeks to the next group in each run, past
 whole row groups where these hold nothing else. So a group of any size is spread over all runs, costs a merge task N
 outputs and one seek for each run, and never has to fit anywhere.
+
+A task merges no more than FAN runs at once. Where there are more, chunks of FAN runs are merged into longer runs, each
+of one stretch of buckets, level by level; a group keeps N items of each chunk at most. Any number of tasks may sort.
 """
 
 from __future__ import annotations
@@ -20,10 +23,13 @@ from pyspark.sql import functions as F
 
 from lodestone.scratch import Scratch
 
-#: Bytes of a row group of a run: the unit of seeking.
+#: Bytes of a row group of a run: the unit of seeking, and what a merge task holds of each run.
 ROW_GROUP_BYTES = 1 << 20
 #: Runs that a merge task has open at once.
-MAX_RUNS = 1000
+FAN = 64
+
+
+COLUMNS = ["bucket", "group", "score", "tie"]
 
 
 class LoserTree:
@@ -59,19 +65,39 @@ class LoserTree:
         self.winner = at
 
 
+class Run:
+    """An open run file, with the least and greatest bucket of each row group and the group where it is a single one."""
+
+    def __init__(self, source) -> None:
+        self.file = pq.ParquetFile(source)
+        meta = self.file.metadata
+        names = [meta.schema.column(i).name for i in range(meta.num_columns)]
+        bucket, group = names.index("bucket"), names.index("group")
+        n = meta.num_row_groups
+        self.low, self.high, self.only = np.zeros(n, np.int64), np.full(n, 1 << 62), [None] * n
+        known = [meta.row_group(i).column(bucket).statistics for i in range(n)]
+        if not all(b is not None and b.has_min_max for b in known):
+            return  # without them every row group may hold every bucket
+        for i, b in enumerate(known):
+            s = meta.row_group(i).column(group).statistics
+            self.low[i], self.high[i] = b.min, b.max
+            if s is not None and s.has_min_max and s.min == s.max and b.min == b.max:
+                self.only[i] = s.min
+
+    def stretch(self, bucket: int) -> range:
+        """The row groups that can hold the bucket; they are in order."""
+        return range(int(np.searchsorted(self.high, bucket)), int(np.searchsorted(self.low, bucket, side="right")))
+
+
 class RunCursor:
-    """The items of one bucket in one run file, of each group at most the first N different ones.
+    """The items of one bucket in one run, of each group at most the first N different ones.
 
     ``key`` is (group, -score, tie); ``next_item`` moves by one, ``next_group`` past all of the present group.
     """
 
-    def __init__(self, source, bucket: int, n: int, columns: list[str]) -> None:
-        self.file = pq.ParquetFile(source)
-        self.bucket, self.n, self.columns = bucket, n, columns
-        meta = self.file.metadata
-        names = [meta.schema.column(i).name for i in range(meta.num_columns)]
-        self.bucket_at, self.group_at = names.index("bucket"), names.index("group")
-        self.groups = iter(range(meta.num_row_groups))
+    def __init__(self, run: Run, bucket: int, n: int) -> None:
+        self.run, self.bucket, self.n = run, bucket, n
+        self.groups = iter(run.stretch(bucket))
         self.last, self.seen, self.previous = None, 0, None
         self.keys: list[tuple] = []
         self.heads: list[int] = []
@@ -79,27 +105,13 @@ class RunCursor:
         self.key = None
         self._fill()
 
-    def _holds_more(self, i: int) -> bool:
-        """Whether a row group can hold items of this bucket that aren't past the N first of the last group."""
-        g = self.file.metadata.row_group(i)
-        s = g.column(self.bucket_at).statistics
-        if s is None or not s.has_min_max:
-            return True
-        if s.max < self.bucket or s.min > self.bucket:
-            return False
-        if s.min == s.max and self.seen >= self.n:
-            p = g.column(self.group_at).statistics
-            if p is not None and p.has_min_max and p.min == p.max == self.last:
-                return False
-        return True
-
     def _fill(self) -> None:
         """Reads on until there is an item or the run ends."""
         self.keys, self.heads, self.at, self.head = [], [], 0, 0
         for i in self.groups:
-            if not self._holds_more(i):
-                continue
-            t = self.file.read_row_group(i, columns=self.columns)
+            if self.seen >= self.n and self.last is not None and self.run.only[i] == self.last:
+                continue  # nothing but what comes after the first N of that group
+            t = self.run.file.read_row_group(i, columns=COLUMNS)
             b = t.column("bucket").to_numpy()
             lo, hi = np.searchsorted(b, [self.bucket, self.bucket + 1])
             if lo == hi:
@@ -176,6 +188,41 @@ def _open(uri: str):
     return fs.open_input_file(path)
 
 
+def _merged(bucket: int, runs: list[Run], n: int) -> Iterator[pa.RecordBatch]:
+    """The first n of every group of a bucket, merged from its runs."""
+    cursors = [c for r in runs if (c := RunCursor(r, bucket, n)).key is not None]
+    out = []
+    for key in merge_runs(cursors, n):
+        out.append(key)
+        if len(out) == 1 << 16:
+            yield _batch(bucket, out)
+            out = []
+    if out:
+        yield _batch(bucket, out)
+
+
+def _batch(bucket: int, keys: list[tuple]) -> pa.RecordBatch:
+    group, score, tie = zip(*keys, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(keys), bucket, np.int32)), pa.array(group, pa.string()), pa.array([0.0 - s for s in score], pa.float64()), pa.array(tie, pa.int64())], COLUMNS
+    )
+
+
+def _merge(spark, tasks: list[tuple[list[str], int, int]], n: int) -> DataFrame:
+    """A partition for each task (run files, first bucket, end of its buckets), in order."""
+    sent = spark.sparkContext.broadcast(tasks)  # a path for each run and chunk
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                files, begin, end = sent.value[i]
+                runs = [Run(_open(f)) for f in files]
+                for bucket in range(begin, end):
+                    yield from _merged(bucket, runs, n)
+
+    return spark.range(0, len(tasks), 1, max(1, len(tasks))).mapInArrow(merge, "bucket int, group string, score double, tie bigint")
+
+
 def top_n(items: DataFrame, n: int, *, buckets: int | None = None) -> DataFrame:
     """``group string, score double, tie bigint``: of each group the n first by falling score, then rising tie.
 
@@ -194,33 +241,23 @@ def top_n(items: DataFrame, n: int, *, buckets: int | None = None) -> DataFrame:
         (F.col("score").cast("double") + 0.0).alias("score"),  # -0.0 becomes 0.0
         F.col("tie").cast("bigint").alias("tie"),
     ).where("group is not null and score is not null and not isnan(score) and tie is not null")
-    runs = runs.coalesce(MAX_RUNS).sortWithinPartitions("bucket", "group", F.desc("score"), "tie")
-    scratch.write(runs, "runs", **{"parquet.block.size": str(ROW_GROUP_BYTES)})
-    files = scratch.files("runs")
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket in batch.column(0).to_pylist():
-                cursors = []
-                for f in files:
-                    c = RunCursor(_open(f), bucket, n, ["bucket", "group", "score", "tie"])
-                    if c.key is not None:
-                        cursors.append(c)
-                out = []
-                for key in merge_runs(cursors, n):
-                    out.append(key)
-                    if len(out) == 1 << 16:
-                        yield _batch(out)
-                        out = []
-                if out:
-                    yield _batch(out)
-
-    return spark.range(0, buckets, 1, buckets).mapInArrow(merge, "group string, score double, tie bigint")
-
-
-def _batch(keys: list[tuple]) -> pa.RecordBatch:
-    group, score, tie = zip(*keys, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(group, pa.string()), pa.array([0.0 - s for s in score], pa.float64()), pa.array(tie, pa.int64())],
-        ["group", "score", "tie"],
-    )
+    small = {"parquet.block.size": str(ROW_GROUP_BYTES)}
+    scratch.write(runs.sortWithinPartitions("bucket", "group", F.desc("score"), "tie"), "runs0", **small)
+    # For each stretch of buckets its runs; at first one stretch of all.
+    stretches, level = [(0, buckets, scratch.files("runs0"))], 0
+    while any(len(files) > FAN for *_, files in stretches):
+        # As many tasks as hold about one run each.
+        tasks = []
+        for begin, end, files in stretches:
+            cuts = np.linspace(begin, end, min(end - begin, max(1, min(len(files), FAN))) + 1).astype(int).tolist()
+            tasks += [(files[i : i + FAN], a, b) for a, b in zip(cuts, cuts[1:], strict=False) for i in range(0, len(files), FAN)]
+        level += 1
+        scratch.write(_merge(spark, tasks, n), f"runs{level}", **small)
+        made: dict[tuple[int, int], list[str]] = {}
+        for f in scratch.files(f"runs{level}"):
+            _, begin, end = tasks[int(f.rsplit("/", 1)[1].split("-")[1])]  # part-<number of the task>-...
+            made.setdefault((begin, end), []).append(f)
+        stretches = [(a, b, files) for (a, b), files in sorted(made.items())]
+        scratch.drop(f"runs{level - 1}")
+    tasks = [(files, b, b + 1) for begin, end, files in stretches for b in range(begin, end)]
+    return _merge(spark, tasks, n).select("group", "score", "tie")

@@ -60,6 +60,19 @@ def test_hot_group_over_many_row_groups(spark, monkeypatch):
     assert {tuple(x) for x in top_n(df, 4, buckets=1).collect()} == plain(rows, 4)
 
 
+@pytest.mark.parametrize(("fan", "parts", "buckets"), [(2, 9, 5), (3, 4, 1), (2, 5, 8)])
+def test_more_runs_than_are_merged_at_once(spark, monkeypatch, fan, parts, buckets):
+    import lodestone.llm.topn as T
+
+    monkeypatch.setattr(T, "FAN", fan)
+    monkeypatch.setattr(T, "ROW_GROUP_BYTES", 2000)
+    r = random.Random(fan)
+    rows = [(r.choice(["hot", "hot", "hot", f"g{i % 30}"]), r.choice([0.5, r.random()]), r.randint(0, 900), "x") for i in range(6000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+    got = [tuple(x) for x in top_n(df, 5, buckets=buckets).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain(rows, 5)
+
+
 def test_nothing(spark):
     assert top_n(spark.createDataFrame([], SCHEMA), 5).count() == 0
     with pytest.raises(ValueError, match="positive"):
