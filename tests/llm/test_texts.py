@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestone.llm import leaks as L
-from lodestone.llm.leaks import ItemShingles, leaked_passages
+from lodestone.llm.leaks import leaked_passages, shingle_keys
 from lodestone.llm import packing as P
 from lodestone.llm.packing import contexts, make_plan, pack, step_groups
 from lodestone.llm import stuffing as S
@@ -139,8 +139,9 @@ def brute_leaks(docs, items, window):
     return {(d, i): len(x & grams(words(t))) for d, t in docs for i, x in g if x & grams(words(t))}
 
 
-@pytest.mark.parametrize(("window", "block"), [(6, 1_000_000), (5, 60), (12, 200)])
-def test_leaks(spark, window, block):
+@pytest.mark.parametrize(("window", "bits"), [(6, 1 << 27), (5, 64), (12, 128)])
+def test_leaks(spark, window, bits):
+    """Also with filters far too small, which let nearly everything through."""
     r = random.Random(window)
     vocabulary = [f"w{i}" for i in range(12)]
     items = [(i, " ".join(r.choices(vocabulary, k=r.randint(2, 40)))) for i in range(12)]
@@ -154,7 +155,7 @@ def test_leaks(spark, window, block):
     docs += [(100, ""), (101, " ".join(["zz"] * 50_000) + " " + items[0][1]), (102, items[3][1])]
     d = spark.createDataFrame([*docs, (None, items[0][1]), (103, None)], "doc_id bigint, text string").selectExpr("*", "1 as item_id", "'x' as windows")
     i = spark.createDataFrame([*items, (50, None), (None, items[0][1])], "item_id bigint, text string").selectExpr("*", "'y' as doc_id")
-    got = {(x.doc_id, x.item_id): x.windows for x in leaked_passages(d, i, window=window, block_words=block).collect()}
+    got = {(x.doc_id, x.item_id): x.windows for x in leaked_passages(d, i, window=window, most_bits=bits).collect()}
     assert got == brute_leaks(docs, items, window)
 
 
@@ -165,10 +166,10 @@ def test_leaks_of_nothing(spark):
     assert leaked_passages(d.where("false"), spark.createDataFrame([(1, "a " * 20)], "item_id bigint, text string")).count() == 0
 
 
-def test_shingles_with_colliding_keys(monkeypatch):
-    monkeypatch.setattr(ItemShingles, "_key", staticmethod(lambda grams: np.zeros(len(grams), np.uint64)))
-    table = ItemShingles([(1, list("abcdefgh"))], 3)
-    assert sorted(table.items[0][1].tolist()) == [0, 1, 2, 3, 4, 5]
+def test_shingle_keys():
+    keys, starts = shingle_keys([list("abcab"), [], list("ab"), list("cab")], 3)
+    assert starts.tolist() == [0, 5, 5, 7, 10] and np.flatnonzero(keys).tolist() == [0, 1, 2, 7] and keys[2] == keys[7] != keys[0]
+    assert shingle_keys([], 3)[0].tolist() == [] and shingle_keys([["a"]], 3)[0].tolist() == [0]
     assert L.SHINGLE == 5
 
 
