@@ -165,17 +165,19 @@ def leaked_passages(documents: DataFrame, items: DataFrame, *, window: int = 12,
     bits = min(most_bits, 1 << max(16, (wanted.count() * BITS_EACH).bit_length()))
     sent = spark.sparkContext.broadcast(_filter(wanted.select("keys"), bits))
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    stretches = scratch.write(_stretches(texts, sent, shingle, need), "stretches")
+    stretches = scratch.write(_stretches(texts, sent, shingle, need).withColumn("stretch", F.monotonically_increasing_id()), "stretches")
 
     # The rarest shingle of each window, and where it stands in it; windows with one that no document has are out.
     held = stretches.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     each = wanted.select("item_id", "place", F.posexplode("keys").alias("at", "key")).join(held, "key")
     rank = F.struct("n", "key", "at")
     prefix = each.groupBy("item_id", "place").agg(F.count(F.lit(1)).alias("found"), F.min(rank).alias("best")).where(f"found = {need}")
-    prefix = prefix.select("item_id", "place", F.col("best.key").alias("key"), F.col("best.at").alias("at"))
-    prefix = scratch.write(prefix.join(wanted.select("item_id", "place", "window"), ["item_id", "place"]), "prefix")
-
-    places = stretches.select("doc_id", "words", F.posexplode("keys").alias("pos", "key"))
-    candidates = places.join(prefix, "key").where(f"pos >= at and pos - at + {window} <= size(words)")
-    found = candidates.where(f"slice(words, pos - at + 1, {window}) = window")
+    prefix = scratch.write(prefix.select("item_id", "place", F.col("best.key").alias("key"), F.col("best.at").alias("at")), "prefix")
+
+    # Keys alone are joined; words come to those places where a window can lie.
+    places = stretches.select("stretch", F.posexplode("keys").alias("pos", "key"), F.size("keys").alias("size"))
+    begins = places.join(prefix, "key").where(f"pos >= at and pos - at + {need} <= size").select("stretch", (F.col("pos") - F.col("at")).alias("begin"), "item_id", "place")
+    passage = F.slice("words", F.col("begin") + 1, window).alias("passage")
+    candidates = begins.join(stretches.select("stretch", "doc_id", "words"), "stretch").select("doc_id", "item_id", "place", passage)
+    found = candidates.join(wanted.select("item_id", "place", "window"), ["item_id", "place"]).where("passage = window")
     return found.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("windows"))
