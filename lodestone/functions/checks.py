@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import strip
 
 
+@F.arrow_udf(T.BooleanType())
+def _composed(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.is_normalized("NFC", t) for t in texts.to_pylist()], pa.bool_())
+
+
 def sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
@@ -39,3 +48,8 @@ def field_problem(json_object: Column, required: list[str], optional: list[str])
         F.when(keys.isNull(), "not an object").when(F.size(lacking) > 0, F.concat(F.lit("missing: "), F.array_join(lacking, ", ")))
         .when(F.size(unknown) > 0, F.concat(F.lit("unknown: "), F.array_join(F.array_sort(unknown), ", ")))
     )
+
+
+def composed_text(c: Column) -> Column:
+    """In Unicode's composed form (NFC)."""
+    return sure(_composed(c))

@@ -72,3 +72,80 @@ def shared_ids(annotations: DataFrame, annotation_id: str, task: str) -> DataFra
     """Annotation ids that belong to more than one task."""
     pairs = annotations.select(annotation_id, task).distinct()
     return pairs.groupBy(annotation_id).agg(F.count(F.lit(1)).alias("tasks")).where("tasks > 1")
+
+
+#: One annotation of a task, and a task as a labelling tool exports it.
+ANNOTATION = f"struct<id:string,was_cancelled:boolean,result:array<{RESULT}>>"
+TASK = f"key string, is_labeled boolean, drafts int, annotations array<{ANNOTATION}>"
+DECISIONS = ("include", "negative", "exclude")
+
+
+def _first(*cases: tuple[Column, str, str]) -> Column:
+    """The outcome and reason of the first condition that holds, else null; an unknown condition doesn't hold."""
+    out = F.lit(None).cast("struct<outcome:string,reason:string>")
+    for condition, outcome, reason in reversed(cases):
+        out = F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(outcome).alias("outcome"), F.lit(reason).alias("reason"))).otherwise(out)
+    return out
+
+
+def _judged(annotation: Column, names: Column, width: Column, height: Column) -> Column:
+    """What is wrong with one annotation that isn't cancelled, and the review it gives."""
+    results = annotation["result"]
+    boxes = rectangles(results, names, width, height)
+    decision, group, reason = single_choice(results, "decision"), single_text(results, "groupId"), single_text(results, "reason")
+    some, exclude = F.size(boxes) > 0, decision == "exclude"
+    problem = _first(
+        (annotation["was_cancelled"].isNull(), "error", "no cancelled flag"),
+        (F.exists(boxes, lambda b: b["problem"].isNotNull()), "error", "rectangle"),
+        (~F.coalesce(single_choice(results, "reviewed") == "yes", F.lit(False)), "pending", "not reviewed"),
+        (decision.isNull(), "pending", "no decision"),
+        (~decision.isin(*DECISIONS), "error", "unknown decision"),
+        (exclude & reason.isNull(), "pending", "no reason"),
+        (exclude & some, "error", "excluded with boxes"),
+        (~exclude & group.isNull(), "pending", "no group"),
+        (~exclude & reason.isNotNull(), "error", "reason without exclusion"),
+        ((decision == "include") & ~some, "pending", "no boxes"),
+        ((decision == "negative") & some, "error", "negative with boxes"),
+    )
+    objects = F.array_sort(F.transform(boxes, lambda b: F.struct(b["class_id"].alias("class_id"), b["bbox"].alias("bbox"))))
+    review = F.struct(decision.alias("decision"), group.alias("group_id"), reason.alias("reason"), objects.alias("objects"))
+    return F.struct(problem.alias("problem"), review.alias("review"))
+
+
+def review_outcomes(expected: DataFrame, export: DataFrame, names: Column) -> DataFrame:
+    """``key, outcome, reason, review``: what came of each expected image: accepted, excluded, pending or error.
+
+    ``expected``: ``key, width, height``, a row for each image; ``export``: tasks of form TASK. The first rule that
+    fails decides, in this order: the task was exported, once; it is labelled and has no draft; then for each
+    annotation that isn't cancelled, in its order: its rectangles are sound, it is reviewed and has a known decision; an
+    exclusion has a reason and no boxes; any other has a group and no reason, boxes if included and none if negative.
+    At least one such annotation is there, and all give the same review: decision, group, reason and boxes, whatever
+    their order. ``review`` is null unless accepted or excluded. Null keys are no images; unknown tasks give nothing.
+    """
+    rows = export.where("key is not null")
+    # Of a task exported several times none counts, so that one row is enough.
+    tasks = rows.groupBy("key").agg(F.count(F.lit(1)).alias("__n"), *(F.first(c).alias(f"__{c}") for c in ("is_labeled", "drafts", "annotations")))
+    both = expected.where("key is not null").select("key", "width", "height").join(tasks, "key", "left")
+    live = F.filter("__annotations", lambda a: ~F.coalesce(a["was_cancelled"], F.lit(False)))
+    both = both.withColumn("__seen", F.transform(live, lambda a: _judged(a, names, F.col("width"), F.col("height"))))
+    wrong = F.get(F.filter("__seen", lambda s: s["problem"].isNotNull()), F.lit(0))["problem"]
+    reviews = F.array_distinct(F.transform("__seen", lambda s: s["review"]))
+    outcome = F.coalesce(
+        _first(
+            (F.col("__n").isNull(), "error", "not exported"), (F.col("__n") > 1, "error", "exported twice"),
+            (~F.coalesce("__is_labeled", F.lit(False)), "pending", "not labelled"), (F.col("__drafts") > 0, "pending", "draft"),
+        ),
+        wrong,
+        _first((F.coalesce(F.size("__seen"), F.lit(0)) <= 0, "pending", "no annotation"), (F.size(reviews) > 1, "error", "reviews differ")),
+    )
+    both = both.withColumn("__o", outcome).withColumn("__r", F.when(F.col("__o").isNull(), F.get(reviews, F.lit(0))))
+    done = F.when(F.col("__r.decision") == "exclude", "excluded").otherwise("accepted")
+    return both.select("key", F.coalesce("__o.outcome", done).alias("outcome"), F.col("__o.reason").alias("reason"), F.col("__r").alias("review"))
+
+
+def review_counts(outcomes: DataFrame) -> DataFrame:
+    """One row: expected images, accepted ones and of these included and negative, excluded, pending and erroneous ones."""
+    decision = F.col("review.decision")
+    of = {"accepted": F.col("outcome") == "accepted", "included": decision == "include", "negative": decision == "negative"}
+    of |= {o: F.col("outcome") == o for o in ("excluded", "pending", "error")}
+    return outcomes.agg(F.count(F.lit(1)).alias("expected"), *(F.count_if(c).alias(n) for n, c in of.items()))

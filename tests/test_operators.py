@@ -275,6 +275,48 @@ def test_review(spark):
     assert R.shared_ids(spark.createDataFrame([(1, "t"), (1, "u"), (2, "t"), (2, "t")], "a int, t string"), "a", "t").collect()[0].a == 1
 
 
+def test_review_outcomes(spark):
+    """One task for each rule, and what it must come to."""
+    def control(name, box=None, **v):
+        value = {c: None for c in ("x", "y", "width", "height", "rotation", "rectanglelabels", "choices", "text")} | v
+        if box:
+            value |= dict(zip(("x", "y", "width", "height"), box)) | {"rotation": 0.0, "rectanglelabels": [v.get("label", "jahe")]}
+        value.pop("label", None)
+        return {"id": name, "from_name": name, "type": "t", "origin": "manual", "original_width": 100, "original_height": 80, "image_rotation": 0.0, "value": value}
+
+    def note(decision="include", group=" g ", reason=None, boxes=((10.0, 10.0, 50.0, 60.0),), label="jahe", reviewed="yes", cancelled=False):
+        out = [control("bbox", b, label=label) for b in boxes]
+        out += [control("decision", choices=[decision])] if decision else []
+        out += [control("reviewed", choices=[reviewed])] if reviewed else []
+        out += [control("groupId", text=[group])] if group else []
+        out += [control("reason", text=[reason])] if reason else []
+        return {"id": "1", "was_cancelled": cancelled, "result": out}
+
+    two = ((0.0, 0.0, 10.0, 10.0), (20.0, 20.0, 10.0, 10.0))
+    cases = {
+        "include": ([note()], "accepted", None), "negative": ([note("negative", boxes=())], "accepted", None), "exclude": ([note("exclude", None, "blurred", ())], "excluded", None),
+        "agree": ([note(boxes=two), note(boxes=two[::-1])], "accepted", None), "cancelled too": ([note("exclude", cancelled=True), note()], "accepted", None),
+        "differ": ([note(), note(group="h")], "error", "reviews differ"), "only cancelled": ([note(cancelled=True)], "pending", "no annotation"), "none": ([], "pending", "no annotation"),
+        "null": (None, "pending", "no annotation"), "flag": ([note(cancelled=None)], "error", "no cancelled flag"), "label": ([note(label="?")], "error", "rectangle"),
+        "outside": ([note(boxes=((60.0, 0.0, 50.0, 10.0),))], "error", "rectangle"), "unreviewed": ([note(reviewed=None)], "pending", "not reviewed"), "undecided": ([note(None)], "pending", "no decision"),
+        "odd": ([note("maybe")], "error", "unknown decision"), "why": ([note("exclude", None, " ", ())], "pending", "no reason"), "boxed": ([note("exclude", None, "r")], "error", "excluded with boxes"),
+        "alone": ([note(group=" ")], "pending", "no group"), "reasoned": ([note(reason="r")], "error", "reason without exclusion"), "empty": ([note(boxes=())], "pending", "no boxes"),
+        "full": ([note("negative")], "error", "negative with boxes"), "second": ([note(), note(None)], "pending", "no decision"),
+    }
+    rows = [(k, True, 0, a) for k, (a, _, _) in cases.items()] + [("twice", True, 0, [note()])] * 2
+    rows += [("open", False, 0, [note()]), ("draft", True, 1, [note()]), ("unknown", True, 0, [note()]), (None, True, 0, [note()])]
+    wanted = {k: (o, r) for k, (_, o, r) in cases.items()}
+    wanted |= {"twice": ("error", "exported twice"), "open": ("pending", "not labelled"), "draft": ("pending", "draft"), "gone": ("error", "not exported")}
+    expected = spark.createDataFrame([(k, 100, 80) for k in wanted] + [(None, 1, 1)], "key string, width int, height int")
+    got = R.review_outcomes(expected, spark.createDataFrame(rows, R.TASK), F.lit(["jahe", "kencur"])).cache()
+    assert {r.key: (r.outcome, r.reason) for r in got.collect()} == wanted
+    of = {r.key: r.review for r in got.collect()}
+    assert of["include"].group_id == "g" and [tuple(o) for o in of["include"].objects] == [(0, [0.1, 0.1, 0.5, 0.6])] and of["exclude"].reason == "blurred" and of["differ"] is None
+    n = R.review_counts(got).first()
+    assert (n.expected, n.accepted, n.included, n.negative, n.excluded) == (26, 4, 3, 1, 1) and n.pending + n.error == 21
+    assert R.review_outcomes(expected.where("false"), spark.createDataFrame([], R.TASK), F.lit(["jahe"])).count() == 0
+
+
 def test_catalog(spark):
     items = spark.createDataFrame([(0, "Jahe", "Zingiber", "A"), (1, "Kunyit", "Curcuma", "B"), (2, "Temulawak", "Curcuma x", "B")], "id int, name string, sci string, family string")
     assert [r.id for r in search(items, ["name", "sci"], "  CURCUMA ").collect()] == [1, 2]
