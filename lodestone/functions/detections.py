@@ -46,7 +46,9 @@ def match(dets: Column, truth: Column, least: float = MATCH_IOU) -> Column:
         free = F.filter(near, lambda n: (n["iou"] >= least) & ~F.array_contains(taken, -n["back"]))
         return F.concat(taken, F.array(F.coalesce(-F.array_max(free)["back"], F.lit(-1))))
 
-    return F.aggregate(dets, F.array().cast("array<int>"), step)
+    # Most frames have no truth: nothing needs to be folded there.
+    none = F.transform(dets, lambda _: F.lit(-1))
+    return F.when(F.size(truth) == 0, none).otherwise(F.aggregate(dets, F.array().cast("array<int>"), step))
 
 
 def reachable(dets: Column, scores: Sequence[float], overlaps: Sequence[float]) -> Column:

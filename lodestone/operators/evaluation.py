@@ -30,22 +30,36 @@ class Thresholds:
 GRID = {"detector": (0.15, 0.25, 0.35, 0.5), "overlap": (0.3, 0.45, 0.6), "classifier": (0.5, 0.65, 0.8), "margin": (0.0, 0.1, 0.2)}
 
 
-def assemble(batches: DataFrame) -> DataFrame:
+def assemble(batches: DataFrame, *, least: float = 0.0, logits: bool = True, detections: bool = True) -> DataFrame:
     """``path, group_id, split, truth, detections``: one row for each frame from its batches.
 
     Of each batch the latest delivery counts. A frame has the truth of all its batches, in their order, and its best
-    CANDIDATES valid detections, the most that suppression looks at: they are chosen before anything is gathered, so a
-    frame of any number of batches fits. Null paths are no frames.
+    CANDIDATES valid detections with a score of at least ``least``, the most that suppression looks at: they are chosen
+    before anything is gathered, so a frame of any number of batches fits. Null paths are no frames.
+
+    Only what is asked for is read and moved: detections below ``least`` are left out before the first shuffle, their
+    logits (then null) and all of them where they aren't needed.
     """
+    fields = ["box", "score", "anchor", *(["logits"] if logits else [])]
+    pairs = F.arrays_zip(*(F.col(f"detections.{f}").alias(f) for f in fields))
+    good = F.filter(pairs, lambda d: d["score"].isNotNull() & ~F.isnan(d["score"]) & d["score"].between(least, 1.0))
+    whole = F.transform(good, lambda d: F.struct(*(d[f].alias(f) for f in fields), *(() if logits else (F.lit(None).cast("array<double>").alias("logits"),))))
+    columns = ["group_id", "split", "truth"]
+    rows = batches.where("path is not null")
+    if detections:
+        rows = rows.select("path", "batch_no", "arrived_at", *columns, whole.alias("detections"))
+        columns = [*columns, "detections"]
     # Arrays of structs with doubles are orderable, so copies and ties fall together.
-    now = current_rows(batches.where("path is not null"), ["path", "batch_no"], "arrived_at", ["group_id", "split", "truth", "detections"])
+    now = current_rows(rows, ["path", "batch_no"], "arrived_at", columns)
     heads = now.groupBy("path").agg(
         F.max("group_id").alias("group_id"),
         F.max("split").alias("split"),
         F.array_sort(F.collect_list(F.when(F.size("truth") > 0, F.struct("batch_no", "truth")))).alias("t"),
     )
     heads = heads.select("path", "group_id", "split", F.flatten(F.transform("t", lambda x: x["truth"])).alias("truth"))
-    each = now.select("path", F.explode("detections").alias("d")).where("d.score is not null and not isnan(d.score) and d.score between 0 and 1")
+    if not detections:
+        return heads
+    each = now.select("path", F.explode("detections").alias("d"))
     rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("d.score"), "d.anchor"))
     best = each.withColumn("rank", rank).where(F.col("rank") <= CANDIDATES).groupBy("path").agg(F.collect_list("d").alias("detections"))
     return heads.join(best, "path", "left").withColumn("detections", F.coalesce("detections", F.array().cast(best.schema["detections"].dataType)))
@@ -265,27 +279,39 @@ def calibrate(frames: DataFrame, grid: dict[str, tuple] = GRID) -> DataFrame:
     return best_thresholds(grid_scores(frames, grid))
 
 
-def average_precision(frames: DataFrame, least: float = MATCH_IOU, score: float = 0.001, overlap: float = 0.7) -> DataFrame:
-    """``truths, boxes, hits, ap``: the area under precision over recall of the detector alone, at 101 levels of recall.
+#: The overlaps over which a detector's precision is averaged.
+AP_OVERLAPS = tuple(i / 100 for i in range(50, 100, 5))
+
 
-    Boxes that survive suppression are matched frame by frame and then ranked by score over all frames. The precision
-    at a level is the best one at that recall or beyond. Only 101 numbers are left before the last step. Null without
-    truths.
+def average_precision(frames: DataFrame, least: tuple[float, ...] = (MATCH_IOU,), score: float = 0.001, overlap: float = 0.7) -> DataFrame:
+    """``least, truths, boxes, hits, ap`` for each overlap that a match needs: the area under precision over recall of
+    the detector alone, at 101 levels of recall.
+
+    Boxes that survive suppression are matched frame by frame and then ranked by score over all frames, for all overlaps
+    at once. The precision at a level is the best one at that recall or beyond. Only 101 numbers for each overlap are
+    left before the last step. Null without truths.
     """
+    spark = frames.sparkSession
     f = _settled(frames, survivors=suppress(F.col("detections"), score, overlap, CANDIDATES))
-    f = _settled(f, hits=match(F.col("survivors"), F.col("truth"), least))
-    boxes = f.select("path", F.explode(F.arrays_zip("survivors", "hits")).alias("b"))
-    boxes = boxes.select("path", F.col("b.survivors.score").alias("score"), F.col("b.survivors.anchor").alias("anchor"), (F.col("b.hits") >= 0).cast("int").alias("hit"))
-    ranked = with_running(boxes, [F.desc("score"), "path", "anchor"], {"hits": "hit"})
+    f = _settled(f, **{f"hits{i}": match(F.col("survivors"), F.col("truth"), t) for i, t in enumerate(least)})
+    tried = F.array(*(F.struct(F.lit(float(t)).alias("least"), F.transform(f"hits{i}", lambda h: (h >= 0).cast("int")).alias("hits")) for i, t in enumerate(least)))
+    boxes = f.select("path", F.transform("survivors", lambda d: F.struct(d["score"].alias("score"), d["anchor"].alias("anchor"))).alias("s"), F.explode(tried).alias("t"))
+    boxes = boxes.select("path", "t.least", F.explode(F.arrays_zip("s", F.col("t.hits").alias("hit"))).alias("b"))
+    boxes = boxes.select("path", "least", "b.s.score", "b.s.anchor", "b.hit")
+    ranked = with_running(boxes, ["least", F.desc("score"), "path", "anchor"], {"hits": "hit"})
+    # What was counted under smaller overlaps, a row for each overlap.
+    before = ranked.groupBy("least").agg((F.min(F.col("hits") - F.col("hit"))).alias("__h"), F.min("position").alias("__p"))
+    ranked = ranked.join(F.broadcast(before), "least")
     truths = frames.agg(F.coalesce(F.sum(F.size("truth")), F.lit(0)).alias("truths"))
-    points = ranked.crossJoin(F.broadcast(truths))  # one row
-    precision = F.col("hits") / (F.col("position") + 1)
+    hits = F.col("hits") - F.col("__h")
+    points = ranked.crossJoin(F.broadcast(truths)).where("hit = 1").select("least", (hits / (F.col("position") - F.col("__p") + 1)).alias("precision"), F.floor(hits * 100 / F.col("truths")).alias("level"))
     # The last level that a point's recall reaches: level i stands for i of 100.
-    level = F.expr("hits * 100 div truths")
-    best = points.where("hit = 1").groupBy(level.alias("level")).agg(F.max(precision).alias("precision"))
-    levels = frames.sparkSession.range(101).select(F.col("id").alias("level"))
-    beyond = Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)  # 101 rows
-    reached = levels.join(best, "level", "left").select(F.max("precision").over(beyond).alias("p"))
-    ap = reached.agg((F.sum(F.coalesce("p", F.lit(0.0))) / 101).alias("ap"))
-    n = boxes.agg(F.count(F.lit(1)).alias("boxes"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"))
-    return truths.crossJoin(n).crossJoin(ap).select("truths", "boxes", "hits", F.when(F.col("truths") > 0, F.col("ap")).alias("ap"))
+    best = points.groupBy("least", "level").agg(F.max("precision").alias("precision"))
+    all_least = spark.createDataFrame([(float(t),) for t in least], "least double")
+    levels = all_least.crossJoin(spark.range(101).select(F.col("id").alias("level")))
+    beyond = Window.partitionBy("least").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)  # 101 rows
+    reached = levels.join(best, ["least", "level"], "left").select("least", F.max("precision").over(beyond).alias("p"))
+    ap = reached.groupBy("least").agg((F.sum(F.coalesce("p", F.lit(0.0))) / 101).alias("ap"))
+    n = boxes.groupBy("least").agg(F.count(F.lit(1)).alias("boxes"), F.sum("hit").alias("hits"))
+    out = ap.join(n, "least", "left").crossJoin(F.broadcast(truths)).na.fill(0, ["boxes", "hits"])
+    return out.select("least", "truths", "boxes", "hits", F.when(F.col("truths") > 0, F.col("ap")).alias("ap"))

@@ -11,23 +11,27 @@ from lodestone.operators import evaluation as ev
 from lodestone.operators.rows import current_rows
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.assemble(spark.read.parquet(f"{sf_dir}/frame_prediction.parquet"))
+def frames(spark: SparkSession, sf_dir: str, **needed) -> DataFrame:
+    return ev.assemble(spark.read.parquet(f"{sf_dir}/frame_prediction.parquet"), **needed)
+
+
+#: The usual thresholds, and the lowest of the grid.
+USUAL, LOWEST = ev.Thresholds().detector, min(ev.GRID["detector"])
 
 
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = ev.judged(frames(spark, sf_dir), F.lit(0.25), F.lit(0.45))
+    f = ev.judged(frames(spark, sf_dir, least=USUAL, logits=False), F.lit(0.25), F.lit(0.45))
     return f.select("path", F.posexplode("survivors").alias("rank", "d")).select("path", "rank", "d.anchor", "d.score")
 
 
 def match_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = ev.judged(frames(spark, sf_dir), F.lit(0.25), F.lit(0.45))
+    f = ev.judged(frames(spark, sf_dir, least=USUAL, logits=False), F.lit(0.25), F.lit(0.45))
     pairs = f.select("path", F.explode(F.arrays_zip("survivors", F.col("matched_all").alias("m"))).alias("p"))
     return pairs.where("p.m >= 0").select("path", "p.survivors.anchor", F.col("p.m").alias("truth"))
 
 
 def softmax_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = frames(spark, sf_dir).select("path", F.posexplode("truth").alias("truth", "t")).select("path", "truth", top_two(F.col("t.logits")).alias("b"))
+    t = frames(spark, sf_dir, detections=False).select("path", F.posexplode("truth").alias("truth", "t")).select("path", "truth", top_two(F.col("t.logits")).alias("b"))
     nine = lambda c: F.round(c, 9)
     return t.select("path", "truth", "b.class_id", nine("b.confidence").alias("confidence"), nine("b.margin").alias("margin"), accepted(F.col("b"), 0.65, 0.1).alias("accepted"))
 
@@ -46,11 +50,11 @@ def detection_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluate_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.frame_cases(frames(spark, sf_dir))
+    return ev.frame_cases(frames(spark, sf_dir, least=USUAL))
 
 
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.confusion(frames(spark, sf_dir))
+    return ev.confusion(frames(spark, sf_dir, least=USUAL))
 
 
 def per_class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +63,7 @@ def per_class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crop_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = ev.crop_samples(frames(spark, sf_dir))
+    samples = ev.crop_samples(frames(spark, sf_dir, detections=False))
     out = None
     for name, t in (("all", None), ("accepted", ev.Thresholds())):
         m = ev.class_measures(ev.crop_matrix(samples, t))
@@ -90,25 +94,33 @@ def frame_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reachable_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = reachable(F.col("detections"), ev.GRID["detector"], ev.GRID["overlap"])
-    return frames(spark, sf_dir).select("path", F.explode(anchors).alias("anchor"))
+    return frames(spark, sf_dir, least=LOWEST, logits=False).select("path", F.explode(anchors).alias("anchor"))
 
 
 def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid = frames(spark, sf_dir).where("split = 'valid'")
+    valid = frames(spark, sf_dir, least=LOWEST).where("split = 'valid'")
     return _nine(ev.grid_scores(valid), "macro_f1", "coverage")
 
 
 def best_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid = frames(spark, sf_dir).where("split = 'valid'")
+    valid = frames(spark, sf_dir, least=LOWEST).where("split = 'valid'")
     return _nine(ev.best_thresholds(ev.grid_scores(valid)), "macro_f1", "coverage")
 
 
 def detector_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nine(ev.average_precision(frames(spark, sf_dir)), "ap")
+    """For each overlap from 0.5 to 0.95 that a match needs; the mean of all is the usual summary."""
+    return _nine(ev.average_precision(frames(spark, sf_dir, least=0.001, logits=False), ev.AP_OVERLAPS), "ap")
+
+
+def detector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the precision at an overlap of 0.5, and the mean over all overlaps."""
+    ap = ev.average_precision(frames(spark, sf_dir, least=0.001, logits=False), ev.AP_OVERLAPS)
+    return _nine(ap.agg(F.max(F.when(F.col("least") == 0.5, F.col("ap"))).alias("map50"), F.avg("ap").alias("map50_95")), "map50", "map50_95")
 
 
 QUERIES = {
     "detector_ap": detector_ap,
+    "detector_map": detector_map,
     "nms": nms,
     "match_detections": match_detections,
     "softmax_top2": softmax_top2,
@@ -264,12 +276,16 @@ SQL |= {
     "threshold_grid": f"with {_GRID} select {_SHOWN} from grid",
     "best_thresholds": f"with {_GRID} select {_SHOWN} from grid order by macro desc, coalesce(cov, 0) desc, negative_accepts, grid_idx limit 1",
 }
-SQL["detector_ap"] = f"""with {_FRAMES},
+_AP = f"""{_FRAMES},
 kept as (select path, truth, {_survivors('0.001', '0.7', 300)} as survivors from frame),
-judged as (select *, {_MATCH} as matched from kept),
-box as (select path, survivors[k].score as score, survivors[k].anchor as anchor, (matched[k] > 0)::int as hit from (select *, unnest(range(1, len(survivors) + 1)) as k from judged)),
-ranked as (select hit, sum(hit) over w as hits, row_number() over w as n from box window w as (order by score desc, path, anchor)),
+tried as (select i / 100.0::double as least, path, truth, survivors from kept, range(50, 100, 5) r(i)),
+judged as (select *, {_MATCH.replace('>= 0.5', '>= least')} as matched from tried),
+box as (select least, path, survivors[k].score as score, survivors[k].anchor as anchor, (matched[k] > 0)::int as hit from (select *, unnest(range(1, len(survivors) + 1)) as k from judged)),
+ranked as (select least, hit, sum(hit) over w as hits, row_number() over w as n from box window w as (partition by least order by score desc, path, anchor)),
 t as (select sum(len(truth)) as truths from frame),
-point as (select (hits * 100 // truths)::int as level, max(hits::double / n) as precision from ranked, t where hit = 1 group by 1),
-env as (select l.i, coalesce((select max(precision) from point where level >= l.i), 0) as p from range(101) l(i))
-select truths::bigint as truths, (select count(*) from box) as boxes, (select sum(hit) from box)::bigint as hits, round((select sum(p) from env) / 101, 9) as ap from t"""
+point as (select least, (hits * 100 // truths)::int as level, max(hits::double / n) as precision from ranked, t where hit = 1 group by 1, 2),
+env as (select b.least, l.i, coalesce((select max(precision) from point p where p.least = b.least and level >= l.i), 0) as p from range(101) l(i), (select distinct least from tried) b),
+ap as (select least, sum(p) / 101 as ap from env group by least),
+counted as (select least, count(*) as boxes, sum(hit)::bigint as hits from box group by least)"""
+SQL["detector_ap"] = f"with {_AP} select least, truths::bigint as truths, coalesce(boxes, 0) as boxes, coalesce(hits, 0) as hits, round(ap, 9) as ap from ap left join counted using (least), t"
+SQL["detector_map"] = f"with {_AP} select round(max(case when least = 0.5 then ap end), 9) as map50, round(avg(ap), 9) as map50_95 from ap"

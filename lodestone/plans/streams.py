@@ -17,7 +17,7 @@ TICK = 250.0
 
 def live_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of sessions (``.../sesi-N/frame_K.png``), after suppression, with class probabilities where there are logits."""
-    f = frames(spark, sf_dir).where(F.col("path").rlike(r"sesi-\d+/frame_\d+"))
+    f = frames(spark, sf_dir, least=0.25).where(F.col("path").rlike(r"sesi-\d+/frame_\d+"))
     number = F.regexp_extract("path", r"frame_(\d+)", 1).cast("bigint")
     kept = F.transform(
         suppress(F.col("detections"), F.lit(0.25), F.lit(0.45)),

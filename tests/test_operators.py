@@ -124,12 +124,21 @@ def test_threshold_grid(spark):
     assert E.calibrate(spark.createDataFrame(rows, FRAME)).first().grid_idx == best[1]
 
 
+def moved(b, part):
+    x, y, w, h = b
+    return (x + part * w, y, w, h)
+
+
 def test_average_precision(spark):
     # Ranked by score: hit, false alarm, hit, and one truth that is never found.
     rows = [("a", "g", "test", [(grid_box(0), 1, None), (grid_box(4), 1, None)], [(grid_box(0), 0.9, 1, None), (grid_box(8), 0.8, 2, None), (grid_box(4), 0.7, 3, None)]), ("b", "g", "test", [(grid_box(1), 1, None)], [])]
     r = E.average_precision(spark.createDataFrame(rows, FRAME)).first()
     assert (r.truths, r.boxes, r.hits) == (3, 3, 2) and r.ap == pytest.approx((34 * 1.0 + 33 * 2 / 3) / 101)
     assert E.average_precision(spark.createDataFrame([], FRAME)).first().ap is None
+    # The second hit is shifted by a tenth of its width: its overlap is 0.9 / 1.1, enough up to 0.8 only.
+    near = [("a", "g", "test", rows[0][3], [rows[0][4][0], (moved(grid_box(4), 0.1), 0.7, 3, None)])]
+    ap = {round(x.least, 2): (x.hits, round(x.ap, 9)) for x in E.average_precision(spark.createDataFrame(near, FRAME), E.AP_OVERLAPS).collect()}
+    assert len(ap) == 10 and ap[0.5] == ap[0.8] == (2, 1.0) and ap[0.85] == ap[0.95] == (1, round(51 / 101, 9))
 
 
 def test_thresholds_are_not_tuned_on_test(spark):
