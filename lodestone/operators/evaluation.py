@@ -300,7 +300,8 @@ def average_precision(frames: DataFrame, least: tuple[float, ...] = (MATCH_IOU,)
     boxes = boxes.select("path", "least", "b.s.score", "b.s.anchor", "b.hit")
     ranked = with_running(boxes, ["least", F.desc("score"), "path", "anchor"], {"hits": "hit"})
     # What was counted under smaller overlaps, a row for each overlap.
-    before = ranked.groupBy("least").agg((F.min(F.col("hits") - F.col("hit"))).alias("__h"), F.min("position").alias("__p"))
+    sums = [F.min(F.col("hits") - F.col("hit")).alias("__h"), F.min("position").alias("__p"), F.count(F.lit(1)).alias("boxes"), F.sum("hit").alias("found")]
+    before = ranked.groupBy("least").agg(*sums)
     ranked = ranked.join(F.broadcast(before), "least")
     truths = frames.agg(F.coalesce(F.sum(F.size("truth")), F.lit(0)).alias("truths"))
     hits = F.col("hits") - F.col("__h")
@@ -312,6 +313,6 @@ def average_precision(frames: DataFrame, least: tuple[float, ...] = (MATCH_IOU,)
     beyond = Window.partitionBy("least").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)  # 101 rows
     reached = levels.join(best, ["least", "level"], "left").select("least", F.max("precision").over(beyond).alias("p"))
     ap = reached.groupBy("least").agg((F.sum(F.coalesce("p", F.lit(0.0))) / 101).alias("ap"))
-    n = boxes.groupBy("least").agg(F.count(F.lit(1)).alias("boxes"), F.sum("hit").alias("hits"))
+    n = before.select("least", "boxes", F.col("found").alias("hits"))
     out = ap.join(n, "least", "left").crossJoin(F.broadcast(truths)).na.fill(0, ["boxes", "hits"])
     return out.select("least", "truths", "boxes", "hits", F.when(F.col("truths") > 0, F.col("ap")).alias("ap"))
