@@ -39,3 +39,10 @@ def normalized_tensor(rgb: Column, mean: tuple[float, float, float], deviation:
 def largest_error(a: Column, b: Column) -> Column:
     """The greatest difference of two arrays of numbers, place by place; null if their lengths differ."""
     return F.when(F.size(a) == F.size(b), F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y))))
+
+
+def backdrop_alpha(rgb: Column) -> Column:
+    """The opacity of pixels ``[r, g, b]`` before a blue backdrop: 255, less 16 for each step by which blue exceeds the
+    mean of red and green by more than 4; from 0 to 255, halves to the even number. A null among them gives null."""
+    blue = rgb[2] - (rgb[0] + rgb[1]) / F.lit(2.0) - 4
+    return F.when(blue.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(255), F.bround(255 - F.greatest(blue, F.lit(0.0)) * 16).cast("int"))))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.checks import plain_text
 from lodestone.functions.geometry import box_inside
+from lodestone.functions.paths import safe_path
 from lodestone.functions.text import strip
 from lodestone.operators.rows import lookup_join
 
@@ -77,6 +79,52 @@ def manifest_violations(manifest: DataFrame, classes: int = 10) -> DataFrame:
     return found.unionByName(of_keys("groupid", torn, "group in several splits"))
 
 
+def inventory_violations(images: DataFrame, classes: int = 10, least_side: int = 16) -> DataFrame:
+    """``path, rule``: every broken rule of every row of an inventory, as it must be before annotation.
+
+    Rows: ``path, sourceid, classid, sha256, width, height``. Rules: the path is safe and no other row's in its portable
+    form; the source is a plain text; the class is one of ``classes``; the digest is 64 hex digits and no other row's;
+    both sides have ``least_side`` pixels. Null values break their rule.
+    """
+    rows = images.select("path", "sourceid", "classid", "sha256", "width", "height").withColumn("__safe", safe_path(F.col("path")))
+    here = F.array_compact(
+        F.array(
+            F.when(F.col("__safe").isNull(), "unsafe path"),
+            F.when(~plain_text(F.col("sourceid")), "source isn't plain text"),
+            F.when(~F.coalesce(F.col("classid").between(0, classes - 1), F.lit(False)), "class out of range"),
+            F.when(~F.coalesce(F.col("sha256").rlike(r"^[0-9a-f]{64}\z"), F.lit(False)), "invalid sha256"),
+            F.when(~F.coalesce((F.col("width") >= least_side) & (F.col("height") >= least_side), F.lit(False)), "too small"),
+        )
+    )
+    found = rows.select("path", F.explode(here).alias("rule"))
+    n = rows.count()
+    for key, rule in (("__safe", "repeated path"), ("sha256", "repeated sha256")):
+        twice = rows.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(F.col(key).alias("__key"))
+        again = lookup_join(rows.where(F.col(key).isNotNull()).select("path", F.col(key).alias("__key")), twice, "__key", rows=n)
+        found = found.unionByName(again.select("path", F.lit(rule).alias("rule")))
+    return found
+
+
+def reusable(cached: DataFrame, wanted: DataFrame, key: str, equal: list[str], sound: Column) -> DataFrame:
+    """``key, reuse boolean``: whether what was derived before from each wanted row may be used again: it is there, its
+    ``equal`` columns are as wanted (a null is like nothing), and it is ``sound``, a rule over its own columns."""
+    have = cached.where(F.col(key).isNotNull()).select(key, *(F.col(c).alias(f"__c_{c}") for c in equal), F.coalesce(sound, F.lit(False)).alias("__sound"))
+    both = wanted.select(key, *equal).join(have, key, "left")
+    alike = F.col("__sound")
+    for c in equal:
+        alike = alike & (F.col(f"__c_{c}") == F.col(c))
+    return both.groupBy(key).agg(F.coalesce(F.bool_or(alike), F.lit(False)).alias("reuse"))
+
+
+def report_of(parts: dict[str, DataFrame], key: str, rule: str) -> DataFrame:
+    """``part, rule, n``: the findings of several checks (each with columns ``key`` and ``rule``) in one table."""
+    out = None
+    for name, df in parts.items():
+        one = df.groupBy(F.col(rule if rule in df.columns else "problem").alias("rule")).agg(F.countDistinct(key).alias("n")).select(F.lit(name).alias("part"), "rule", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def manifest_report(manifest: DataFrame, classes: DataFrame) -> DataFrame:
     """``measure, value``: images, groups, images without objects, and the objects of each class, zeros included.
 

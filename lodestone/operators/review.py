@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import strip
+from lodestone.operators.positions import with_positions
+from lodestone.operators.quality import remaining
 
 #: One result of an annotation, with the fields of all kinds of controls.
 RESULT = (
@@ -74,6 +76,13 @@ def shared_ids(annotations: DataFrame, annotation_id: str, task: str) -> DataFra
     return pairs.groupBy(annotation_id).agg(F.count(F.lit(1)).alias("tasks")).where("tasks > 1")
 
 
+def import_batches(tasks: DataFrame, known: DataFrame, key: str, size: int = 100) -> DataFrame:
+    """``key, batch``: the tasks that the labelling tool doesn't know yet, in batches of ``size`` in the order of the key.
+    What was imported is known the next time, so importing again goes on where it ended. Null keys are no tasks."""
+    new = remaining(tasks.where(F.col(key).isNotNull()).select(key).distinct(), known, key)
+    return with_positions(new, [key]).select(key, F.expr(f"position div {size}").alias("batch"))
+
+
 #: One annotation of a task, and a task as a labelling tool exports it.
 ANNOTATION = f"struct<id:string,was_cancelled:boolean,result:array<{RESULT}>>"
 TASK = f"key string, is_labeled boolean, drafts int, annotations array<{ANNOTATION}>"

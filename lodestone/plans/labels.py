@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lodestone.functions import checks, geometry, paths, pixels
 from lodestone.functions.detections import decode, select_boxes
 from lodestone.functions.documents import fingerprint
-from lodestone.operators import catalog, review
+from lodestone.operators import catalog, quality, review
 from lodestone.operators.positions import with_positions
 from lodestone.operators.rows import current_rows
+from lodestone.plans import inventory
 from lodestone.plans.inventory import _BAD_PART, _IMAGES, _MANIFEST, _same, images, manifest, table
 from lodestone.sources.documents import parse_mapping
 
@@ -200,11 +201,71 @@ def review_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.review_counts(_outcomes(spark, sf_dir))
 
 
+def exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews that weren't accepted, by reason."""
+    r = _outcomes(spark, sf_dir).where("outcome <> 'accepted'")
+    return r.groupBy("outcome", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches by how sure their boxes are and how many there are."""
+    r = selected_boxes(spark, sf_dir).groupBy("path", "batch_no", "mode").agg(F.count("k").alias("boxes"))
+    return r.groupBy("mode", "boxes").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = images(spark, sf_dir, "path", "source", "classid", "sha256", "width", "height")
+    return t.withColumn("sourceid", F.col("source.id"))
+
+
+def inventory_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.inventory_violations(_inventory(spark, sf_dir))
+
+
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings about the inventory and the manifest: how many paths break each rule."""
+    m = quality.manifest_violations(manifest(spark, sf_dir))
+    return quality.report_of({"inventory": inventory_violations(spark, sf_dir), "manifest": m}, "path", "rule")
+
+
+def reusable_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the drive whose audited derivative may be used again: same bytes, sides of 16 pixels, hashes in form."""
+    listed = table(spark, sf_dir, "drive_inventory").where("kind = 'image' and path is not null").select("path", "listedat", "sha256")
+    wanted = current_rows(listed, ["path"], "listedat", ["sha256"])
+    cached = images(spark, sf_dir, "originalpath", "originalsha256", "width", "height", "digest", "hash", "exiforientation")
+    cached = cached.select(F.col("originalpath").alias("path"), F.col("originalsha256").alias("sha256"), "width", "height", "digest", "hash")
+    sound = (F.least("width", "height") >= 16) & F.col("width").isNotNull() & F.col("height").isNotNull() & F.col("digest").isNotNull() & F.col("hash").isNotNull()
+    return quality.reusable(cached, wanted, "path", ["sha256"], sound)
+
+
+def annotation_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tasks of a labelling tool: address, key and proposed class of each image whose row keeps all rules."""
+    rows = _inventory(spark, sf_dir)
+    good = rows.join(quality.inventory_violations(rows).select("path").distinct(), "path", "left_anti")
+    key = fingerprint(F.to_json(F.array(F.lit("annotation-v1"), "path", "sourceid", "sha256"), {"ignoreNullFields": "false"}))
+    t = good.select("path", paths.quoted_path(F.col("path")).alias("address"), key.alias("task_key"), "classid", "width", "height")
+    return t.join(F.broadcast(table(spark, sf_dir, "taxonomy").select("classid", "slug")), "classid", "left")  # ten rows
+
+
+def import_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of the inventory that the manifest doesn't hold yet, in batches of a hundred."""
+    return review.import_batches(images(spark, sf_dir).select("image_id"), table(spark, sf_dir, "manifest"), "image_id")
+
+
+def backdrop_alphas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings read as 21 pixels, and the opacity of each before a blue backdrop."""
+    at = lambda i: F.floor(F.abs(F.get("embedding", i).cast("double")) * 255)
+    rgb = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda p: F.array(at(p * 3), at(p * 3 + 1), at(p * 3 + 2)))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.transform(rgb, pixels.backdrop_alpha)).alias("pixel", "alpha"))
+    return e
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         corner_overlaps, decoded_boxes, selected_boxes, mapping_lines, difference_hashes, normalized_planes, output_parity, pixel_digests, task_keys, value_checks,
         field_problems, catalog_others, catalog_described, canonical_order, exported_tasks, reviewer_disagreements, shared_sources, review_outcomes, review_counts,
+        exclusion_counts, label_histogram, inventory_violations, audit_report, reusable_derivatives, annotation_tasks, import_batches, backdrop_alphas,
     )
 }
 
@@ -245,6 +306,17 @@ outcome as (select image_id::varchar as key, case when wrong is not null then sp
   nullif(split_part(wrong, ':', 2), '') as reason, case when wrong is null then decision end as decision, case when wrong is null and decision <> 'exclude' then grp end as group_id,
   case when wrong is null then case when decision = 'exclude' then 0 else len(o) end end::int as objects from e)"""
 
+_ROWS = f"""rows as (select image_id, path, source.id as sourceid, classproposal.classid as classid, classproposal.slug as slug, sha256, width, height from normalized_inventory
+  qualify row_number() over (partition by image_id order by auditedat desc) = 1),
+safe as (select *, {_safe('path')} as safe from rows),
+inventory_rule as (select path, unnest(list_filter([case when safe is null then 'unsafe path' end,
+    case when not coalesce(sourceid <> '' and trim(sourceid, ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)) = sourceid and not regexp_matches(sourceid, '\\p{{C}}'), false) then 'source isn''t plain text' end,
+    case when not coalesce(classid between 0 and 9, false) then 'class out of range' end,
+    case when not coalesce(regexp_full_match(sha256, '[0-9a-f]{{64}}'), false) then 'invalid sha256' end,
+    case when not coalesce(width >= 16 and height >= 16, false) then 'too small' end], lambda r: r is not null)) as rule from safe
+  union all select path, 'repeated path' from safe where safe in (select safe from safe group by safe having count(*) > 1)
+  union all select path, 'repeated sha256' from safe where sha256 in (select sha256 from safe group by sha256 having count(*) > 1))"""
+
 SQL = {
     "corner_overlaps": f"""with {_MANIFEST}, o as (select path, objects, unnest(range(1, len(objects) + 1)) as i from m),
 b as (select distinct path, i - 1 as i, [objects[i].bbox[1] * 1000, objects[i].bbox[2] * 1000, (objects[i].bbox[1] + objects[i].bbox[3]) * 1000, (objects[i].bbox[2] + objects[i].bbox[4]) * 1000] as r
@@ -306,3 +378,21 @@ select groupid, sum(n)::bigint as reviews, count(*) as versions from v group by
     "review_counts": f"""with {_REVIEWED} select count(*) as expected, count(*) filter (outcome = 'accepted') as accepted, count(*) filter (decision = 'include') as included,
   count(*) filter (decision = 'negative') as negative, count(*) filter (outcome = 'excluded') as excluded, count(*) filter (outcome = 'pending') as pending, count(*) filter (outcome = 'error') as error from outcome""",
 }
+SQL |= {
+    "exclusion_counts": f"with {_REVIEWED} select outcome, reason, count(*) as n from outcome where outcome <> 'accepted' group by all",
+    "label_histogram": f"with boxes as ({SQL['selected_boxes']}), b as (select path, batch_no, mode, count(k) as boxes from boxes group by all) select mode, boxes, count(*) as n from b group by all",
+    "inventory_violations": f"with {_ROWS} select path, rule from inventory_rule",
+    "audit_report": f"""with {_ROWS}, manifest_rule as ({inventory.SQL['manifest_violations']})
+select 'inventory' as part, rule, count(distinct path) as n from inventory_rule group by all union all select 'manifest', rule, count(distinct path) from manifest_rule group by all""",
+    "reusable_derivatives": f"""with {_IMAGES}, listed as (select path, sha256 from (select * from drive_inventory where kind = 'image' and path is not null)
+  qualify row_number() over (partition by path order by listedat desc, sha256 desc nulls last) = 1),
+c as (select originalpath as path, originalsha256 as sha256, width >= 16 and height >= 16 and digest is not null and hash is not null as sound from image where originalpath is not null)
+select l.path, coalesce(bool_or(c.sound and c.sha256 = l.sha256), false) as reuse from listed l left join c on l.path = c.path group by l.path""",
+    "annotation_tasks": f"""with {_ROWS} select path, replace(url_encode(path), '%2F', '/') as address, sha256(to_json(['annotation-v1', path, sourceid, sha256])::varchar) as task_key,
+  r.classid, width, height, t.slug from rows r left join taxonomy t on r.classid = t.classid where path not in (select path from inventory_rule)""",
+    "import_batches": """with i as (select distinct image_id from normalized_inventory where image_id is not null and image_id not in (select image_id from manifest where image_id is not null))
+select image_id, (row_number() over (order by image_id) - 1) // 100 as batch from i""",
+    "backdrop_alphas": """with p as (select vec_id, unnest(range(0, 21)) as k, embedding from embeddings),
+c as (select vec_id, k, floor(abs(embedding[k * 3 + 1]::double) * 255) as r, floor(abs(embedding[k * 3 + 2]::double) * 255) as g, floor(abs(embedding[k * 3 + 3]::double) * 255) as b from p)
+select vec_id, k::int as pixel, greatest(0, least(255, round_even(255 - greatest(0, b - (r + g) / 2.0::double - 4) * 16, 0)))::int as alpha from c""",
+}

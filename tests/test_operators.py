@@ -207,6 +207,38 @@ def test_manifest_rules(spark):
     assert Q.manifest_violations(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_inventory_rules(spark):
+    a, b = "a" * 64, "b" * 64
+    rows = [
+        ("x/1.png", "s", 1, a, 16, 16), ("x/2.png", " s", 1, a, 16, 15), ("../3.png", "s", 10, "A" * 64, 16, 16), ("x\\1.png", "s", None, b, None, 20), (None, None, 0, None, 99, 99),
+    ]
+    schema = "path string, sourceid string, classid int, sha256 string, width int, height int, rule string"
+    df = spark.createDataFrame([(*r, "x") for r in rows], schema)
+    assert {(r.path, r.rule) for r in Q.inventory_violations(df).collect()} == {
+        ("x/2.png", "source isn't plain text"), ("x/2.png", "too small"), ("../3.png", "unsafe path"), ("../3.png", "class out of range"), ("../3.png", "invalid sha256"),
+        ("x\\1.png", "class out of range"), ("x\\1.png", "too small"), (None, "unsafe path"), (None, "source isn't plain text"), (None, "invalid sha256"),
+        ("x/1.png", "repeated path"), ("x\\1.png", "repeated path"), ("x/1.png", "repeated sha256"), ("x/2.png", "repeated sha256"),
+    }
+    assert Q.inventory_violations(df.where("false")).count() == 0
+    report = {tuple(r) for r in Q.report_of({"a": Q.inventory_violations(df), "b": df.select("path", "rule")}, "path", "rule").collect()}
+    assert ("a", "repeated path", 2) in report and ("b", "x", 4) in report
+
+
+def test_derivatives_that_may_be_used_again(spark):
+    wanted = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("d", None), ("e", "1"), (None, "1")], "p string, sha string")
+    cached = spark.createDataFrame([("a", "1", 16), ("a", "0", 16), ("b", "2", 16), ("c", "1", 15), ("d", None, 16), ("e", "1", None), (None, "1", 16)], "p string, sha string, w int")
+    got = {r.p: r.reuse for r in Q.reusable(cached, wanted, "p", ["sha"], F.col("w") >= 16).collect()}
+    assert got == {"a": True, "b": False, "c": False, "d": False, "e": False, None: False}
+
+
+def test_import_batches(spark):
+    tasks = spark.createDataFrame([(i,) for i in range(25)] + [(3,), (None,)], "k int")
+    known = spark.createDataFrame([(0,), (1,), (None,), (99,)], "k int")
+    got = {r.k: r.batch for r in R.import_batches(tasks, known, "k", 10).collect()}
+    assert got == {k: (k - 2) // 10 for k in range(2, 25)}
+    assert R.import_batches(tasks, tasks, "k").count() == 0
+
+
 def test_sets_and_counts(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "x int")
     b = spark.createDataFrame([(1,), (3,)], "x int")
