@@ -55,6 +55,8 @@ CLAUSE, KEYWORD, REPEATED, PLAIN, CHANGE, FIRST = -2.4, 1.0, 0.6, -0.1, 4.0, 1.0
 RARE, SUPPORT = 10_000, 3
 #: Words whose states are worked out together.
 BLOCK = 1 << 15
+#: Characters of pages held as words at once; a longer page is held by itself.
+CHUNK = 1 << 22
 
 
 def page_words(text: str) -> list[str]:
@@ -263,41 +265,58 @@ COUNTS = "word string, lists bigint, texts bigint"
 FOUND = "doc_id bigint, list_share double, repeated_share double"
 
 
+def _covered_pages(ids: list[int], texts: list[list[str]]) -> pa.RecordBatch:
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    p = Pages(pa.array([w for ws in texts for w in ws], pa.string()), sizes)
+    mark = keyword_repeats(p.ids, p.page, p.letters)
+    begin = np.r_[0, np.cumsum(sizes)[:-1]]
+    edge = np.r_[True, p.page[1:] != p.page[:-1]]
+    first = np.flatnonzero(mark & (edge | ~np.r_[False, mark[:-1]]))
+    end = np.flatnonzero(mark & (np.r_[edge[1:], True] | ~np.r_[mark[1:], False])) + 1
+    of = p.page[first]
+    runs = np.empty(2 * len(first), np.int32)
+    runs[::2], runs[1::2] = first - begin[of], end - begin[of]
+    offsets = np.r_[0, np.cumsum(2 * np.bincount(of, minlength=len(sizes)))]
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(runs))
+    columns = [pa.array(ids, pa.int64()), pa.array([" ".join(ws) for ws in texts], pa.string()), lists, pa.array(p.share(mark, p.letters))]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "words", "covered", "repeated_share"])
+
+
 def _read(documents: DataFrame) -> DataFrame:
     """Each page with words: these, and first and end of its stretches of repeated keywords by turns."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        texts: list[list[str]] = []
+        held = 0
         for batch in batches:
-            ids, texts = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if ws := page_words(text.as_py()):
+                t = text.as_py()
+                if ws := page_words(t):
                     ids.append(i)
                     texts.append(ws)
-            if not ids:
-                continue
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            p = Pages(pa.array([w for ws in texts for w in ws], pa.string()), sizes)
-            mark = keyword_repeats(p.ids, p.page, p.letters)
-            begin = np.r_[0, np.cumsum(sizes)[:-1]]
-            edge = np.r_[True, p.page[1:] != p.page[:-1]]
-            first = np.flatnonzero(mark & (edge | ~np.r_[False, mark[:-1]]))
-            end = np.flatnonzero(mark & np.r_[edge[1:], True] | mark & ~np.r_[mark[1:], False]) + 1
-            of = p.page[first]
-            runs = np.empty(2 * len(first), np.int32)
-            runs[::2], runs[1::2] = first - begin[of], end - begin[of]
-            offsets = np.r_[0, np.cumsum(2 * np.bincount(of, minlength=len(sizes)))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()), pa.array([" ".join(ws) for ws in texts], pa.string()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(runs)), pa.array(p.share(mark, p.letters)),
-                ],
-                ["doc_id", "words", "covered", "repeated_share"],
-            )
+                    held += len(t)
+                if held >= CHUNK:
+                    yield _covered_pages(ids, texts)
+                    ids, texts, held = [], [], 0
+        if ids:
+            yield _covered_pages(ids, texts)
 
     rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     return rows.mapInArrow(read, READ)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that none holds more than CHUNK bytes of words, unless a page does."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        of = np.cumsum(pc.binary_length(batch.column("words")).to_numpy()) // CHUNK
+        cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield batch.slice(a, b - a)
+
+
 def _batch(batch: pa.RecordBatch) -> tuple[Pages, np.ndarray, np.ndarray]:
     """The pages of a batch of READ, which of their words are covered, and their shares of covered characters."""
     lists = pc.split_pattern(batch.column("words"), " ")
@@ -321,9 +340,7 @@ def _count(pages: DataFrame, sent, threshold: float) -> DataFrame:
     """In how many pages each word stands in a list and in running text; by coverage alone if nothing is known yet."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             p, covered, share = _batch(batch)
             if sent is None:
                 lists = covered & (share >= CERTAIN_LIST)[p.page]
@@ -367,9 +384,7 @@ def keyword_pages(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
         sent = spark.sparkContext.broadcast(word_evidence(counts, n))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             p, covered, share = _batch(batch)
             found = p.share(_states(p, covered, sent.value))
             keep = pa.array(found > threshold)
