@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.rows import current_rows
+from lodestone.operators.rows import current_rows, lookup_join
 from lodestone.scratch import Scratch
 
 #: Rows of a coarse and of a fine bucket, on average: larger ones make the matrices smaller and what is read larger.
@@ -92,11 +92,12 @@ def compare_copies(
     coarse = buckets or min(COARSE_BUCKETS, max(1, n // COARSE_ROWS))
     fine = coarse * max(1, -(-n // (coarse * FINE_ROWS)))
 
-    # Hashes of the keys with several rows on a side. Another key with such a hash is merely read too.
-    hashed = F.xxhash64("key").alias("hash")
-    several = [s.groupBy(hashed).count().where("count > 1").select("hash") for s in sides]
-    several = scratch.write(several[0].unionByName(several[1]).distinct(), "several")
-    single = [s.join(several, F.xxhash64("key") == F.col("hash"), "left_anti") for s in sides]
+    # Hashes of the keys with several rows on a side. Another key with such a hash is merely read too. Looked up so that
+    # a key with very many rows holds up no task.
+    several = [s.groupBy(F.xxhash64("key").alias("hash")).count().where("count > 1").select("hash") for s in sides]
+    several = scratch.write(several[0].unionByName(several[1]).distinct().withColumn("several", F.lit(True)), "several")
+    marked = [lookup_join(s.withColumn("hash", F.xxhash64("key")), several, "hash", "left", rows=s.count()) for s in sides]
+    single = [s.where("several is null") for s in marked]
 
     first = scratch.write(unequal_cells(*single, "key", work, coarse, _bits(n, coarse)).select(F.col("bucket").alias("coarse")), "coarse")
     # No more than COARSE_BUCKETS rows, unless the caller asked for more.
@@ -116,7 +117,7 @@ def compare_copies(
         return rows.select("key", struct([F.when(F.array_contains("columns", int(w[1:]) + 1), F.col(w)).alias(w) for w in wanted], mark))
 
     def current(side: DataFrame, mark: str) -> DataFrame:
-        rows = current_rows(side.join(several, F.xxhash64("key") == F.col("hash"), "left_semi"), ["key"], "noted", work)
+        rows = current_rows(side.where("several"), ["key"], "noted", work)
         return rows.select("key", struct([F.col(w) for w in work], mark))
 
     def differences(a: DataFrame, b: DataFrame, compared: list[str]) -> DataFrame:
@@ -130,4 +131,4 @@ def compare_copies(
         return both.select(F.col("key").alias(key), F.explode(here).alias("difference"))
 
     once = differences(reread(single[0], "l"), reread(single[1], "r"), wanted)
-    return once.unionByName(differences(current(sides[0], "l"), current(sides[1], "r"), work))
+    return once.unionByName(differences(current(marked[0], "l"), current(marked[1], "r"), work))
