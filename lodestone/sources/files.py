@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import io
+import os
+import re
+import stat
 import struct
 import tarfile
 import time
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
+from itertools import islice
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.paths import archive_path, extension_format, magic_format
 from lodestone.functions.text import strip
-from lodestone.operators.quality import symmetric_difference
+from lodestone.operators.quality import symmetric_difference, verify_receipts
 
 #: Longest metadata text, in bytes.
 METADATA_BYTES = 16 << 20
@@ -42,11 +48,65 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select(_relative("path", root).alias("path"), "length", F.col("modificationTime").alias("modified"))
 
 
+TREE = "path string, length bigint, modified timestamp, kind string"
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """``path, length, modified, kind``: everything under a folder but folders, ``path`` relative to it; nothing is read.
+
+    ``kind`` is file, link (a symbolic link, whatever it leads to, which isn't followed; other file systems than the
+    local one have none) or other (devices and the like). Unlike :func:`list_files` empty files are there too. A task
+    walks each entry of the folder itself; the folder must be one that all executors see.
+    """
+    local = "://" not in root or root.startswith("file:")
+    base = re.sub(r"^file:/+", "/", root).rstrip("/") if local else root.rstrip("/")
+    if local:
+        heads = sorted(os.listdir(base))
+    else:
+        fs, at = pafs.FileSystem.from_uri(base)
+        heads = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(at)))
+
+    def walk_local(head: str) -> Iterator[dict]:
+        stack = [head]
+        while stack:
+            path = stack.pop()
+            whole = f"{base}/{path}"
+            st = os.lstat(whole)
+            if stat.S_ISDIR(st.st_mode):
+                stack += [f"{path}/{n}" for n in sorted(os.listdir(whole), reverse=True)]
+                continue
+            kind = "link" if stat.S_ISLNK(st.st_mode) else "file" if stat.S_ISREG(st.st_mode) else "other"
+            yield {"path": path, "length": st.st_size, "modified": datetime.fromtimestamp(st.st_mtime, UTC), "kind": kind}
+
+    def walk_remote(head: str) -> Iterator[dict]:
+        fs, at = pafs.FileSystem.from_uri(base)
+        top = fs.get_file_info(f"{at}/{head}")
+        for f in fs.get_file_info(pafs.FileSelector(top.path, recursive=True)) if top.type == pafs.FileType.Directory else [top]:
+            if f.type != pafs.FileType.Directory:
+                yield {"path": f.path[len(at.rstrip("/")) + 1 :], "length": f.size, "modified": f.mtime, "kind": "file" if f.is_file else "other"}
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("kind", pa.string())])
+        for batch in batches:
+            for head in batch.column(0).to_pylist():
+                rows = (walk_local if local else walk_remote)(head)
+                while some := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_pylist(some, schema)
+
+    names = spark.createDataFrame([(h,) for h in heads], "head string")
+    return names.repartition(max(1, min(len(heads), spark.sparkContext.defaultParallelism)), "head").mapInArrow(walk, TREE)
+
+
 def tree_issues(files: DataFrame, expected: DataFrame) -> DataFrame:
-    """``path, issue``: files that aren't expected, expected ones that are missing, and unfinished downloads."""
+    """``path, issue``: files that aren't expected, expected ones that are missing, and unfinished downloads; of
+    :func:`list_tree` also what isn't a regular file, and empty files, expected or not."""
     d = symmetric_difference(files.select("path").distinct(), expected.select("path").distinct())
     issue = F.when(F.col("side") == "right", "missing").when(F.col("path").endswith(".part"), "unfinished").otherwise("unexpected")
-    return d.select("path", issue.alias("issue"))
+    issues = d.select("path", issue.alias("issue"))
+    if "kind" in files.columns:
+        odd = F.when(F.col("kind") == "link", "symbolic link").when(F.col("kind") != "file", "not a regular file").when(F.col("length") == 0, "empty")
+        issues = issues.unionByName(files.select("path", odd.alias("issue")).where("issue is not null").distinct())
+    return issues
 
 
 def metadata_problem(content, length):
@@ -171,8 +231,8 @@ def manifest_file_violations(manifest: DataFrame, root: str) -> DataFrame:
 
 
 def read_tar(spark: SparkSession, path: str) -> DataFrame:
-    """``archive, member, bytes, content, problem``: the members of tar archives. Links, devices and unsafe or repeated
-    names have a problem and no content."""
+    """``archive, member, bytes, sha256, content, problem``: the members of tar archives. Links, devices and unsafe or
+    repeated names have a problem and no content."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,12 +246,20 @@ def read_tar(spark: SparkSession, path: str) -> DataFrame:
                         data = tar.extractfile(m).read() if m.isreg() else None
                         yield pa.RecordBatch.from_pylist([{"archive": name, "member": m.name, "bytes": m.size, "content": data, "kind": "file" if m.isreg() else "other"}], schema)
 
-    rows = files.mapInArrow(read, "archive string, member string, bytes bigint, content binary, kind string")
+    rows = files.mapInArrow(read, "archive string, member string, bytes bigint, content binary, kind string").withColumn("sha256", F.sha2("content", 256))
     twice = rows.groupBy("archive", "member").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.join(twice, ["archive", "member"])
     unsafe = archive_path(F.col("member")).isNull()
     problem = F.when(F.col("kind") != "file", "not a regular file").when(unsafe, "unsafe name").when(F.col("n") > 1, "repeated name")
-    return rows.withColumn("problem", problem).select("archive", "member", "bytes", F.when(F.col("problem").isNull(), F.col("content")).alias("content"), "problem")
+    return rows.withColumn("problem", problem).select("archive", "member", "bytes", "sha256", F.when(F.col("problem").isNull(), F.col("content")).alias("content"), "problem")
+
+
+def archive_problems(members: DataFrame, listed: DataFrame) -> DataFrame:
+    """``member, problem``: members of :func:`read_tar` that are unsafe or not as listed (``member, bytes, sha256``): not
+    listed (unexpected), missing, or of another size or digest. Null digests aren't compared with anything but null."""
+    wrong = members.where("problem is not null").select("member", "problem")
+    sound = members.where("problem is null").select("member", "bytes", "sha256")
+    return wrong.unionByName(verify_receipts(listed, sound, "member", ["bytes", "sha256"]))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Sources and sinks on small files."""
 
+import hashlib
 import io
+import os
 import json
 import struct
 import tarfile
@@ -92,6 +94,37 @@ def test_tar(spark, tmp_path):
     assert sorted(rows) == [("../escape", None, "unsafe name"), ("a/b.json", b"{}", None), ("link", None, "not a regular file"), *[("twice", None, "repeated name")] * 2]
 
 
+def test_members_against_a_listing(spark, tmp_path):
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    with tarfile.open(tmp_path / "t.tar", "w") as t:
+        for name in ("same", "size", "bytes", "stray", "../out"):
+            info = tarfile.TarInfo(name)
+            info.size = 4
+            t.addfile(info, io.BytesIO(b"data"))
+    listed = spark.createDataFrame([("same", 4, digest(b"data")), ("size", 5, digest(b"data")), ("bytes", 4, digest(b"atad")), ("gone", 4, None)], "member string, bytes bigint, sha256 string")
+    got = {tuple(r) for r in S.archive_problems(S.read_tar(spark, str(tmp_path / "t.tar")), listed).collect()}
+    assert got == {("size", "bytes"), ("bytes", "sha256"), ("stray", "unexpected"), ("../out", "unsafe name"), ("gone", "missing")}
+
+
+def test_tree_with_links_and_empty_files(spark, tmp_path):
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / "a/b/deep.png").write_bytes(b"x")
+    (tmp_path / "a/empty.png").write_bytes(b"")
+    (tmp_path / "top.part").write_bytes(b"xy")
+    (tmp_path / "a/link").symlink_to("/etc")
+    os.mkfifo(tmp_path / "pipe")
+    rows = S.list_tree(spark, str(tmp_path))
+    assert {(r.path, r.length, r.kind) for r in rows.collect() if r.kind == "file"} == {("a/b/deep.png", 1, "file"), ("a/empty.png", 0, "file"), ("top.part", 2, "file")}
+    assert {(r.path, r.kind) for r in rows.collect() if r.kind != "file"} == {("a/link", "link"), ("pipe", "other")}
+    expected = spark.createDataFrame([("a/b/deep.png",), ("a/empty.png",), ("a/link",)], "path string")
+    assert {tuple(r) for r in S.tree_issues(rows, expected).collect()} == {
+        ("top.part", "unfinished"), ("pipe", "unexpected"), ("pipe", "not a regular file"), ("a/link", "symbolic link"), ("a/empty.png", "empty"),
+    }
+    assert {(r.path, r.kind) for r in S.list_tree(spark, f"file://{tmp_path}").collect()} == {(r.path, r.kind) for r in rows.collect()}
+    (tmp_path / "nothing").mkdir()
+    assert S.list_tree(spark, str(tmp_path / "nothing")).count() == 0
+
+
 def test_labels(spark, tmp_path):
     (tmp_path / "s.txt").write_text("3 0.350000000 0.400000000 0.500000000 0.600000000\n\n1 0.5 0.5 0.2 0.2\nx 1\n")
     rows = S.read_labels(spark, str(tmp_path / "s.txt"))
