@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import checks, geometry, paths, pixels
 from lodestone.functions.detections import decode, select_boxes
-from lodestone.functions.documents import fingerprint
+from lodestone.functions.documents import fingerprint, strict_variant
 from lodestone.operators import catalog, quality, review
 from lodestone.operators.positions import with_positions
 from lodestone.operators.rows import current_rows
 from lodestone.plans import inventory
 from lodestone.plans.inventory import _BAD_PART, _IMAGES, _MANIFEST, _same, images, manifest, table
 from lodestone.sources.documents import parse_mapping
+from lodestone.sources.files import label_differences, metadata_problem, parse_labels
 
 
 def _six(c):
@@ -63,6 +64,44 @@ def mapping_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_mapping(t.select("line_no", F.coalesce(line, F.lit("?")).alias("value")))
 
 
+def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest's objects as label lines, by turns without their last number or with a word for one, read back."""
+    lines = inventory.yolo_lines(spark, sf_dir).withColumnRenamed("path", "stem")
+    turn = F.pmod(F.length("stem") + F.col("instance"), F.lit(6))
+    line = F.when(turn == 0, F.regexp_replace("line", " [^ ]+$", "")).when(turn == 1, F.regexp_replace("line", "^[^ ]+", "x")).otherwise(F.col("line"))
+    return parse_labels(lines.select("stem", "instance", line.alias("line")))
+
+
+def label_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label lines of images of one object against the manifest: by turns moved, of another class, or missing."""
+    m = manifest(spark, sf_dir).where("size(objects) = 1 and size(objects[0].bbox) = 4 and path is not null")
+    m = m.groupBy(F.col("path").alias("stem")).agg(F.min(F.struct(F.col("objects")[0]["classid"].alias("class_id"), F.col("objects")[0]["bbox"].alias("bbox"))).alias("o"))
+    objects = m.select("stem", F.lit(0).alias("instance"), "o.class_id", "o.bbox")
+    turn, b = F.pmod(F.length("stem"), F.lit(5)), F.col("bbox")
+    labels = objects.where(turn != 0).select(
+        "stem", "instance", F.when(turn == 1, F.col("class_id") + 1).otherwise(F.col("class_id")).alias("class_id"), (b[0] + b[2] / 2 + F.when(turn == 2, 0.001).otherwise(0.0)).alias("cx"),
+        (b[1] + b[3] / 2).alias("cy"), b[2].alias("w"), b[3].alias("h"),
+    )
+    return label_differences(labels, objects)
+
+
+def strict_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' properties as documents, by turns with a byte order mark, a key twice, NaN or cut short: which are valid."""
+    turn, p = F.col("event_id") % 7, F.col("props")
+    doc = F.when(turn == 0, F.concat(F.lit("\ufeff"), p)).when(turn == 1, F.concat(F.lit('{"k": 0, '), F.substring(p, 2, 1 << 20))).when(turn == 2, F.replace(p, F.lit("{"), F.lit('{"n": NaN, ')))
+    doc = doc.when(turn == 3, F.substring(p, 1, 4)).otherwise(p)
+    return table(spark, sf_dir, "events").select("event_id", strict_variant(doc).isNotNull().alias("valid"), fingerprint(doc).isNotNull().alias("fingerprinted"))
+
+
+def metadata_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as metadata texts, by turns holding NUL or beginning as a page of HTML: how many have which problem."""
+    turn = F.col("doc_id") % 9
+    text = F.when(turn == 0, F.concat("text", F.lit("\x00"))).when(turn == 1, F.concat(F.lit(" <HTML>"), "text")).otherwise(F.col("text"))
+    content = F.encode(text, "UTF-8")
+    rows = table(spark, sf_dir, "documents").where("text is not null").select(metadata_problem(content, F.length(content)).alias("problem"))
+    return rows.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _gray(row):
     return F.transform(F.slice("embedding", row * 8 + 1, 8), lambda v: F.floor(F.abs(v.cast("double")) * 1000).cast("int"))
 
@@ -266,6 +305,7 @@ QUERIES = {
         corner_overlaps, decoded_boxes, selected_boxes, mapping_lines, difference_hashes, normalized_planes, output_parity, pixel_digests, task_keys, value_checks,
         field_problems, catalog_others, catalog_described, canonical_order, exported_tasks, reviewer_disagreements, shared_sources, review_outcomes, review_counts,
         exclusion_counts, label_histogram, inventory_violations, audit_report, reusable_derivatives, annotation_tasks, import_batches, backdrop_alphas,
+        label_lines, label_problems, strict_documents, metadata_problems,
     )
 }
 
@@ -292,6 +332,8 @@ _CLAMP = "[least(greatest(d.box.x * 640, 0), 640), least(greatest(d.box.y * 360,
 _PIXEL = "floor(abs(embedding[{i}]::double) * 1000)"
 _PLANE = "list_transform(range(0, 21), lambda p: ((floor(abs(embedding[p * 3 + {c} + 1]::double) * 255) / 255.0::double - {m}) / {d})::float)"
 _LETTERBOX = (416, 234, 0, 91)  # width, height, left and top of 640 by 360 in a square of 416
+#: The white space that texts hold at their ends.
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(5760) || chr(8232) || chr(8233) || chr(8239) || chr(12288)"
 _REVIEWED = f"""{_IMAGES}, {_MANIFEST},
 one as (select image_id, arg_min(m, {{'g': coalesce(groupid, ''), 'o': objects}}) as m from m group by image_id),
 r as (select image_id, image_id % 12 as turn, coalesce(one.m.groupid, '') as grp, coalesce(one.m.objects, []) as o from one join image using (image_id)),
@@ -395,4 +437,14 @@ select image_id, (row_number() over (order by image_id) - 1) // 100 as batch fro
     "backdrop_alphas": """with p as (select vec_id, unnest(range(0, 21)) as k, embedding from embeddings),
 c as (select vec_id, k, floor(abs(embedding[k * 3 + 1]::double) * 255) as r, floor(abs(embedding[k * 3 + 2]::double) * 255) as g, floor(abs(embedding[k * 3 + 3]::double) * 255) as b from p)
 select vec_id, k::int as pixel, greatest(0, least(255, round_even(255 - greatest(0, b - (r + g) / 2.0::double - 4) * 16, 0)))::int as alpha from c""",
+    "label_lines": f"""with l as ({inventory.SQL['yolo_lines']}),
+p as (select path as stem, instance, string_split(line, ' ') as p, (len(path) + instance) % 6 as turn from l)
+select stem, instance, case when turn <> 1 then p[1]::int end as class_id, p[2]::double as cx, p[3]::double as cy, p[4]::double as w, case when turn <> 0 then p[5]::double end as h,
+  case when turn in (0, 1) then 'malformed line' end as problem from p""",
+    "label_problems": f"""with {_MANIFEST}, o as (select path as stem, min({{'c': objects[1].classid, 'b': objects[1].bbox}}) as o from m where len(objects) = 1 and len(objects[1].bbox) = 4 and path is not null group by path)
+select stem, 0 as instance, case len(stem) % 5 when 0 then 'missing line' when 1 then 'other class' else 'other box' end as problem from o where len(stem) % 5 in (0, 1, 2)""",
+    "strict_documents": """select event_id, event_id % 7 not in (1, 2, 3) as valid, event_id % 7 not in (1, 2, 3) as fingerprinted from events""",
+    "metadata_problems": f"""with d as (select case doc_id % 9 when 0 then text || chr(0) when 1 then ' <HTML>' || text else text end as t from documents where text is not null)
+select case when trim(t, {_WHITE}) = '' then 'blank' when contains(t, chr(0)) then 'holds NUL' when starts_with(lower(trim(t, {_WHITE})), '<!doctype html') or starts_with(lower(trim(t, {_WHITE})), '<html') then 'HTML' end as problem,
+  count(*) as n from d group by 1""",
 }

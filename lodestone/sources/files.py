@@ -262,11 +262,9 @@ def archive_problems(members: DataFrame, listed: DataFrame) -> DataFrame:
     return wrong.unionByName(verify_receipts(listed, sound, "member", ["bytes", "sha256"]))
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """``stem, instance, class_id, cx, cy, w, h, problem`` of label files, a line ``class cx cy w h`` for each object."""
-    whole = spark.read.text(path, wholetext=True)
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
-    lines = whole.select(stem.alias("stem"), F.posexplode(F.filter(F.split("value", "\n"), lambda x: strip(x) != "")).alias("instance", "line"))
+def parse_labels(lines: DataFrame) -> DataFrame:
+    """``stem, instance, class_id, cx, cy, w, h, problem`` of label lines ``class cx cy w h`` (``stem, instance, line``).
+    A line that hasn't exactly five numbers, the first a whole one, has a problem."""
     parts = F.split(strip(F.col("line")), r"\s+")
     num = lambda i: F.expr(f"try_cast(get(parts, {i}) as double)")
     rows = lines.withColumn("parts", parts).select(
@@ -276,6 +274,13 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("problem", F.when(bad, "malformed line")).drop("five")
 
 
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of label files, one for each object, as :func:`parse_labels` gives them; ``stem`` is the file's name."""
+    whole = spark.read.text(path, wholetext=True)
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
+    return parse_labels(whole.select(stem.alias("stem"), F.posexplode(F.filter(F.split("value", "\n"), lambda x: strip(x) != "")).alias("instance", "line")))
+
+
 def label_differences(labels: DataFrame, objects: DataFrame, tolerance: float = 1e-8) -> DataFrame:
     """``stem, instance, problem``: label lines against objects (``stem, instance, class_id, bbox``)."""
     a, b = labels.alias("a"), objects.alias("b")
