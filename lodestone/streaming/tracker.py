@@ -58,7 +58,7 @@ def assign(share: np.ndarray) -> np.ndarray:
     """
     boxes, objects = share.shape
     out = np.full(boxes, -1)
-    if not boxes or not objects:
+    if not boxes or not objects or share.max() < OVERLAP:
         return out
     # What the best of the other boxes has of each object: the column's greatest, or its second for that box itself.
     top = np.sort(np.vstack([np.full((2, objects), -np.inf), share]), axis=0)
@@ -101,9 +101,13 @@ class Objects:
         if self.last is not None and ts < self.last[0]:
             return [_row(d, status="late") for d in found] or [_row(None, status="late")]
         self.last = [ts, frame]
+        if not found:  # objects that aren't seen again are gone
+            self.__dict__.update(Objects(given=self.given, last=self.last).__dict__)
+            return []
         alive = [k for k, t in enumerate(self.seen) if ts - t <= o.lifetime]
-        boxes = np.array([d[0] for d in found], float).reshape(-1, 4)
-        share = overlaps(boxes, np.array([self.boxes[k] for k in alive], float).reshape(-1, 4))
+        share = np.zeros((len(found), 0))
+        if alive:
+            share = overlaps(np.array([d[0] for d in found], float), np.array([self.boxes[k] for k in alive], float))
         new = share.max(axis=1, initial=0.0) <= OVERLAP
         order = np.lexsort((-np.array([d[1] for d in found], float), new))[: o.max_objects]
         of = assign(share[order])
