@@ -50,8 +50,10 @@ ROUNDS = 2
 #: plus this for a word in a repeated string or outside. CHANGE is what a change between the states costs, FIRST how
 #: much a page is taken for sentences beforehand.
 CLAUSE, KEYWORD, REPEATED, PLAIN, CHANGE, FIRST = -2.4, 1.0, 0.6, -0.1, 4.0, 1.0
-#: Words in fewer than one page of so many say nothing, nor do those met in fewer pages than SUPPORT. So the table of
-#: words has at most RARE times as many rows as a page has different words on average.
+#: Counts are reckoned in units of one page of RARE, at least one page, so that a corpus of any size is judged alike: a
+#: word says nothing below one unit of pages, nor below SUPPORT of them weighted alike for lists and texts, and one unit is
+#: added on either side before the odds are taken. So the table of words has at most RARE times as many rows as a page has
+#: different words on average.
 RARE, SUPPORT = 10_000, 3
 #: Words whose states are worked out together.
 BLOCK = 1 << 15
@@ -360,9 +362,9 @@ def word_evidence(counts: DataFrame, pages: int) -> dict[str, float]:
     total = counts.agg(F.sum("lists"), F.sum("texts")).first()
     if not total[0] or not total[1]:
         return {}
-    ratio = total[0] / total[1]
-    kept = counts.where((F.col("lists") + F.col("texts") >= pages / RARE) & (F.col("lists") + F.col("texts") * ratio > SUPPORT))
-    return {r["word"]: min(KEYWORD, max(CLAUSE, math.log((r["lists"] + 1) / (r["texts"] * ratio + 1)))) for r in kept.collect()}
+    ratio, unit = total[0] / total[1], max(1.0, pages / RARE)
+    kept = counts.where((F.col("lists") + F.col("texts") >= unit) & (F.col("lists") + F.col("texts") * ratio > SUPPORT * unit))
+    return {r["word"]: min(KEYWORD, max(CLAUSE, math.log((r["lists"] + unit) / (r["texts"] * ratio + unit)))) for r in kept.collect()}
 
 
 def keyword_pages(documents: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -293,6 +293,17 @@ def test_keyword_pages_in_languages_that_the_corpus_does_not_hold(spark):
     assert keyword_pages(alone).count() == 0
 
 
+def test_word_evidence_is_alike_at_every_size(spark):
+    """Ten times the pages with ten times the counts say the same."""
+    rows = [(f"w{i}", i % 7 * 40, i * 13 % 900) for i in range(200)]
+    of = []
+    for times in (1, 10, 100):
+        counts = spark.createDataFrame([(w, a * times, b * times) for w, a, b in rows], "word string, lists bigint, texts bigint")
+        of.append(S.word_evidence(counts, 20_000 * times))
+    assert len(of[0]) > 50 and of[0].keys() == of[1].keys() == of[2].keys()
+    assert all(abs(of[0][w] - x[w]) < 1e-9 for x in of[1:] for w in x)
+
+
 def test_lists_without_repetition_are_known_by_the_words_of_other_lists(spark):
     """Words of lists are learnt from pages that repeat them; words of clauses from all others."""
     r = random.Random(3)
